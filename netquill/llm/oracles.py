@@ -39,5 +39,24 @@ reach AS (
 best AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN best ON best.a = d.doc_id
+""",
+    "op2_source_mixing": r"""
+WITH total AS (SELECT 1.25 * count(*) AS budget FROM documents),
+weights(named, w) AS (VALUES ('src0', 0.2::DOUBLE), ('src1', 0.1::DOUBLE), ('src2', 0.05::DOUBLE)),
+grouped AS (SELECT d.doc_id, d.source, d.text, w.named FROM documents d LEFT JOIN weights w ON d.source = w.named),
+rates AS (
+  SELECT g.named, any_value(coalesce(w.w, 1.0::DOUBLE - (0.2::DOUBLE + 0.1::DOUBLE + 0.05::DOUBLE))) * any_value(budget) / count(*) AS rate
+  FROM grouped g LEFT JOIN weights w ON w.named IS NOT DISTINCT FROM g.named CROSS JOIN total GROUP BY g.named),
+steps AS (
+  SELECT named, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY named ORDER BY k) AS cdf, k
+  FROM rates CROSS JOIN (SELECT unnest(range(0, 80))::DOUBLE AS k)),
+drawn AS (
+  SELECT doc_id, source, text, named,
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM grouped),
+counted AS (
+  SELECT d.doc_id, d.source, any_value(d.text) AS text, count(*) FILTER (WHERE s.cdf <= d.u) AS n
+  FROM drawn d JOIN steps s ON s.named IS NOT DISTINCT FROM d.named GROUP BY d.doc_id, d.source)
+SELECT doc_id, source, text, "copy"::INT AS "copy", md5('mix order|' || doc_id::VARCHAR || '|' || "copy"::VARCHAR) AS shuffle_key
+FROM (SELECT doc_id, source, text, unnest(range(1, n + 1)) AS "copy" FROM counted WHERE n > 0)
 """,
 }

@@ -14,6 +14,31 @@ from netquill.llm import oracles
 from netquill.llm.common import read_table
 
 
+#: Shares of the mixed corpus in op2; the other sources keep their proportions.
+MIX_TARGETS = {"src0": 0.2, "src1": 0.1, "src2": 0.05}
+MIX_RATE = 1.25
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquill.llm.source_mixing import mix_sources
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs, MIX_TARGETS, MIX_RATE)
+
+
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of every text; ``exact`` says that decoding the ids gives back the text (compared by hash and length)."""
+    from netquill.llm.piece_sampling import decode, encode
+
+    digest = lambda c: F.struct(F.xxhash64(c), F.length(c))
+    docs = read_table(spark, sf_dir, "documents").withColumn("digest", F.xxhash64("text")).withColumn("n_chars", F.length("text"))
+    encoded = encode(docs, keep=("doc_id", "digest", "n_chars"))
+    encoded = encoded.withColumn("n_pieces", F.size("ids")).withColumn("ids_hash", F.xxhash64("ids"))
+    decoded = decode(encoded)
+    exact = digest("decoded").eqNullSafe(F.struct("digest", "n_chars"))
+    return decoded.select("doc_id", "sample", "n_pieces", "ids_hash", "log_prob", "perturbed", "log_inclusion", exact.alias("exact"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netquill.llm.line_dedup import dedup_lines
 
@@ -27,8 +52,23 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquill.llm.language_id import identify
+
+    return identify(read_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = (op2_source_mixing, op6_piece_sampling, op8_line_dedup, op9_minhash_dedup, op10_language_id, pipeline)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_line_dedup, op9_minhash_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
