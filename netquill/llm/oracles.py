@@ -58,5 +58,15 @@ counted AS (
   FROM drawn d JOIN steps s ON s.named IS NOT DISTINCT FROM d.named GROUP BY d.doc_id, d.source)
 SELECT doc_id, source, text, "copy"::INT AS "copy", md5('mix order|' || doc_id::VARCHAR || '|' || "copy"::VARCHAR) AS shuffle_key
 FROM (SELECT doc_id, source, text, unnest(range(1, n + 1)) AS "copy" FROM counted WHERE n > 0)
+""",
+    "op1_mtree_search": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
 }

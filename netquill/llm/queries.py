@@ -14,6 +14,18 @@ from netquill.llm import oracles
 from netquill.llm.common import read_table
 
 
+def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquill.llm.mtree_search import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquill.llm.projected_search import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 #: Shares of the mixed corpus in op2; the other sources keep their proportions.
 MIX_TARGETS = {"src0": 0.2, "src1": 0.1, "src2": 0.05}
 MIX_RATE = 1.25
@@ -64,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op2_source_mixing, op6_piece_sampling, op8_line_dedup, op9_minhash_dedup, op10_language_id, pipeline)
+QUERIES = (op1_mtree_search, op2_source_mixing, op5_projected_search, op6_piece_sampling, op8_line_dedup, op9_minhash_dedup, op10_language_id, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
