@@ -68,5 +68,26 @@ scored AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op4_url_filter": r"""
+WITH terms(term, weight) AS (VALUES ('adult', 0), ('casino', 0), ('hentai', 0), ('porn', 0), ('porno', 0), ('xxx', 0), ('escort', 0), ('warez', 0), ('malware', 0), ('phishing', 0), ('spam', 1), ('farm', 1), ('cheap', 1), ('pills', 1), ('free', 1), ('bets', 1), ('bet', 1), ('betting', 1), ('win', 1), ('ads', 1), ('track', 1), ('tracker', 1), ('viagra', 1), ('poker', 1), ('slots', 1), ('loan', 1), ('loans', 1), ('sex', 1), ('dating', 1), ('torrent', 1), ('crack', 1), ('keygen', 1), ('replica', 1), ('clickbait', 1)),
+rules(kind, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+parts AS (
+  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+fitting AS (
+  SELECT page_id, arg_max(h || p, length(h) * 1000 + length(p)) AS rule, arg_max(kind, length(h) * 1000 + length(p)) AS kind
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+hits AS (
+  SELECT page_id,
+         coalesce(sum(len(regexp_extract_all(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])'))) FILTER (WHERE weight = 0), 0)::INT AS strict_hits,
+         coalesce(sum(weight) FILTER (WHERE weight > 0), 0)::INT AS soft_hits
+  FROM parts JOIN terms ON regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY page_id)
+SELECT page_id, host, path, rule,
+       CASE WHEN kind IS NOT NULL THEN kind WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END AS verdict,
+       coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_hits, 0) AS soft_hits
+FROM parts LEFT JOIN fitting USING (page_id) LEFT JOIN hits USING (page_id)
 """,
 }

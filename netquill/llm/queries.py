@@ -20,6 +20,12 @@ def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquill.llm.url_filter import judge_urls
+
+    return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
 def op5_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netquill.llm.projected_search import nearest
 
@@ -76,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_mtree_search, op2_source_mixing, op5_projected_search, op6_piece_sampling, op8_line_dedup, op9_minhash_dedup, op10_language_id, pipeline)
+QUERIES = (op1_mtree_search, op2_source_mixing, op4_url_filter, op5_projected_search, op6_piece_sampling, op8_line_dedup, op9_minhash_dedup, op10_language_id, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
