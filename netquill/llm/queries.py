@@ -57,6 +57,12 @@ def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "sample", "n_pieces", "ids_hash", "log_prob", "perturbed", "log_inclusion", exact.alias("exact"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquill.llm.toxicity import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netquill.llm.line_dedup import dedup_lines
 
@@ -82,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_mtree_search, op2_source_mixing, op4_url_filter, op5_projected_search, op6_piece_sampling, op8_line_dedup, op9_minhash_dedup, op10_language_id, pipeline)
+QUERIES = (op1_mtree_search, op2_source_mixing, op4_url_filter, op5_projected_search, op6_piece_sampling, op7_toxicity, op8_line_dedup, op9_minhash_dedup, op10_language_id, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
