@@ -35,7 +35,8 @@ from netquill.llm.common import U64, list_array, mix64, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r" *[^ \n]+| +|\n")
-CACHED_ARCS = 4_000_000  # lattice arcs kept by a task between chunks
+CACHED_ARCS = 6_000_000  # lattice arcs kept by a task between chunks
+CHUNK = 1 << 20  # bytes of text sampled at once
 
 
 class Vocabulary:
@@ -89,10 +90,20 @@ class Lattices:
         self.whole[[ord(p) for p in vocabulary.pieces if len(p) == 1]] = True
         self.clear()
 
+    KINDS = {"unit_node": np.int64, "unit_len": np.int32, "node_arc": np.int64, "arc_len": np.int8, "arc_id": np.int32, "arc_log": np.float32, "arc_cum": np.float32}
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.tables = {"unit_node": np.zeros(0, np.int64), "unit_len": np.zeros(0, np.int64), "node_arc": np.zeros(1, np.int64)}
-        self.tables |= {"arc_len": np.zeros(0, np.int32), "arc_id": np.zeros(0, np.int32), "arc_log": np.zeros(0), "arc_cum": np.zeros(0)}
+        self.rows = {k: np.zeros(1 << 16, kind) for k, kind in self.KINDS.items()}  # grown by doubling
+        self.tables = {k: v[: int(k == "node_arc")] for k, v in self.rows.items()}
+
+    def _append(self, grown: dict[str, np.ndarray]) -> None:
+        for k, new in grown.items():
+            had, rows = len(self.tables[k]), self.rows[k]
+            if had + len(new) > len(rows):
+                self.rows[k] = rows = np.concatenate((rows[:had], np.zeros(max(had, len(new)) + len(new), rows.dtype)))
+            rows[had : had + len(new)] = new
+            self.tables[k] = rows[: had + len(new)]
 
     def add(self, units: list[str]) -> None:
         """Lattices of units not known yet, numbered on in the order given."""
@@ -133,8 +144,7 @@ class Lattices:
         cum[first[1:][arcs > 0] - 1] = 2.0  # no uniform number passes a node's last arc
         t = self.tables
         nodes, before = len(t["node_arc"]) - 1, len(t["arc_id"])
-        grown = {"unit_node": heads + nodes, "unit_len": lengths, "node_arc": first[1:] + before, "arc_len": length, "arc_id": ids, "arc_log": score, "arc_cum": cum}
-        self.tables = {k: np.concatenate((t[k], v)) for k, v in grown.items()}
+        self._append({"unit_node": heads + nodes, "unit_len": lengths, "node_arc": first[1:] + before, "arc_len": length, "arc_id": ids, "arc_log": score, "arc_cum": cum})
         self.index.update(zip(units, range(len(self.index), len(self.index) + len(units))))
 
 
@@ -175,7 +185,7 @@ def _frontier(f: dict, unit, base, keys, occ, pos, arc, before: np.ndarray, boun
     node = f["unit_node"][unit[occ]] + pos
     other = f["node_arc"][node + 1] - f["node_arc"][node] > 1
     with np.errstate(divide="ignore"):
-        place = before + np.log1p(-np.minimum(np.exp(f["arc_log"][arc]), 1 - 1e-16))
+        place = before + np.log1p(-np.minimum(np.exp(f["arc_log"][arc].astype(np.float64)), 1 - 1e-16))
         noise = np.log(-np.log(_uniform(keys[occ], stream, base[occ] + pos)))
     return np.where(other, place - np.logaddexp(place - bound, noise), -np.inf)
 
@@ -203,7 +213,7 @@ def sample_chunk(lattices: Lattices, texts: list[str | None], keys: np.ndarray,
     unit = np.array([lattices.index[u] for u in units], np.int64)
     first = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(counts, out=first[1:])
-    lengths = f["unit_len"][unit] if len(unit) else unit
+    lengths = f["unit_len"][unit].astype(np.int64)
     past = np.zeros(len(unit) + 1, np.int64)
     np.cumsum(lengths, out=past[1:])
     doc = np.repeat(np.arange(len(texts)), counts)
@@ -211,7 +221,7 @@ def sample_chunk(lattices: Lattices, texts: list[str | None], keys: np.ndarray,
     own = keys[doc]
     occ, pos, arc = _walk(f, unit, base, own, np.arange(len(unit)), lengths, 1)
     step = np.searchsorted(occ, first)
-    log_p = f["arc_log"][arc]
+    log_p = f["arc_log"][arc].astype(np.float64)
     sums = np.zeros(len(arc) + 1)
     np.cumsum(log_p, out=sums[1:])
     of = doc[occ] if len(occ) else occ
@@ -232,22 +242,22 @@ def sample_chunk(lattices: Lattices, texts: list[str | None], keys: np.ndarray,
             low, high = int(f["node_arc"][node]), int(f["node_arc"][node + 1])
             gone = ({*p.excluded} if i == p.at else set()) | {int(p.arc[i])}
             open_ = [a for a in range(low, high) if a not in gone]
-            mass = np.cumsum(np.exp(f["arc_log"][open_]))
+            mass = np.cumsum(np.exp(f["arc_log"][open_].astype(np.float64)))
             draw = _uniform(keys[d : d + 1], 16 * turn + 3, base[o : o + 1] + at)[0] * mass[-1]
             pick = open_[min(int(np.searchsorted(mass, draw, side="right")), len(open_) - 1)]
             p.rest[i] = -np.inf
             starts.append((d, p, i, pick, gone, open_, score))
             fresh_occ.append(np.arange(o, first[d + 1]))
-            fresh_pos.append(np.concatenate(([at - f["arc_len"][pick]], lengths[o + 1 : first[d + 1]])))
+            fresh_pos.append(np.concatenate(([at - int(f["arc_len"][pick])], lengths[o + 1 : first[d + 1]])))
         if not starts:
             break
         occ, pos, arc = _walk(f, unit, base, own, np.concatenate(fresh_occ), np.concatenate(fresh_pos), 16 * turn + 4)
-        log_p = f["arc_log"][arc]
+        log_p = f["arc_log"][arc].astype(np.float64)
         for d, p, i, pick, gone, open_, score in starts:
             a, b = np.searchsorted(occ, (first[d], first[d + 1]))
             steps = [np.concatenate((x[: i + 1], y[a:b])) for x, y in ((p.occ, occ), (p.pos, pos), (p.arc, arc))]
             steps[2][i] = pick
-            chosen = p.before[i] + f["arc_log"][pick]
+            chosen = p.before[i] + float(f["arc_log"][pick])
             run = np.concatenate(([chosen], chosen + np.cumsum(log_p[a:b])))
             before = np.concatenate((p.before[: i + 1], run[:-1]))
             rest = np.full(len(before), -np.inf)
@@ -276,14 +286,21 @@ def _spelled(ids: np.ndarray, byte_ids: np.ndarray) -> np.ndarray:
     return np.concatenate(parts).astype(np.int32)
 
 
-def encode(docs: DataFrame, samples: int = 2, alpha: float = 1.0, seed: int = 7, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, ``sample`` (from 1), ``ids``, ``log_prob``, ``perturbed`` and ``log_inclusion``: a row per text and sample."""
+def decoded(table: list[bytes], ids: np.ndarray) -> bytes:
+    """The text, in UTF-8, that was encoded into ``ids``; ``table`` spells each id."""
+    return b"".join([table[i] for i in ids.tolist()])[1:]
+
+
+def encode(docs: DataFrame, samples: int = 2, alpha: float = 1.0, seed: int = 7, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), verify: bool = False) -> DataFrame:
+    """The ``keep`` columns, ``sample`` (from 1), ``ids``, ``log_prob``, ``perturbed`` and ``log_inclusion``: a row per text and sample.
+
+    ``verify`` adds ``exact``: whether the ids decode to the text."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model, alpha))  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(vocabulary.value)
-        byte_ids = np.array(vocabulary.value.byte_ids, np.int32)
-        for batch, raw in text_chunks(batches):
+        byte_ids, table = np.array(vocabulary.value.byte_ids, np.int32), vocabulary.value.spelled
+        for batch, raw in text_chunks(batches, limit=CHUNK):
             null = batch.column(batch.schema.get_field_index("text")).is_null().to_pylist()
             doc_ids = np.array([x or 0 for x in batch.column(batch.schema.get_field_index("__key")).to_pylist()], np.int64)
             found = sample_chunk(lattices, [t.decode() for t in raw], mix64(doc_ids.view(U64) + U64(seed)), samples)
@@ -294,15 +311,16 @@ def encode(docs: DataFrame, samples: int = 2, alpha: float = 1.0, seed: int = 7,
             listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             if any(null):
                 listed = pa.array([None if null[d] else x for (d, _, _), x in zip(flat, listed.to_pylist())], pa.list_(pa.int32()))
+            exact = [pa.array([decoded(table, x) == raw[d] for (d, _, _), x in zip(flat, ids)])] if verify else []
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)).take(rows) for c in keep), pa.array([n for _, n, _ in flat], pa.int32()), listed,
-                 *(pa.array([float(s[i]) for _, _, s in flat]) for i in (1, 2, 3))],
-                names=[*keep, "sample", "ids", "log_prob", "perturbed", "log_inclusion"],
+                 *(pa.array([float(s[i]) for _, _, s in flat]) for i in (1, 2, 3)), *exact],
+                names=[*keep, "sample", "ids", "log_prob", "perturbed", "log_inclusion", *["exact"] * verify],
             )
 
     given = docs.select(*dict.fromkeys((*keep, "text")), docs["doc_id"].cast("long").alias("__key"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return given.mapInArrow(run, ", ".join([*kinds, "sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"]))
+    return given.mapInArrow(run, ", ".join([*kinds, "sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double", *["exact boolean"] * verify]))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -313,12 +331,7 @@ def decode(encoded: DataFrame, model: str = MODEL, column: str = "ids", into: st
         table = spelled.value
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            listed = batch.column(at)
-            offsets, values = listed.offsets.to_pylist(), listed.values.to_pylist()
-            texts = [
-                None if dead else b"".join([table[i] for i in values[a:b]])[1:].decode()
-                for a, b, dead in zip(offsets, offsets[1:], listed.is_null().to_pylist())
-            ]
+            texts = [None if x is None else decoded(table, np.array(x, np.int64)).decode() for x in batch.column(at).to_pylist()]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, names=[into if i == at else n for i, n in enumerate(batch.schema.names)])
 
