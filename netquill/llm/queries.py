@@ -20,6 +20,12 @@ def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquill.llm.suffix_tree_lm import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netquill.llm.url_filter import judge_urls
 
@@ -45,16 +51,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of every text; ``exact`` says that decoding the ids gives back the text (compared by hash and length)."""
-    from netquill.llm.piece_sampling import decode, encode
+    """Samples of every text with a hash of their ids; ``exact`` says that the ids decode to the text."""
+    from netquill.llm.piece_sampling import encode
 
-    digest = lambda c: F.struct(F.xxhash64(c), F.length(c))
-    docs = read_table(spark, sf_dir, "documents").withColumn("digest", F.xxhash64("text")).withColumn("n_chars", F.length("text"))
-    encoded = encode(docs, keep=("doc_id", "digest", "n_chars"))
-    encoded = encoded.withColumn("n_pieces", F.size("ids")).withColumn("ids_hash", F.xxhash64("ids"))
-    decoded = decode(encoded)
-    exact = digest("decoded").eqNullSafe(F.struct("digest", "n_chars"))
-    return decoded.select("doc_id", "sample", "n_pieces", "ids_hash", "log_prob", "perturbed", "log_inclusion", exact.alias("exact"))
+    encoded = encode(read_table(spark, sf_dir, "documents"), verify=True)
+    ids = (F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"))
+    return encoded.select("doc_id", "sample", *ids, "log_prob", "perturbed", "log_inclusion", "exact")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_mtree_search, op2_source_mixing, op4_url_filter, op5_projected_search, op6_piece_sampling, op7_toxicity, op8_line_dedup, op9_minhash_dedup, op10_language_id, pipeline)
+QUERIES = (op1_mtree_search, op2_source_mixing, op3_suffix_tree_lm, op4_url_filter, op5_projected_search, op6_piece_sampling, op7_toxicity, op8_line_dedup, op9_minhash_dedup, op10_language_id, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
