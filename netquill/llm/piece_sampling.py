@@ -82,6 +82,7 @@ class Lattices:
             "id": np.array([i for i, _ in vocabulary.pieces.values()], np.int32),
             "log": np.log([w for _, w in vocabulary.pieces.values()]),
         }
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int64)
         self.matches = ahocorasick.Automaton()
         for n, piece in enumerate(vocabulary.pieces):
             self.matches.add_word(piece, n)
@@ -120,7 +121,8 @@ class Lattices:
             code = codes[spelled].astype(np.int64)
             width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
             node, length = np.concatenate((node, spelled)), np.concatenate((length, np.ones(len(spelled), np.int32)))
-            ids = np.concatenate((ids, (-code - 1).astype(np.int32)))
+            alone = self.byte_ids[np.minimum(code, 127)]  # a character of one byte is that byte's id
+            ids = np.concatenate((ids, np.where(width == 1, alone, -code - 1).astype(np.int32)))
             log = np.concatenate((log, width * math.log(self.v.byte_weight)))
             order = np.argsort(node, kind="stable")
             node, length, ids, log = node[order], length[order], ids[order], log[order]
@@ -150,7 +152,7 @@ class Lattices:
 
 def _uniform(keys: np.ndarray, stream: int, counter: np.ndarray) -> np.ndarray:
     """Numbers strictly between 0 and 1 for each key and counter."""
-    x = mix64(mix64(keys + U64(stream * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) + counter.astype(U64))
+    x = mix64(keys + U64(stream * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) + counter.astype(U64) * U64(0xD1B54A32D192ED03))
     return ((x >> U64(12)).astype(np.float64) + 0.5) / (1 << 52)
 
 
@@ -183,11 +185,13 @@ def _walk(f: dict, unit: np.ndarray, base: np.ndarray, keys: np.ndarray, occ: np
 def _frontier(f: dict, unit, base, keys, occ, pos, arc, before: np.ndarray, bound: np.ndarray, stream: int) -> np.ndarray:
     """The greatest perturbed score among the other arcs of each step, truncated at ``bound``."""
     node = f["unit_node"][unit[occ]] + pos
-    other = f["node_arc"][node + 1] - f["node_arc"][node] > 1
-    with np.errstate(divide="ignore"):
-        place = before + np.log1p(-np.minimum(np.exp(f["arc_log"][arc].astype(np.float64)), 1 - 1e-16))
-        noise = np.log(-np.log(_uniform(keys[occ], stream, base[occ] + pos)))
-    return np.where(other, place - np.logaddexp(place - bound, noise), -np.inf)
+    out = np.full(len(node), -np.inf)
+    open_ = np.flatnonzero(f["node_arc"][node + 1] - f["node_arc"][node] > 1)
+    occ, bound = occ[open_], np.broadcast_to(bound, len(node))[open_]
+    place = before[open_] + np.log1p(-np.minimum(np.exp(f["arc_log"][arc[open_]].astype(np.float64)), 1 - 1e-16))
+    noise = np.log(-np.log(_uniform(keys[occ], stream, base[occ] + pos[open_])))
+    out[open_] = place - np.logaddexp(place - bound, noise)
+    return out
 
 
 class _Path:
