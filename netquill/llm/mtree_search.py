@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from netquill.llm.paged_search import MAX_CELLS, PAGE_ROWS, Best, best_of, paged, sample_of, search_pages, vectors_of, visits, with_cells
 
-FANOUT = 32
+FANOUT, LEAF = 16, 256  # entries of an inner node, rows of a leaf
 SLACK = 1e-9  # of R^2: keeps rounding from closing a node that holds an equal score
 
 
@@ -42,9 +42,9 @@ class Node:
 def build(points: np.ndarray, ids: np.ndarray, above: np.ndarray | None = None) -> Node:
     """A bulk-loaded M-tree node over ``points``; ``above`` is the routing object it hangs from."""
     distance = np.zeros(len(points)) if above is None else np.sqrt(((points - above) ** 2).sum(1))
-    if len(points) <= FANOUT:
+    if len(points) <= LEAF:
         return Node(points, distance, ids=ids)
-    chosen = np.linspace(0, len(points) - 1, min(FANOUT, math.ceil(len(points) / FANOUT)) if len(points) > FANOUT * 2 else 2).astype(int)
+    chosen = np.linspace(0, len(points) - 1, min(FANOUT, math.ceil(2 * len(points) / LEAF))).astype(int)
     norm = (points**2).sum(1)
     near = (norm[:, None] + norm[chosen][None, :] - 2 * points @ points[chosen].T).argmin(1)
     groups = [np.flatnonzero(near == g) for g in range(len(chosen))]
