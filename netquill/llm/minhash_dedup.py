@@ -5,8 +5,10 @@
 2. One permutation of the shingles is cut into ``rows * bands`` bins; an empty bin copies the first occupied bin in a fixed
    random order of bins of its own (optimal densification), which keeps the collision probability at the Jaccard similarity.
 3. Classes that share a band bucket are linked to one centre, the smallest class of all their buckets: one edge per class.
-4. Edges are confirmed on full sets and closed into components. What is left, pairs of bucket mates that are still in
-   different components and of fitting size, is confirmed too, so that no bucket pair is skipped.
+4. Edges are confirmed on full sets and closed into components. What is left, bucket mates that are still in different
+   components, is confirmed too, so that no bucket pair is skipped: directly in buckets of up to ``SMALL`` classes; classes
+   of larger ones meet only on shingles early in a rare-first order (a pair at the threshold shares one of the first quarter,
+   and its first shared one leaves enough shingles behind it on both sides), so that the many that fit nothing don't meet.
 
 At the threshold of 0.75, 5 rows and 50 bands miss a pair with a probability of 1.3e-6.
 
@@ -21,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquill.llm.common import U64, documents_of, hashed_words, list_array, materialize, mix64, text_chunks
 from netquill.llm.components import connected_components
 
+SMALL = 16
 EMPTY = np.iinfo(U64).max
 
 
@@ -138,6 +141,43 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * meet >= percent * (F.size("a_set") + F.size("b_set") - meet)).select("a", "b")
 
 
+def bucket_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of bucket mates in different components whose sizes allow the threshold."""
+    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n_shingles", "component"))) for s in "xy")
+    return (
+        x.join(y, "key")
+        .where("component_x < component_y")
+        .where(100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y"))
+        .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+    )
+
+
+def prefix_pairs(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of ``reps`` in different components that can reach the threshold, by prefix and position in a rare-first order.
+
+    Shingles held once take the first places of a set and need no row. Of the classes that share a shingle those of its most
+    frequent component meet the others only.
+    """
+    flat = sets.join(reps, "rep").select("rep", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    held = flat.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    own = Window.partitionBy("rep")
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "shingle"))
+    prefix = flat.join(held, "shingle").withColumn("place", place).where(100 * (F.col("size") - F.col("place") + 1) >= percent * F.col("size"))
+    prefix = materialize(prefix.select("shingle", "rep", "component", "size", "place"), "minhash-prefixes")
+    kinds = prefix.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle")
+    mixed = kinds.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    met = prefix.join(mixed.select("shingle", "main"), "shingle")
+    x, y = (met.select("shingle", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "size", "place"))) for s in "xy")
+    behind = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1
+    return (
+        x.where("component_x <> main")
+        .join(y.drop("main"), "shingle")
+        .where("component_x < component_y or (component_y = main and component_x <> component_y)")
+        .where((100 + percent) * behind >= percent * (F.col("size_x") + F.col("size_y")))
+        .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rows: int = 5, bands: int = 50) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row per document."""
     docs = documents_of(docs, "doc_id", "text").where("doc_id is not null")
@@ -161,16 +201,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rows: in
     labelled = shared.join(found, shared["rep"] == found["node"], "left").select(
         "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")
     )
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = materialize(labelled.join(mixed, "key"), "minhash-open")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n_shingles", "component"))) for s in "xy")
-    rest = (
-        x.join(y, "key")
-        .where("component_x < component_y")
-        .where(100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y"))
-        .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-        .distinct()
-    )
+    labelled = materialize(labelled, "minhash-labelled")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    open_ = materialize(labelled.join(mixed.select("key", "n"), "key"), "minhash-open")
+    rest = bucket_pairs(open_.where(F.col("n") <= SMALL), percent).unionByName(
+        prefix_pairs(open_.where(F.col("n") > SMALL).select("rep", "component").distinct(), sets, percent)
+    ).distinct()
     more = materialize(confirm(rest, sets, percent), "minhash-links")
     found = connected_components(links.unionByName(more), "a", "b")
 
