@@ -170,6 +170,8 @@ def train(docs: DataFrame, depth: int = 2, share: float = SHARE) -> tuple[Suffix
         found = _counted(docs, grams_of).where(F.col("n") >= floor).toPandas().sort_values("key")  # at most 1 / share rows
         if level:
             tree.levels.pop()
+        if found.empty:
+            break
         grams, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
         def shorter(of: np.ndarray, word: np.ndarray, level: int = level, keys: np.ndarray = keys) -> np.ndarray:
