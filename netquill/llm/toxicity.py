@@ -2,8 +2,8 @@
 
 Features of a text: densities of a fixed lexicon and of words and word stems learned from the labels, their nearness to the
 second person, capitals, punctuation and obfuscated spellings. Labels are learned from at most about ``MAX_ROWS`` labelled
-rows, chosen by a hash of their id; a tenth part (by another hash) belongs to one of three folds: 0-3 for the lexicon, 4-7
-for the trees, 8-9 for the calibration, so that none is judged by words it brought itself.
+rows, chosen by a hash of their id. Another hash deals them into tenths: 0-3 teach the lexicon, 4-7 the trees, 8-9 the
+calibration, so that no row is judged by words it brought itself.
 
 Cases: null and empty texts have all densities 0 and get a score like others; labels with null ``toxic`` or ``doc_id`` are
 left out, of repeated ones the greatest counts; without labels every score is 0, with one class only every score is that
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -103,7 +104,8 @@ def features(docs: DataFrame, lexicon: dict[str, float], keep: tuple[str, ...] =
                     marks[i] = max(weight, marks.get(i, 0.0))
                     break
         you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-        near = sum(any(abs(i - j) <= NEAR for j in marks) for i in you) if marks and len(marks) < 1000 else len(you) if marks else 0
+        at = list(marks)  # ascending
+        near = sum((j := bisect_left(at, i - NEAR)) < len(at) and at[j] <= i + NEAR for i in you)
         masked = _MASKED.findall(text)
         unmasked = sum((x := m.lower().translate(_UNMASK)) in INSULTS or x in whole for m in masked)
         chars = max(len(text), 1)
