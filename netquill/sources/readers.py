@@ -49,7 +49,7 @@ def stream_logs(spark: SparkSession, log_type: str, source: dict) -> DataFrame:
         if "maxFilesPerTrigger" in source:
             reader = reader.option("maxFilesPerTrigger", source["maxFilesPerTrigger"])
         return parse_lines(reader.load(source["path"]), log_type)
-    options = {"subscribe": f"zeek.{log_type}", **source}
+    options = {"subscribe": log_type, **source}
     return parse_lines(spark.readStream.format("kafka").options(**options).load().select(F.col("value").cast("string").alias("value")), log_type)
 
 
