@@ -9,10 +9,14 @@ from netquill.functions.codes import code_name
 from netquill.functions.net import bucket, flow_uid, sender_is_originator
 from netquill.operators.sequential import split_lifetimes
 
-# fixed values: vendor default logins, for comparison only
-DEFAULT_LOGINS = ("admin:admin", "tomcat:tomcat", "tomcat:s3cret", "admin:password", "root:root", "admin:", "admin:1234", "user:user", "guest:guest", "manager:manager")
-COMPILERS = r"(^|/)(gcc|g\+\+|cc|c\+\+|clang|clang\+\+|[a-z0-9_]+-gcc|[a-z0-9_]+-g\+\+)(-[0-9.]+)?$"
-DEPLOY = r"(?i)^/(manager/(text|html)/(deploy|upload)|manager/deploy|jmx-console/|invoker/|axis2/axis2-admin/upload|console/)"
+# fixed values: vendor default logins (for comparison only), compilers and paths that take code
+DEFAULT_LOGINS = (
+    "tomcat:tomcat", "tomcat:s3cret", "tomcat:admin", "admin:tomcat", "admin:admin", "admin:password", "admin:", "admin:1234", "admin:12345", "root:root",
+    "root:toor", "root:password", "manager:manager", "role1:role1", "both:tomcat", "guest:guest", "cisco:cisco", "user:user", "test:test",
+)
+COMPILERS = r"^(gcc|g\+\+|cc|c\+\+|cpp|clang|clang\+\+|as|ld|cc1|cc1plus|.*-gcc|.*-g\+\+|gcc-.*|g\+\+-.*|clang-.*)$"
+DEPLOY = r"(?i)^(/manager/html/upload.*|/manager/text/deploy.*|/manager/html/deploy.*|/manager/deploy|/script|/scripttext)$"
+MAIL_PORTS = (25, 587, 2525)
 
 
 def _ends(packets: DataFrame) -> DataFrame:
@@ -90,22 +94,27 @@ def app_events(packets: DataFrame) -> DataFrame:
     """
     text = F.decode(F.coalesce("payload", F.lit(b"")), "ISO-8859-1")
     rows = packets.withColumn("text", text)
-    smtp = F.regexp_extract("text", r"(?i)^(VRFY|EXPN|RCPT TO:)\s*<?([^\s>]+)", 1)
-    login = F.regexp_extract("text", r"(?im)^Authorization: Basic ([A-Za-z0-9+/=]+)", 1)
-    pair = F.try_to_binary(login, F.lit("base64")).cast("string")
-    is_default = F.lower(pair).isin(*DEFAULT_LOGINS)
-    path = F.regexp_extract("text", r"^(?:GET|POST|PUT) (\S+) HTTP/1", 1)
-    argv0 = F.regexp_extract("text", r"^DIST0000000[1-3]ARGC[0-9a-f]{8}ARGV[0-9a-f]{8}([^A]+?)(?=ARGV)", 1)
+    verb = r"(?i)^(VRFY |EXPN |RCPT TO:)\s*<?([^\s>@]*)[^\n]{0,280}\n$"
+    smtp, account = F.upper(F.trim(F.regexp_extract("text", verb, 1))), F.regexp_extract("text", verb, 2)
+    request = r"^(?:GET|POST|PUT|HEAD|DELETE) (\S+) HTTP/1\."
+    path = F.regexp_extract("text", request, 1)
+    login = F.when(path != "", F.regexp_extract("text", r"(?im)^Authorization: *Basic +([A-Za-z0-9+/]+)", 1)).otherwise("")
+    padded = F.concat(login, F.repeat(F.lit("="), F.pmod(-F.length(login), F.lit(4))))
+    pair = F.when(login != "", F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    default = F.coalesce(pair.isin(*DEFAULT_LOGINS), F.lit(False))
+    deploy = F.col("text").rlike("^(POST|PUT) ") & F.substring_index(path, "?", 1).rlike(DEPLOY)
+    argv0 = F.element_at(F.split(F.regexp_extract("text", r"^DIST[0-9a-f]{8}ARGC[0-9a-f]{8}ARGV[0-9a-f]{8}(.+?)ARGV", 1), "/"), -1)
     event = lambda ok, f, d, c: F.when(ok, F.struct(f.alias("app_function"), d.alias("app_detail"), c.cast("int").alias("app_code")))
-    zero, none = F.lit(0), F.lit("")
+    none = F.lit("")
+    mail = F.when(smtp == "VRFY", "smtp_vrfy").when(smtp == "EXPN", "smtp_expn").otherwise("smtp_rcpt")
+    refusal = F.regexp_extract("text", r"^(55[0-9])[ -]", 1)
     events = F.array_compact(F.array(
-        event((smtp != "") & (F.col("dport").isin(25, 587)), F.when(F.upper(smtp) == "VRFY", "smtp_vrfy").when(F.upper(smtp) == "EXPN", "smtp_expn").otherwise("smtp_rcpt"),
-              F.lower(F.regexp_extract("text", r"(?i)^(VRFY|EXPN|RCPT TO:)\s*<?([^\s>]+)", 2)), zero),
-        event(F.col("text").rlike("^55[0-9][ -]") & F.col("sport").isin(25, 587), F.lit("smtp_reject"), none, zero),
-        event(login != "", F.lit("http_basic"), F.coalesce(F.substring_index(pair, ":", 1), none), F.coalesce(is_default, F.lit(False))),
-        event(F.col("text").rlike(r"^HTTP/1\.[01] 401"), F.lit("http_401"), none, zero),
-        event(path.rlike(DEPLOY), F.lit("http_admin_deploy"), F.substring_index(path, "?", 1), F.when(F.coalesce(is_default, F.lit(False)), 2).otherwise(0)),
-        event(argv0 != "", F.concat(F.lit("distcc:"), argv0), argv0, (~argv0.rlike(COMPILERS))),
+        event(smtp != "", mail, account, F.lit(0)),
+        event((refusal != "") & F.col("sport").isin(*MAIL_PORTS), F.lit("smtp_reject"), none, refusal.try_cast("int")),
+        event(deploy, F.lit("http_admin_deploy"), F.substring(path, 1, 96), F.when(default, 3).otherwise(1)),
+        event(~deploy & pair.isNotNull(), F.lit("http_basic"), F.substring(F.substring_index(pair, ":", 1), 1, 64), default),
+        event(F.col("text").rlike(r"^HTTP/1\.. 401"), F.lit("http_401"), none, F.lit(401)),
+        event(argv0 != "", F.concat(F.lit("distcc:"), argv0), argv0, ~argv0.rlike(COMPILERS)),
     ))
     sender = F.col("e.app_function").isin("smtp_reject", "http_401")  # sent by the server
     side = lambda x, y: F.when(sender, F.col(x)).otherwise(F.col(y))

@@ -13,7 +13,8 @@ from netquill.functions.net import bucket, is_multicast, jitter_pct
 from netquill.operators.predicates import is_probe
 from netquill.operators.stateless import is_exfil, is_slow
 
-AUTH_PORTS = (21, 22, 23, 110, 143, 389, 445, 1433, 3306, 3389)
+# fixed values: ports of services that authenticate
+AUTH_PORTS = (21, 22, 23, 25, 110, 143, 993, 995, 3389, 5900)
 
 
 def _running(*keys, order=("ts", "rid")):

@@ -110,7 +110,7 @@ def detect(flows: dict[str, DataFrame], cfg: Config | None = None, only: tuple[s
         found.append(build_alert(hits, "ja4", "ENCRYPTED_MALWARE", F.col("severity"), F.col("confidence"), ("Command and Control", "T1573", "Encrypted Channel"), ["ja4", "application", "tier"]))
     if "opcua" in flows and only is None:
         hits = opcua_weak_policies(flows["opcua"])
-        found.append(build_alert(hits, "opcua_policy", "INSECURE_CONFIGURATION", F.col("severity"), F.col("confidence"), ("Credential Access", "T1557", "Adversary-in-the-Middle"), ["opcua_policy"]))
+        found.append(build_alert(hits, "opcua_policy", "INSECURE_CONFIGURATION", F.col("severity"), F.col("confidence"), ("Collection", "T0830", "Adversary-in-the-Middle"), ["opcua_policy"]))
     if "eve" in flows:
         hits = st.map_ids_alerts(flows["eve"])
         found.append(build_alert(hits, "ids", F.col("threat_class"), F.col("severity"), F.col("confidence"), None, ["signature", "signature_id", "category"], discriminator=F.col("signature_id").cast("string")))

@@ -188,15 +188,16 @@ def test_live_assembly_cuts(spark):
 
 
 def test_app_events_hide_passwords(spark):
-    basic = b"GET /manager/text/deploy HTTP/1.1\r\nAuthorization: Basic YWRtaW46YWRtaW4=\r\nUser-Agent: x\r\n\r\n"
-    rows = [(0, "c", 50000, "s", 80, None, basic), (1, "s", 80, "c", 50000, None, b"HTTP/1.1 401 No\r\n"), (2, "c", 50001, "m", 25, None, b"VRFY root\r\n")]
+    basic = b"PUT /manager/text/deploy?path=/x HTTP/1.1\r\nAuthorization: Basic YWRtaW46YWRtaW4=\r\nUser-Agent: x\r\n\r\n"
+    rows = [(0, "c", 50000, "s", 80, None, basic), (1, "s", 80, "c", 50000, None, b"HTTP/1.1 401 No\r\n"), (2, "c", 50001, "m", 25, None, b"VRFY root@h\r\n")]
+    rows += [(3, "c", 50000, "s", 80, None, basic.replace(b"PUT /manager/text/deploy", b"GET /docs")), (4, "c", 1, "d", 3632, None, b"DIST00000001ARGC00000002ARGV00000004/bin/shARGV00000002-c")]
     got = assembly.app_events(packets(spark, rows)).collect()
     assert sorted((r["app_function"], r["app_detail"], r["app_code"]) for r in got) == [
-        ("http_401", "", 0), ("http_admin_deploy", "/manager/text/deploy", 2), ("http_basic", "admin", 1), ("smtp_vrfy", "root", 0),
+        ("distcc:sh", "sh", 1), ("http_401", "", 401), ("http_admin_deploy", "/manager/text/deploy?path=/x", 3), ("http_basic", "admin", 1), ("smtp_vrfy", "root", 0),
     ]
     assert all("admin:admin" not in str(r) for r in got)
     http = assembly.http_requests(packets(spark, rows)).first()
-    assert (http["method"], http["uri"], http["user_agent"]) == ("GET", "/manager/text/deploy", "x")
+    assert (http["method"], http["uri"], http["user_agent"]) == ("PUT", "/manager/text/deploy?path=/x", "x")
 
 
 def test_fixed_decode_and_ja4(spark):
