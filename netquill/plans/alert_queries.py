@@ -257,10 +257,10 @@ def _(spark, d):
 
 
 # ---- alert structure -------------------------------------------------------------------------------------------------------
-@query("k2_rejected_alerts", f"WITH {ALERTS} SELECT alert_id, confidence_score FROM alerts WHERE confidence_score > 45")
+@query("k2_rejected_alerts", f"WITH {ALERTS} SELECT alert_id, severity FROM alerts WHERE confidence_score + 55 > 100")
 def _(spark, d):
     ok = _nested(spark, d).withColumn("threat_class", F.lit("RECONNAISSANCE")).withColumn("confidence_score", F.col("confidence_score") + 55)
-    return sinks.validate_alerts(ok)[1].select("alert_id", (F.col("confidence_score") - 55).alias("confidence_score")).where("confidence_score > 45")
+    return sinks.validate_alerts(ok)[1].select("alert_id", "severity")
 
 
 @query("p11_flatten", f"WITH {ALERTS} SELECT alert_id, src_ip, dst_port, technique_id FROM alerts")
