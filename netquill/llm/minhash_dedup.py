@@ -23,13 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquill.llm.common import U64, documents_of, hashed_words, list_array, materialize, mix64, text_chunks
 from netquill.llm.components import connected_components
 
 SMALL = 16
+#: Counters of the rare-first order, a power of two; 2 MB in each Python worker and at most 3 MB through the driver.
+SLOTS = 1 << 18
+CHUNK_SHINGLES = 1 << 20
 EMPTY = np.iinfo(U64).max
 
 
@@ -152,18 +155,54 @@ def bucket_pairs(open_: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def slot_holders(sets: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """Holders counted over hash slots of the shingles: ``slots`` numbers, whatever the input."""
+    slot = F.col("shingle").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")
+    got = sets.select(F.explode("shingles").alias("shingle")).groupBy(slot).agg(F.count("*").alias("n")).toArrow()
+    holders = np.zeros(slots, np.int64)
+    holders[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return holders
+
+
+def prefixes(sets: DataFrame, holders: np.ndarray, percent: int) -> DataFrame:
+    """``rep, component, size, place, shingle``: the first places of each set in the order of (holders of the slot, shingle).
+
+    The order is one for all sets, which is all that the prefix bound asks; how well slots tell rare shingles from frequent
+    ones decides the number of candidates alone.
+    """
+    table = sets.sparkSession.sparkContext.broadcast(holders)
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = table.value
+        for batch in batches:
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(ends):
+                before = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_SHINGLES, "right")))
+                part = batch.slice(start, stop - start)
+                values, sizes = part.column(2).flatten().to_numpy(), np.diff(ends[start:stop], prepend=before)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                values = values[np.lexsort((values, counts[values & (len(counts) - 1)], row))]
+                place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+                kept = np.flatnonzero(100 * (sizes[row] - place + 1) >= percent * sizes[row])
+                owner = pa.array(row[kept])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(owner), part.column(1).take(owner), *(pa.array(x) for x in (sizes[row[kept]], place[kept], values[kept]))],
+                    names=["rep", "component", "size", "place", "shingle"],
+                )
+                start = stop
+
+    return sets.select("rep", "component", "shingles").mapInArrow(early, "rep long, component long, size long, place long, shingle long")
+
+
 def prefix_pairs(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of ``reps`` in different components that can reach the threshold, by prefix and position in a rare-first order.
 
-    Shingles held once take the first places of a set and need no row. Of the classes that share a shingle those of its most
-    frequent component meet the others only.
+    Of the classes that share a shingle those of its most frequent component meet the others only.
     """
-    flat = sets.join(reps, "rep").select("rep", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    held = flat.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    own = Window.partitionBy("rep")
-    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "shingle"))
-    prefix = flat.join(held, "shingle").withColumn("place", place).where(100 * (F.col("size") - F.col("place") + 1) >= percent * F.col("size"))
-    prefix = materialize(prefix.select("shingle", "rep", "component", "size", "place"), "minhash-prefixes")
+    own = sets.join(reps, "rep")
+    prefix = materialize(prefixes(own, slot_holders(own), percent), "minhash-prefixes")
     kinds = prefix.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle")
     mixed = kinds.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     met = prefix.join(mixed.select("shingle", "main"), "shingle")
