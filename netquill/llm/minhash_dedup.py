@@ -30,7 +30,7 @@ from netquill.llm.common import U64, documents_of, hashed_words, list_array, mat
 from netquill.llm.components import connected_components
 
 SMALL = 16
-#: Counters of the rare-first order, a power of two; 2 MB in each Python worker and at most 3 MB through the driver.
+#: Counters of the rare-first order, a power of two; 2 MB in each Python worker and at most 4 MB through the driver.
 SLOTS = 1 << 18
 CHUNK_SHINGLES = 1 << 20
 EMPTY = np.iinfo(U64).max
@@ -156,9 +156,18 @@ def bucket_pairs(open_: DataFrame, percent: int) -> DataFrame:
 
 
 def slot_holders(sets: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """Holders counted over hash slots of the shingles: ``slots`` numbers, whatever the input."""
-    slot = F.col("shingle").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")
-    got = sets.select(F.explode("shingles").alias("shingle")).groupBy(slot).agg(F.count("*").alias("n")).toArrow()
+    """Holders counted over hash slots of the shingles, first inside each task: ``slots`` numbers, whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holders = np.zeros(slots, np.int64)
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy()
+            for start in range(0, len(values), CHUNK_SHINGLES):
+                holders += np.bincount(values[start : start + CHUNK_SHINGLES] & (slots - 1), minlength=slots)
+        held = np.flatnonzero(holders)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(holders[held])], names=["slot", "n"])
+
+    got = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     holders = np.zeros(slots, np.int64)
     holders[got["slot"].to_numpy()] = got["n"].to_numpy()
     return holders
