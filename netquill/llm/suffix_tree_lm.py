@@ -1,11 +1,14 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of up to ``depth`` words. A context is a candidate where it and a word after it make up at least ``share``
-of all tokens; it is retained where its next-word distribution diverges from that of the context without its first word.
-Distributions are smoothed towards that shorter context down to the add-one unigram of all training tokens, and a token is
-scored in the longest retained suffix of what precedes it. At most ``depth / share`` pairs of context and word can be
-candidates, so that the tree has a bound whatever the corpus; the unigram counts have none and stay distributed: tokens that
-are not among the ``FREQUENT`` commonest words get their counts by a join.
+States are contexts of up to ``depth`` words. A pair of a context and a next word is in the tree where it occurs ``MIN_COUNT``
+times, whatever the size of the corpus; a context is retained where its next-word distribution diverges from that of the
+context without its first word. Distributions are smoothed towards that shorter context down to the add-one unigram of all
+training tokens, and a token is scored in the longest retained suffix of what precedes it.
+
+The tree has no bound, so it is a partitioned table of grams. A token's log probability is a sum over the grams that end at
+it (what its word gains over the shorter context) and those that end before it (the escape to the shorter context), so that a
+text is scored by a join of its distinct grams. The ``FREQUENT`` commonest grams of each length are looked up inside tasks;
+bitmaps of fixed size spare the shuffle grams that can't be in the table, and lose none.
 
 Cases: null and empty texts are the end token alone; training rows are those whose crc32(doc_id) modulo ``folds`` isn't
 ``held_out``, null ids among them; without training rows all counts are 0 and every token's probability is 1; rows are
@@ -19,16 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquill.llm.common import U64, documents_of, hashed_words, materialize, mix64, mod_of_id, text_chunks
 
-SHARE = 5e-6
+MIN_COUNT = 2
 FREQUENT = 500_000
 #: A context stays if its divergence (nats a token) and the log-likelihood it gains reach these.
 MIN_DIVERGENCE, MIN_GAIN = 0.02, 12.0
 FLUSH = 1_000_000  # distinct keys counted in a task before they are passed on
+SLOTS = 1 << 26  # bits of a bitmap of keys
+TURNS = (0, 11, 29, 47)  # by how many bits a context's key is turned at each length, so that no word cancels out
 END = np.array([-1], np.int64)  # hash of the end token
 
 
@@ -71,180 +76,243 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def longer(keys: np.ndarray, doc: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the grams of ``level + 1`` words from those of ``level`` words (by their last token), and which exist."""
+    turned, out, there = keys.view(U64), np.zeros(len(keys), U64), np.zeros(len(keys), bool)
+    r = U64(TURNS[level])
+    turned = (turned << r) | (turned >> (U64(64) - r))
+    out[1:] = turned[:-1] ^ keys.view(U64)[1:]
+    there[1:] = doc[1:] == doc[:-1]
+    return out.view(np.int64), there
+
+
+def _longer(context: str, shorter: str, level: int):
+    r = TURNS[level]
+    return F.shiftleft(context, r).bitwiseOR(F.shiftrightunsigned(context, 64 - r)).bitwiseXOR(F.col(shorter))
+
+
+def grams(found: np.ndarray, doc: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the key of the gram that ends at each token, and whether the text has that many words there."""
+    out = [(found, np.ones(len(found), bool))]
+    for level in range(1, depth + 1):
+        keys, there = longer(out[-1][0], doc, level)
+        there[1:] &= out[-1][1][:-1]
+        out.append((keys, there))
+    return out
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of all keys' slots, as 64-bit numbers."""
+    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    found = keys.select(F.shiftright(slot, 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()  # SLOTS / 64 rows at most
+    out = np.zeros(SLOTS // 64, np.int64)
+    out[found["i"].to_numpy()] = found["b"].to_numpy()
+    return out.view(U64)
+
+
+def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys.view(U64) & U64(SLOTS - 1)
+    return (bits[slot >> U64(6)] >> (slot & U64(63))) & U64(1) == 1
+
+
+def _counted_grams(docs: DataFrame, level: int, bits: np.ndarray) -> DataFrame:
+    """``c, low, n`` of the grams of ``level + 1`` words that occur ``MIN_COUNT`` times: keys without the last and the first word.
+
+    ``bits`` has the shorter grams that occur as often. Tasks pass their counts on in the order of contexts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def merged(parts: list[tuple]) -> tuple:
+        c, low, n = (np.concatenate(x) for x in zip(*parts))
+        half = np.int64(0xFFFFFFFF)
+        order = np.argsort((c & ~half) | (low & half))  # pairs that share these bits may stay apart; the sum joins them
+        c, low, n = c[order], low[order], n[order]
+        new = np.ones(len(c), bool)
+        new[1:] = (c[1:] != c[:-1]) | (low[1:] != low[:-1])
+        first = np.flatnonzero(new)
+        return c[first], low[first], np.add.reduceat(n, first) if len(first) else n
+
+    def batch_of(part: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["c", "low", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, parts, held = shared.value, [], 0
+        for _, texts in text_chunks(batches):
+            found, doc = tokens(texts)
+            keys, there = grams(found, doc, level - 1)[-1]
+            often = there & _in(bits, keys)
+            use = np.flatnonzero((doc[1:] == doc[:-1]) & often[1:] & often[:-1])
+            parts.append((keys[use], keys[use + 1], np.ones(len(use), np.int64)))
+            held += len(use)
+            if held >= 2 * FLUSH:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held >= FLUSH:
+                    yield batch_of(parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield batch_of(merged(parts))
+
+    made = docs.select("text").mapInArrow(run, "c long, low long, n long").repartition("c")
+    return made.groupBy("c", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+
+
+def _frequent(table: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of the ``FREQUENT`` largest ``n`` at most, unless as many rows have over 10,000; and the least ``n`` of these."""
+    high = table.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 10,000 rows
+    least, rows = 1, 0
+    for r in high:
+        rows += r["count"]
+        if rows > FREQUENT:
+            least = r["n"] + 1
+            break
+    return table.where(F.col("n") >= least), least
+
+
 class SuffixTree:
-    """``words``: hashes of frequent words, ascending, with counts. Level l holds the retained contexts of l + 1 words.
+    """The commonest part of the tree, which tasks hold. ``words``: hashes of frequent words, ascending, with counts.
 
-    A context is the pair of its first word's number (newest context of one word less, oldest word last dropped) and keys are
-    numbers: at level 0 the word's; at level l ``previous candidate's number * len(words) + word``. ``grams`` has a key for
-    each candidate pair of context and next word.
+    ``levels[l]``: frequent grams of l + 2 words by ascending ``keys``; ``kept``: whether their context is retained. ``gains`` is
+    what log10 of the last word's probability has over the shorter context's, ``escapes`` what the gram as a context adds to
+    every word after it. ``held``: bitmap of all grams of two words and more that have a part.
     """
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
         self.root = np.log10((counts + 1) / (total + distinct + 1))
-        #: for each level: candidate contexts' keys, retained, log10 of the escape mass, denominators, gram keys, gram counts
+        self.escapes = np.zeros(len(words))
         self.levels: list[dict] = []
+        self.held = np.zeros(SLOTS // 64, U64)
+
+    def parts(self, found: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """What each token gains and escapes by frequent grams, and for each length the others' places and keys."""
+        gains, escapes, others = np.zeros(len(found)), np.zeros(len(found)), []
+        tables = [(self.words, self.root, self.escapes), *((x["keys"], x["gains"], x["escapes"]) for x in self.levels)]
+        for level, ((keys, there), (table, gain, escape)) in enumerate(zip(grams(found, doc, len(self.levels)), tables)):
+            place = np.flatnonzero(there & _in(self.held, keys)) if level else np.arange(len(keys))
+            at = _find(table, keys[place])
+            used, other = place[at >= 0], place[at < 0]
+            at = at[at >= 0]
+            gains[used] += gain[at]
+            escapes[used] += escape[at]
+            others.append((other, keys[other]))
+        return gains, escapes, others
 
-    def context(self, numbers: np.ndarray, doc: np.ndarray, level: int) -> np.ndarray:
-        """For each token the number of the candidate context that the ``level + 1`` tokens before it make, or -1."""
-        if level == 0:
-            out = np.full(len(numbers), -1)
-            out[1:] = np.where(doc[1:] == doc[:-1], numbers[:-1], -1)
-            return out
-        shorter = np.full(len(numbers), -1)
-        shorter[1:] = np.where(doc[1:] == doc[:-1], self.context(numbers, doc, level - 1)[:-1], -1)  # what stands before the last word
-        last = self.context(numbers, doc, 0)
-        both = (shorter >= 0) & (last >= 0)
-        out = np.full(len(numbers), -1)
-        out[both] = _find(self.levels[level]["keys"], shorter[both] * len(self.words) + last[both])
+    def log_probabilities(self, numbers: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """log10 of each frequent word's probability after the words before it, by frequent grams."""
+        out, escapes, _ = self.parts(self.words[numbers], doc)
+        out[1:] += np.where(doc[1:] == doc[:-1], escapes[:-1], 0.0)
         return out
 
-    def grams(self, numbers: np.ndarray, doc: np.ndarray, level: int) -> np.ndarray:
-        context = self.context(numbers, doc, level)
-        both = (context >= 0) & (numbers >= 0)
-        return context[both] * len(self.words) + numbers[both]
 
-    def log_probabilities(self, numbers: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability; for tokens without a number (-1) what the contexts multiply their unigram with."""
-        out = np.where(numbers >= 0, self.root[np.maximum(numbers, 0)] if len(self.words) else 0.0, 0.0)
-        for level, x in enumerate(self.levels):
-            context = self.context(numbers, doc, level)
-            used = np.flatnonzero(context >= 0)
-            used = used[x["kept"][context[used]]]
-            own = context[used]
-            number = numbers[used]
-            at = _find(x["grams"], own * len(self.words) + number)
-            count = np.where((at >= 0) & (number >= 0), x["gram_counts"][np.maximum(at, 0)] if len(x["grams"]) else 0, 0)
-            escaped = out[used] + np.log10(x["escape"][own])
-            out[used] = np.where(count > 0, np.log10(count / x["mass"][own] + 10.0**escaped), escaped)
-        return out
+def _level(found: DataFrame, shorter: DataFrame, level: int) -> DataFrame:
+    """``key, c, n, totals, lp, gain, escape, kept`` of counted grams; ``shorter``: ``key, n, lp`` of those one word shorter."""
+    rows = found.join(shorter.select(F.col("key").alias("low"), F.col("lp").alias("below")), "low")
+    rows = rows.join(shorter.select(F.col("key").alias("c"), F.col("n").alias("totals")), "c")
+    of = Window.partitionBy("c")
+    rows = rows.withColumns({"seen": F.sum("n").over(of), "kinds": F.count("*").over(of), "before": F.pow(F.lit(10.0), F.col("below"))})
+    rows = rows.withColumn("escaped", (F.col("totals") - F.col("seen") + F.col("kinds")) / (F.col("totals") + F.col("kinds")))
+    rows = rows.withColumn("own", F.col("n") / (F.col("totals") + F.col("kinds")) + F.col("escaped") * F.col("before"))
+    gained = F.sum(F.col("n") * F.ln(F.col("own") / F.col("before"))).over(of) + (F.col("totals") - F.col("seen")) * F.ln("escaped")
+    rows = rows.withColumn("gained", gained)
+    kept = (F.col("gained") >= MIN_GAIN) & (F.col("gained") >= MIN_DIVERGENCE * F.col("totals"))
+    rows = rows.withColumns({"kept": kept, "escape": F.log10("escaped"), "lp": F.when(kept, F.log10("own")).otherwise(F.col("below"))})
+    return rows.select(_longer("c", "low", level).alias("key"), "c", "n", "totals", "lp", (F.col("lp") - F.col("below") - F.col("escape")).alias("gain"), "escape", "kept")
+
 
-    def add_level(self, keys: np.ndarray, totals: np.ndarray, grams: np.ndarray, counts: np.ndarray, shorter: np.ndarray) -> None:
-        """``keys``: candidate contexts, ascending, with how often each occurs; ``grams``: ascending pairs with counts;
-        ``shorter(context, word)``: log10 probability of the word in the context without its first word."""
-        width = max(len(self.words), 1)
-        of, word = grams // width, grams % width
-        n = len(keys)
-        seen, kinds = np.bincount(of, counts, n), np.bincount(of, minlength=n)
-        mass = totals + np.maximum(kinds, 1)
-        escape = (totals - seen + np.maximum(kinds, 1)) / mass
-        before = 10.0 ** shorter(of, word)
-        own = counts / mass[of] + escape[of] * before
-        gain = np.bincount(of, counts * np.log(own / before), n)
-        gain += (totals - seen) * np.log(escape)
-        kept = (gain >= MIN_GAIN) & (gain >= MIN_DIVERGENCE * totals) & (kinds > 0)
-        self.levels.append({"keys": keys, "kept": kept, "escape": escape, "mass": mass, "grams": grams, "gram_counts": counts})
-
-
-def train(docs: DataFrame, depth: int = 2, share: float = SHARE) -> tuple[SuffixTree, DataFrame]:
-    """The tree, and the counts of all training tokens (``key, n``)."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, depth: int = 2) -> tuple[SuffixTree, DataFrame]:
+    """The tree's commonest part, and the rest: ``key, n, gain, escape`` of all other words and of the other grams that have a part."""
     counts = materialize(_counted(docs, lambda found, doc: found), "lm-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    high = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 10,000 rows
-    least, words = 1, 0
-    for r in high:
-        words += r["count"]
-        if words > FREQUENT:
-            least = r["n"] + 1
-            break
-    top = counts.where(F.col("n") >= least).toPandas().sort_values("key")  # FREQUENT rows at most, unless as many words have over 10,000
-    tree = SuffixTree(top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), total, distinct)
-    floor = max(share * total, 2.0)
-    for level in range(depth):
-        shared = spark.sparkContext.broadcast(tree)
+    zero = F.lit(0.0)
+    table = counts.withColumn("lp", F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1))))
+    gains = table.select("key", "n", F.col("lp").alias("gain"))
+    levels = []
+    for level in range(1, depth + 1):
+        bits = bitmap(table.where(F.col("n") >= MIN_COUNT))
+        table = materialize(_level(_counted_grams(docs, level, bits), table, level), f"lm-grams-{level}")
+        kept = table.where("kept")
+        escapes = kept.groupBy("c").agg(F.first("totals").alias("totals"), F.first("escape").alias("escape"))
+        joined = gains.join(escapes, F.col("key") == F.col("c"), "left" if level == 1 else "full")
+        levels.append(joined.select(F.coalesce("key", "c").alias("key"), F.coalesce("n", "totals").alias("n"), F.coalesce("gain", zero).alias("gain"), F.coalesce("escape", zero).alias("escape")))
+        gains = kept.select("key", "n", "gain")
+    levels.append(gains.withColumn("escape", zero))
+    levels = [materialize(x, "lm-tree") for x in levels]
+    rest = None
+    for level, whole in enumerate(levels):
+        top, least = _frequent(whole)
+        top = top.toArrow()
+        order = np.argsort(top["key"].to_numpy())
+        keys, n, gains, escapes = (top[c].to_numpy()[order] for c in ("key", "n", "gain", "escape"))
         if level == 0:
-            keys, totals = np.arange(len(tree.words), dtype=np.int64), tree.counts
-        else:  # contexts one word longer are the frequent pairs of the level before
-            keys, totals = tree.levels[level - 1]["grams"], tree.levels[level - 1]["gram_counts"]
-            tree.levels.append({"keys": keys})
-            shared = spark.sparkContext.broadcast(tree)
-
-        def grams_of(found: np.ndarray, doc: np.ndarray, level: int = level, shared=shared, floor: float = floor) -> np.ndarray:
-            t = shared.value
-            numbers = _find(t.words, found)
-            numbers[(numbers >= 0) & (t.counts[np.maximum(numbers, 0)] < floor)] = -1  # a frequent pair has frequent words
-            return t.grams(numbers, doc, level)
-
-        found = _counted(docs, grams_of).where(F.col("n") >= floor).toPandas().sort_values("key")  # at most 1 / share rows
-        if level:
-            tree.levels.pop()
-        if found.empty:
-            break
-        grams, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-
-        def shorter(of: np.ndarray, word: np.ndarray, level: int = level, keys: np.ndarray = keys) -> np.ndarray:
-            if level == 0:
-                return tree.root[word]
-            width = len(tree.words)
-            words = [word]
-            at, up = keys[of], level
-            while up:  # the context's words, newest first
-                words.append(at % width)
-                at = at // width if up == 1 else tree.levels[up - 1]["keys"][at // width]
-                up -= 1
-            recent = np.stack(words[::-1], axis=1)  # all but the first word of the context, then the word
-            flat = recent.reshape(-1)
-            doc = np.repeat(np.arange(len(recent)), recent.shape[1])
-            return tree.log_probabilities(flat, doc).reshape(recent.shape)[:, -1]
-
-        tree.add_level(keys, totals, grams, n, shorter)
-    return tree, counts
-
-
-def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
+            tree = SuffixTree(keys, n, total, distinct)
+            tree.escapes = escapes
+        else:
+            tree.levels.append({"keys": keys, "gains": gains, "escapes": escapes, "kept": gains != 0})
+            tree.held |= bitmap(whole)
+        other = whole.where(F.col("n") < least)
+        rest = other if rest is None else rest.union(other)
+    return tree, rest
+
+
+def score(docs: DataFrame, tree: SuffixTree, rest: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` for each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    schema = "row long, doc_id long, token long, n long, n_tokens long, n_known long, base double, score double"
+    schema = "row long, doc_id long, token long, n long, word boolean, n_tokens long, n_known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, row = shared.value, TaskContext.get().partitionId() << 40
         for batch, texts in text_chunks(batches):
             found, doc = tokens(texts)
-            numbers = _find(t.words, found)
-            log_p = t.log_probabilities(numbers, doc)
-            base = np.where(numbers >= 0, t.root[np.maximum(numbers, 0)] if len(t.words) else 0.0, 0.0)
+            gains, escapes, others = t.parts(found, doc)
+            known = np.ones(len(found), bool)
+            known[others[0][0]] = False
+            base = np.zeros(len(found))
+            base[known] = t.root[_find(t.words, found[known])]
             n = len(texts)
             rows = row + np.arange(n)
             row += n
-            other = numbers < 0
-            pairs = np.stack((doc[other], found[other]))
-            order = np.lexsort(pairs[::-1])
-            pairs = pairs[:, order]
-            new = np.ones(pairs.shape[1], bool)
-            new[1:] = (np.diff(pairs[0]) != 0) | (np.diff(pairs[1]) != 0)
+            place = np.concatenate([doc[i] for i, _ in others])
+            keys = np.concatenate([k for _, k in others])
+            word = np.repeat(np.arange(len(others)) == 0, [len(k) for _, k in others])
+            order = np.lexsort((keys, place))
+            place, keys, word = place[order], keys[order], word[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (place[1:] != place[:-1]) | (keys[1:] != keys[:-1])
             first = np.flatnonzero(new)
-            times = np.diff(first, append=pairs.shape[1])
+            times = np.diff(first, append=len(keys))
             ids = batch.column(0)
-            rare_doc, rare = pairs[0][first], pairs[1][first]
+            rare_doc, rare = place[first], keys[first]
             zero = np.zeros(len(rare))
             columns = (
-                (rows, rows[rare_doc]), (None, None), (mix64(rows.astype(U64)).view(np.int64), rare), (np.zeros(n, np.int64), times),
-                (np.bincount(doc, minlength=n), zero), (np.bincount(doc, numbers >= 0, n), zero), (np.bincount(doc, base, n), zero), (np.bincount(doc, log_p, n), zero),
+                (rows, rows[rare_doc]), (None, None), (mix64(rows.astype(U64)).view(np.int64), rare), (np.zeros(n, np.int64), times), (np.zeros(n, bool), word[first]),
+                (np.bincount(doc, minlength=n), zero), (np.bincount(doc, known, n), zero), (np.bincount(doc, base, n), zero), (np.bincount(doc, gains + escapes, n), zero),
             )
-            kinds = [pa.int64()] * 6 + [pa.float64()] * 2
+            kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 2 + [pa.float64()] * 2
             arrays = [
                 pa.concat_arrays([ids, ids.take(pa.array(rare_doc))]) if a is None else pa.array(np.concatenate((a, b)).astype(k.to_pandas_dtype()), k)
                 for (a, b), k in zip(columns, kinds)
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
 
-    parts = docs.mapInArrow(run, schema)  # a row for each text (n = 0, spread by its own token) and for each of its rare words
-    known = parts.join(counts.select(F.col("key").alias("token"), F.col("n").alias("c")), "token", "left")
-    c = F.when(F.col("n") > 0, F.coalesce("c", F.lit(0)))
-    unigram = F.coalesce(F.col("n") * F.log10((c + 1) / F.lit(float(tree.total + tree.distinct + 1))), F.lit(0.0))
-    return known.groupBy("row", "doc_id").agg(
+    parts = docs.mapInArrow(run, schema)  # a row for each text (n = 0, spread by its own token) and for each of its rare words and grams
+    found = parts.join(rest.select(F.col("key").alias("token"), F.col("n").alias("c"), "gain", (F.col("gain") + F.col("escape")).alias("v")), "token", "left")
+    unseen = F.log10(F.lit(1.0) / F.lit(float(tree.total + tree.distinct + 1)))
+    unigram = F.when(F.col("word"), F.col("n") * F.coalesce("gain", unseen)).otherwise(0.0)
+    log_p = F.col("n") * F.coalesce("v", F.when(F.col("word"), unseen).otherwise(0.0))
+    return found.groupBy("row", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("n_known") + F.when(F.col("word") & (F.coalesce("c", F.lit(0)) > 0), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + unigram).alias("base_score"),
-        F.sum(F.col("score") + unigram).alias("score"),
+        F.sum(F.col("score") + log_p).alias("score"),
     )
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     docs = documents_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     out = F.coalesce(mod_of_id(F.col("doc_id"), folds) == held_out, F.lit(False))
-    tree, counts = train(docs.where(~out))
-    scored = score(docs, tree, counts)
+    tree, rest = train(docs.where(~out))
+    scored = score(docs, tree, rest)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -119,6 +119,17 @@ def test_language_model_base_and_distribution(spark):
     assert suffix_tree_lm.score_documents(docs(spark, [])).count() == 0
 
 
+def test_language_model_keeps_passages_of_a_large_corpus(spark, monkeypatch):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    filler = [(1000 + i, " ".join(f"w{(i * 7919 + j * j) % 997}" for j in range(2000))) for i in range(500)]  # a share of all tokens would be 5
+    rows = [(i, passage) for i in range(4)] + filler
+    gain = lambda: sorted((r["doc_id"], r["score"] - r["base_score"]) for r in suffix_tree_lm.score_documents(docs(spark, rows)).collect())
+    whole = gain()
+    assert all(g > 5 for i, g in whole if i < 4)
+    monkeypatch.setattr(suffix_tree_lm, "FREQUENT", 20)  # nearly all grams go by the join
+    assert np.allclose(gain(), whole)
+
+
 # ---- op4 -------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("url,rule,verdict", [
     ("http://WWW.Example.NET/en/1", "example.net/en/", "allow"), ("http://www.example.net/de", "net/", "block"), ("https://example.com/de/x?q", "example.com/de/", "block"),
