@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from netquill.operators import stateless as st
 from netquill.operators import windows as win
+from netquill.operators.baseline import baseline_alerts, baseline_features, baseline_score
+from netquill.operators.features import MAKERS
 from netquill.operators.joins import apply_allowlist, union_alerts
 from netquill.operators.mapping import build_alert, map_records
+from netquill.operators.models import FamilyModel, IsolationForest, combine_scores, ml_alerts, score_rows
 from netquill.operators.sequential import alert_cooldown, cooldown, recon_campaigns
 from netquill.sources.readers import read_logs, stream_logs
 from netquill.sources.sinks import append_alerts, validate_alerts
@@ -28,12 +31,19 @@ ROAST = ("Credential Access", "T1558.003", "Steal or Forge Kerberos Tickets: Ker
 
 @dataclass
 class Config:
-    """What a deployment sets: reference tables, and whether alerts of a pair are thinned."""
+    """What a deployment sets: reference tables, learned models, and whether alerts of a pair are thinned.
+
+    ``models``: family models by family (dns takes the place of the lexical test); ``forests``: isolation forests by family with
+    their F1; ``baseline``: what ``fit_baseline`` gives.
+    """
 
     ja4_intel: DataFrame | None = None
     allowlist: DataFrame | None = None
     benign_domains: DataFrame | None = None
     cooldown_s: float | None = None
+    models: dict[str, FamilyModel] = field(default_factory=dict)
+    forests: dict[str, tuple[IsolationForest, float]] = field(default_factory=dict)
+    baseline: tuple[DataFrame, DataFrame, DataFrame] | None = None
     extra: dict[str, tuple[str, Callable[[DataFrame, Config], DataFrame]]] = field(default_factory=dict)
 
 
@@ -56,6 +66,11 @@ def _columns(engine: str, cls: str, mitre: tuple, detect: Callable, evidence: li
     return lambda flows, cfg: build_alert(detect(_rid(flows)), engine, cls, F.col("severity"), F.col("confidence"), mitre, evidence)
 
 
+def _dga(hits: DataFrame, engine: str, name: str, cfg: Config) -> DataFrame:
+    score, mode = ("threat_score", "xgboost") if "dns" in cfg.models else ("dga_score", "rule")
+    return build_alert(hits, engine, "DGA_DOMAIN", F.col("severity"), F.col("confidence"), DGA, [name, score], mode)
+
+
 def _campaigns(flows: DataFrame) -> DataFrame:
     return recon_campaigns(flows).withColumn("severity", F.when(F.col("escalation"), "HIGH").otherwise("MEDIUM"))
 
@@ -71,8 +86,8 @@ DETECTORS: dict[str, tuple[str, Callable[[DataFrame, Config], DataFrame]]] = {
     "exfil_accumulated": ("conn", _columns("exfil_accumulated", "DATA_EXFILTRATION", EXFIL, win.exfil_accumulated, ["sent", "received", "n_flows"])),
     "brute_force": ("conn", _columns("brute_force", "NETWORK_INTRUSION_ATTEMPT", GUESS, win.brute_force, ["attempt"])),
     "dns_tunnels": ("dns", _columns("dns_tunnels", "DNS_TUNNELING", TUNNEL, st.dns_tunnels, ["dns_query", "dns_qtype", "entropy"])),
-    "dga": ("dns", lambda f, c: build_alert(st.dga_lexical(f, domains=c.benign_domains), "dga", "DGA_DOMAIN", F.col("severity"), F.col("confidence"), DGA, ["dns_query", "dga_score"])),
-    "sni_dga": ("ssl", _columns("sni_dga", "DGA_DOMAIN", DGA, st.sni_dga, ["sni", "dga_score"])),
+    "dga": ("dns", lambda f, c: _dga(st.dga_model(f, c.models["dns"], domains=c.benign_domains) if "dns" in c.models else st.dga_lexical(f, domains=c.benign_domains), "dga", "dns_query", c)),
+    "sni_dga": ("ssl", lambda f, c: _dga(st.sni_dga(_rid(f), model=c.models.get("dns")), "sni_dga", "sni", c)),
     "http": ("http", lambda f, c: build_alert(st.http_threats(f), "http", F.col("threat_class"), F.col("severity"), F.col("confidence"), None, ["http_method", "http_uri", "reasons"])),
     "kerberoasting": ("kerberos", _columns("kerberoasting", "NETWORK_INTRUSION_ATTEMPT", ROAST, st.kerberoasting, ["krb_service", "krb_cipher", "krb_client"])),
     **{f"ot_{p}": (p, lambda f, c, p=p: _ot(f, p)) for p in ("modbus", "cip", "dnp3", "s7comm", "iec104", "bacnet", "opcua", "profinet")},
@@ -101,6 +116,34 @@ def opcua_weak_policies(opcua: DataFrame, realert: float = 3600) -> DataFrame:
     return once.withColumns({"severity": severity[F.col("opcua_policy")], "confidence": confidence[F.col("opcua_policy")]})
 
 
+#: family of models that judge a log's flows besides the rules
+FAMILY_LOGS = {"flow": "conn", "tls": "ssl", "modbus": "modbus"}
+
+
+def _learned(flows: dict[str, DataFrame], cfg: Config, rules: DataFrame | None) -> list[DataFrame]:
+    """Alerts of the family models, fused with the rules' alerts on the same flows, and of the baseline."""
+    found = []
+    named = rules.where("flow_uid not in ('', 'unknown')") if rules is not None else None
+    for family, log in FAMILY_LOGS.items():
+        if family not in cfg.models or log not in flows:
+            continue
+        rows = flows[log].withColumn("register_sweep_count", F.lit(None).cast("int")) if family == "modbus" else flows[log]
+        scored = score_rows(rows, cfg.models[family]).withColumnRenamed("threat_score", "xgb_score")
+        if family in cfg.forests:
+            forest, f1 = cfg.forests[family]
+            made = forest.score(MAKERS[family](scored))
+            scored = combine_scores(made, {"iforest_f1": f1})
+        else:
+            scored = scored.withColumns({"threat_score": F.col("xgb_score"), "detection_mode": F.lit("xgboost"), "model_scores": F.create_map(F.lit("xgboost"), F.col("xgb_score"))})
+        hits = ml_alerts(scored, family, named)
+        found.append(build_alert(hits, f"ml_{family}", F.col("threat_class"), F.col("severity"), F.col("confidence"), None, ["threat_score", "corroborated"], F.col("detection_mode")))
+    if cfg.baseline is not None and "conn" in flows:
+        profiles, pooled, calibration = cfg.baseline
+        hits = baseline_alerts(baseline_score(baseline_features(flows["conn"]), profiles, pooled), calibration)
+        found.append(build_alert(hits, "baseline", "BEHAVIORAL_ANOMALY", F.col("severity"), F.col("confidence"), SCAN, ["service", "score", "p"], "baseline"))
+    return found
+
+
 def detect(flows: dict[str, DataFrame], cfg: Config | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
     """The alerts of all detectors whose log is among ``flows`` (mapped flows by log type)."""
     cfg = cfg or Config()
@@ -117,6 +160,8 @@ def detect(flows: dict[str, DataFrame], cfg: Config | None = None, only: tuple[s
     if "notice" in flows:
         hits = st.map_notices(flows["notice"])
         found.append(build_alert(hits, "notice", "NETWORK_INTRUSION_ATTEMPT", F.col("severity"), F.col("confidence"), None, ["notice", "msg"], discriminator=F.col("notice")))
+    if only is None:
+        found += _learned(flows, cfg, union_alerts(*found) if found else None)
     return union_alerts(*found)
 
 
@@ -127,9 +172,10 @@ def finish(alerts: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFr
     return (alert_cooldown(kept, cfg.cooldown_s) if cfg.cooldown_s else kept), suppressed, rejected
 
 
-def run_batch(spark: SparkSession, directory: str, table: str, cfg: Config | None = None, log_types: tuple[str, ...] = ("conn", "dns", "ssl", "http", "kerberos")) -> DataFrame:
-    """Read the logs of a folder, detect, and append the alerts to a table; returns what was kept."""
+def run_batch(spark: SparkSession, directory: str, table: str, cfg: Config | None = None, log_types: tuple[str, ...] | None = None) -> DataFrame:
+    """Read the logs of a folder (by default of all types), detect, and append the alerts to a table; returns what was kept."""
     cfg = cfg or Config()
+    log_types = log_types or (*dict.fromkeys(log for log, _ in (DETECTORS | cfg.extra).values()), "eve", "notice")
     flows = {k: read_logs(spark, directory, k) if k in ("eve", "notice") else map_records(read_logs(spark, directory, k), k) for k in log_types}
     kept, _, _ = finish(detect(flows, cfg), cfg)
     append_alerts(kept, table)

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from netquill.operators import baseline, models
 from netquill.operators.joins import apply_allowlist
 from netquill.operators.mapping import map_records
 from netquill.plans.pipeline import Config, detect, run_batch, start_pipeline
@@ -81,6 +82,26 @@ def test_batch_pipeline_stores_each_alert_once(spark, tmp_path):
     assert counters.where("field = 'threat_class'").count() == 2
 
 
+def test_batch_pipeline_runs_all_logs_models_and_the_baseline(spark, tmp_path):
+    flow = lambda i, sent: CONN | {"uid": f"F{i}", "ts": float(i), "id.resp_p": 443, "orig_bytes": sent, "resp_bytes": 9, "orig_pkts": 3, "resp_pkts": 3}
+    write(tmp_path / "conn.log", [flow(i, 400 + i % 7) for i in range(60)] + [flow(99, 5_000_000)])
+    common = {k: v for k, v in CONN.items() if k not in ("duration", "orig_bytes", "resp_bytes")}
+    write(tmp_path / "modbus.log", [common | {"uid": "M", "func": "WRITE_SINGLE_COIL", "register": 7}])
+    write(tmp_path / "appsvc.log", [common | {"uid": "A", "function": "distcc:exec", "detail": "sh", "code": 1}])
+    write(tmp_path / "notice.log", [{"note": "BZAR::Scan", "msg": "m", "src": "10.0.0.1", "dst": "10.0.0.2", "p": 1, "ts": 5.0}])
+    eve = {"event_type": "alert", "src_ip": "10.0.0.1", "dest_ip": "10.0.0.2", "proto": "TCP", "src_port": 1, "dest_port": 2, "timestamp_epoch": 9.0}
+    write(tmp_path / "eve.log", [eve | {"alert": {"signature": "ET SCAN", "signature_id": 1, "category": "Attempted Recon", "severity": 2}}])
+    flows = map_records(readers.read_logs(spark, str(tmp_path), "conn"), "conn")
+    labelled = flows.withColumn("label", (F.col("flow_uid") == "F99").cast("int")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    model = models.train_family(labelled, "flow", trees=2, depth=2)
+    learned = baseline.learning_set(baseline.baseline_features(flows.where("ts < 99")).withColumn("rid", F.col("flow_uid")), 60, 1)
+    profiles, pooled, _ = baseline.fit_baseline(learned)
+    calibration = spark.range(2000).select(F.lit(0.0).alias("score"))
+    cfg = Config(models={"flow": model}, baseline=(profiles, pooled, calibration))
+    engines = {(r["engine"], r["detection_mode"]) for r in run_batch(spark, str(tmp_path), str(tmp_path / "alerts"), cfg).collect()}
+    assert engines >= {("ot_modbus", "rule"), ("distcc", "rule"), ("notice", "rule"), ("ids", "rule"), ("exfil_single", "rule"), ("ml_flow", "xgboost"), ("baseline", "baseline")}
+
+
 def test_rejects(spark, tmp_path):
     write(tmp_path / "conn.log", [CONN | {"orig_bytes": 5_000_000}])
     alerts = detect({"conn": map_records(readers.read_logs(spark, str(tmp_path), "conn"), "conn")}, Config(), ("exfil_single",))
