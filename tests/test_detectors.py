@@ -53,6 +53,12 @@ def test_recon_fires_once_then_escalates(spark):
     assert 1 <= len(hits) <= 4 and hits[-1]["targets"] >= 2500 and [h["escalation"] for h in hits] == [False] + [True] * (len(hits) - 1)
 
 
+def test_recon_counts_targets_repeated_within_a_second(spark):
+    rows = [(round_ * 0.05 + i * 0.001, "10.0.0.6", "10.0.0.7", i, 0, 40, 0) for round_ in range(10) for i in range(25)]
+    hits = recon_campaigns(conn(spark, rows)).orderBy("ts").collect()
+    assert [(h["targets"], h["escalation"]) for h in hits] == [(25, False), (250, True)]
+
+
 def test_recon_ignores_answered_and_multicast(spark):
     answered = [(i * 0.01, "a", "10.0.0.7", i, 0, 40, 100) for i in range(100)]
     ssdp = [(i * 0.01, "a", "239.255.255.250", i, 0, 40, 0) for i in range(100)]
