@@ -461,8 +461,8 @@ def _(spark, d):
 
 
 # ---- streams ---------------------------------------------------------------------------------------------------------------
-def _stream(spark, d, build, mode="append"):
-    """Run a stream over the events files to its end and give back what it wrote."""
+def _stream(spark, d, build, mode="append", fold=None):
+    """Run a stream over the events files to its end and give back what it wrote; ``fold(batch, number, path)`` keeps state."""
     source = table(spark, d, "events")
     rows = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
     from netquill.functions.net import epoch
@@ -472,9 +472,10 @@ def _stream(spark, d, build, mode="append"):
         F.col("event_id").alias("rid"), epoch(F.col("ts")).alias("ts"), F.concat(F.lit("u"), "user_id").alias("src_ip"), F.col("event_type").alias("dst_ip"), (k % 10).alias("dst_port"),
     )
     out, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-checkpoint")
-    made = build(flows)
+    made, state = build(flows), scratch(spark, "stream-state")
 
     def sink(batch, number):
+        batch = fold(batch, number, state) if fold else batch
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
     run = made.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -484,9 +485,9 @@ def _stream(spark, d, build, mode="append"):
 
 @query("t8_cooldown_stream", COOLDOWN_SQL)
 def _(spark, d):
-    from netquill.streaming.stateful import cooldown_stream
+    from netquill.streaming.stateful import cooldown_batch
 
-    return _stream(spark, d, lambda s: cooldown_stream(s, ["src_ip", "dst_ip"], "ts", 3 * DAY)).select("src_ip", "dst_ip", "ts")
+    return _stream(spark, d, lambda s: s, fold=lambda b, n, path: cooldown_batch(b, n, path, ["src_ip", "dst_ip"], "ts", 3 * DAY)).select("src_ip", "dst_ip", "ts")
 
 
 @query("t2_brute_force_stream", f"""WITH {CONN} SELECT src_ip, dst_ip, dst_port, count(*) AS attempts, min(ts) AS first_ts FROM conn WHERE dst_port IN (1, 3, 5, 7) GROUP BY src_ip, dst_ip, dst_port, floor(ts / 864000) HAVING count(*) >= 3""")
@@ -501,8 +502,8 @@ def _(spark, d):
 @query("t3_recon_stream")
 def _(spark, d):
     from netquill.plans.adapters import swapped
-    from netquill.streaming.stateful import recon_stream
+    from netquill.streaming.stateful import recon_batch
 
-    return _stream(spark, d, lambda s: recon_stream(swapped(s), DAY, 25, 3, 2 * DAY, probes=F.lit(True))).drop("batch")
+    return _stream(spark, d, swapped, fold=lambda b, n, path: recon_batch(b, n, path, DAY, 25, 3, 2 * DAY, probes=F.lit(True))).drop("batch")
 
 

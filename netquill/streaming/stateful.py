@@ -9,12 +9,13 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netquill.functions.net import is_multicast
 from netquill.operators.predicates import is_probe
+from netquill.operators.sequential import campaign_fold, fold_sorted
 from netquill.operators.windows import AUTH_PORTS
 
 
@@ -45,29 +46,83 @@ def flow_sessions(packets: DataFrame, idle: str = "60 seconds", delay: str = "12
     )
 
 
-def cooldown_stream(df: DataFrame, keys: list[str], ts: str, seconds: float, delay: str = "60 seconds") -> DataFrame:
-    """Rows that come ``seconds`` or more after the last row kept of their key; a key is forgotten a cooldown after its last row."""
-    rows = with_event_time(df, delay, ts)
-    schema = rows.schema
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(ts)
-        last, kept = (state.get[0] if state.exists else None), []
-        for t in rows[ts]:
-            kept.append(last is None or t - last >= seconds)
-            last = t if kept[-1] else last
-        state.update((float(last),))
-        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield rows[kept]
-
-    return rows.groupBy(*keys).applyInPandasWithState(fold, schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+def fold_batch(batch: DataFrame, number: int, path: str, keys: list[str], order: list[str], start, step, out: str, expiry: float, delay: float = 60) -> DataFrame:
+    """What ``fold_sorted`` gives for a micro-batch whose keys go on from the state that the last one left under ``path``.
+
+    ``order`` begins with the time; ``step`` gives rows of ``out``, its columns beside the keys. A key's state is a first row and
+    leaves by a last one, so that a task needs the state of one key at a time. States older than ``expiry`` and ``delay`` go, and
+    so do rows later than ``delay``. A batch that runs again reads the same state and writes its own anew.
+    """
+    spark = batch.sparkSession
+    ts, kinds = order[0], dict(batch.dtypes)
+    rows = batch.select(*keys, *order)
+    before = None
+    if number:
+        before = spark.read.parquet(f"{path}/{number - 1}").where("_state is not null")
+        newest = before.agg(F.max("_newest")).first()[0]
+        rows = rows if newest is None else rows.where(F.col(ts) >= newest - delay)
+    blank = [F.lit(None).cast(kinds[c]).alias(c) for c in order]
+    text = F.lit(None).cast("string")
+    all_keys = rows.select(*keys)
+    parts = rows.select(*keys, F.lit(1).alias("_flag"), *order, text.alias("_old"))
+    if before is not None:
+        all_keys = all_keys.union(before.select(*keys))
+        parts = parts.union(before.select(*keys, F.lit(0), *blank, F.to_json(F.struct("_state", "_newest"))))
+    parts = parts.union(all_keys.distinct().select(*keys, F.lit(2), *blank, text))
+    nothing = (None,) * len(out.split(", "))
+
+    def begin() -> list:
+        return [start(), None]
+
+    def walk(held: list, row: tuple) -> tuple | None:
+        flag, *own, old = row
+        if flag == 0:
+            old = json.loads(old)
+            held[:] = [json.loads(old["_state"]), old["_newest"]]
+        elif flag == 1:
+            held[1] = own[0] if held[1] is None else max(held[1], own[0])
+            found = step(held[0], tuple(own))
+            return None if found is None else (*found, None, None)
+        else:
+            return (*nothing, json.dumps(held[0]), held[1])
+        return None
+
+    made = fold_sorted(parts, keys, ["_flag", *order, "_old"], begin, walk, f"{out}, _state string, _newest double")
+    made.write.mode("overwrite").parquet(f"{path}/{number}-all")
+    made = spark.read.schema(made.schema).parquet(f"{path}/{number}-all")
+    ends = made.where("_state is not null")
+    last = ends.agg(F.max("_newest").alias("_last"))  # one row
+    ends.crossJoin(F.broadcast(last)).where(F.col("_newest") >= F.col("_last") - expiry - delay).drop("_last").write.mode("overwrite").parquet(f"{path}/{number}")
+    return made.where("_state is null").drop("_state", "_newest")
+
+
+def cooldown_batch(batch: DataFrame, number: int, path: str, keys: list[str], ts: str, seconds: float, delay: float = 60) -> DataFrame:
+    """Rows of a micro-batch that come ``seconds`` or more after the last row kept of their key."""
+
+    def step(state: list, row: tuple) -> tuple | None:
+        if state and row[0] - state[0] < seconds:
+            return None
+        state[:] = [row[0]]
+        return (row[0],)
+
+    times = batch.select(*keys, F.col(ts).cast("double").alias("_ts")).distinct()
+    kept = fold_batch(times, number, path, keys, ["_ts"], list, step, "_kept double", seconds, delay)
+    joined = batch.join(kept, [batch[k].eqNullSafe(kept[k]) for k in keys] + [batch[ts].cast("double") == kept["_kept"]], "left_semi")
+    first = F.row_number().over(Window.partitionBy(*keys, ts).orderBy(F.to_json(F.struct(*batch.columns))))
+    return joined.withColumn("_n", first).where("_n = 1").drop("_n")
+
+
+def recon_batch(batch: DataFrame, number: int, path: str, window: float = 300, fanout: int = 25, factor: int = 10, silence: float = 300, delay: float = 60, probes=None) -> DataFrame:
+    """The fan-out campaigns of ``recon_campaigns`` that a micro-batch brings."""
+    wanted = (is_probe() if probes is None else probes) & ~is_multicast(F.col("dst_ip"))
+    rows = batch.where(wanted).select("src_ip", F.col("ts").alias("_ts"), F.concat_ws("|", "dst_ip", "dst_port").alias("target"))
+    start, step = campaign_fold(window, fanout, factor, silence)
+    return fold_batch(rows, number, path, ["src_ip"], ["_ts", "target"], start, step, "ts double, targets int, escalation boolean, confidence double", max(window, silence), delay)
 
 
 def recon_stream(conn: DataFrame, window: float = 300, fanout: int = 25, factor: int = 10, silence: float = 300, delay: str = "60 seconds", probes=None) -> DataFrame:
-    """The fan-out campaigns of ``recon_campaigns`` on a stream; state holds at most the targets below the limit and the campaign."""
+    """The fan-out campaigns of ``recon_campaigns`` on a stream; state holds at most the targets below the limit and the campaign.
+    A key's rows of a micro-batch are sorted in one worker's memory; ``recon_batch`` has no such limit."""
     wanted = (is_probe() if probes is None else probes) & ~is_multicast(F.col("dst_ip"))
     rows = with_event_time(conn.where(wanted), delay).select("src_ip", "ts", "event_time", F.concat_ws("|", "dst_ip", "dst_port").alias("target"))
     out = "src_ip string, ts double, targets int, escalation boolean, confidence double"
