@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +15,10 @@ from netquill.operators.features import MAKERS
 from netquill.operators.joins import apply_allowlist, union_alerts
 from netquill.operators.mapping import build_alert, map_records
 from netquill.operators.models import FamilyModel, IsolationForest, combine_scores, ml_alerts, score_rows
-from netquill.operators.sequential import alert_cooldown, cooldown, recon_campaigns
+from netquill.operators.sequential import alert_cooldown, cooldown, discriminator, recon_campaigns
 from netquill.sources.readers import read_logs, stream_logs
 from netquill.sources.sinks import append_alerts, validate_alerts
+from netquill.streaming.stateful import cooldown_batch, recon_batch
 
 IMPACT = ("Impact", "T1498", "Network Denial of Service")
 C2 = ("Command and Control", "T1071", "Application Layer Protocol")
@@ -183,16 +184,28 @@ def run_batch(spark: SparkSession, directory: str, table: str, cfg: Config | Non
 
 
 def start_pipeline(spark: SparkSession, sources: dict[str, dict], table: str, checkpoint: str, cfg: Config | None = None) -> list:
-    """One streaming query for each log type: stateless detectors on the stream, alerts appended once by id."""
+    """One streaming query for each log type: stateless detectors, recon campaigns and the cooldown, which keep their state under
+    ``checkpoint``; alerts appended once by id. The README lists the detectors that don't stream."""
     cfg = cfg or Config()
     queries = []
     for log, source in sources.items():
-        flows = map_records(stream_logs(spark, log, source), log)
         names = tuple(n for n, (kind, _) in (DETECTORS | cfg.extra).items() if kind == log and (n in STATELESS or n in cfg.extra))
-        alerts = detect({log: flows}, cfg, names)
-
-        def sink(batch: DataFrame, _: int) -> None:
-            append_alerts(finish(batch, cfg)[0], table)
-
-        queries.append(alerts.writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/{log}").queryName(f"detect_{log}").start())
+        if not names and log not in ("eve", "notice"):
+            raise ValueError(f"no detector of {log} runs on a stream")
+        rows = stream_logs(spark, log, source)
+        flows = rows if log in ("eve", "notice") else map_records(rows, log)
+
+        def sink(batch: DataFrame, number: int, log: str = log, names: tuple[str, ...] = names) -> None:
+            alerts = detect({log: batch}, cfg, names)
+            if log == "conn":
+                found = recon_batch(batch, number, f"{checkpoint}/{log}-recon")
+                severity = F.when(F.col("escalation"), "HIGH").otherwise("MEDIUM")
+                alerts = union_alerts(alerts, build_alert(found, "recon", "RECONNAISSANCE", severity, F.col("confidence"), SCAN, ["targets", "escalation"]))
+            kept = finish(alerts, replace(cfg, cooldown_s=None))[0]
+            if cfg.cooldown_s:
+                keyed = kept.withColumns({"_src": F.col("flow_identifier.src_ip"), "_dst": F.col("flow_identifier.dst_ip"), "_disc": discriminator()})
+                kept = cooldown_batch(keyed, number, f"{checkpoint}/{log}-cooldown", ["threat_class", "_src", "_dst", "_disc"], "timestamp", cfg.cooldown_s).drop("_src", "_dst", "_disc")
+            append_alerts(kept, table)
+
+        queries.append(flows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/{log}").queryName(f"detect_{log}").start())
     return queries

@@ -123,3 +123,18 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = detect({"conn": map_records(readers.read_logs(spark, str(tmp_path), "conn"), "conn")}, Config(), ("exfil_single", "slowloris"))
     ids = lambda df: sorted(r["flow_uid"] for r in df.select("flow_uid").collect())
     assert ids(spark.read.parquet(str(tmp_path / "out"))) == ids(batch) == ["X1", "X3", "X5", "X7", "X9"]
+
+
+def test_stream_keeps_campaigns_and_the_cooldown_across_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    probes = [CONN | {"uid": f"P{i}", "ts": 100.0 + i, "id.resp_p": 1000 + i, "orig_bytes": 0, "resp_bytes": 0} for i in range(30)]
+    sent = [CONN | {"uid": f"X{i}", "ts": 100.0 + i, "id.orig_h": "10.0.0.9", "orig_bytes": 5_000_000} for i in (3, 20)]
+    write(tmp_path / "in" / "1.json", [*probes[:15], sent[0]])
+    write(tmp_path / "in" / "2.json", [*probes[15:], sent[1]])
+    source = {"path": str(tmp_path / "in"), "maxFilesPerTrigger": 1}
+    for q in start_pipeline(spark, {"conn": source}, str(tmp_path / "out"), str(tmp_path / "ck"), Config(cooldown_s=60)):
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r["engine"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["exfil_single", "recon"]
+    with pytest.raises(ValueError):
+        start_pipeline(spark, {"appsvc": source}, str(tmp_path / "out"), str(tmp_path / "ck2"))
