@@ -1,16 +1,21 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a Parquet table of ``(key_hi, key_lo, n_docs, keeper)``: for each line key the number of documents that held it
-and the document that keeps it. Batches of documents arrive in descending ``doc_id`` order. A batch is aggregated by key,
-merge-anti-joined with the runs (keys the runs don't know bring their own keeper; keys they know only add to the count) and
-appended as a new run, hash-partitioned and sorted by key. ``fanout`` runs of a level are merged into one run of the next.
-
-Cases: null or empty text is one empty line; a null ``doc_id`` takes no part (its lines neither count nor go); rows repeating
-a ``doc_id`` count as one document; an empty table gives an empty result; further columns are ignored.
+A run is a table of ``(key_hi, key_lo, n_docs, keeper)``, bucketed and sorted by the key: for each line key the number of
+documents that held it and the document that keeps it. All runs have the same buckets, so that a batch meets each of them by a
+merge join that moves and sorts the batch alone. A batch is aggregated by key and anti-joined with the runs: keys that no run
+knows enter with their largest ``doc_id`` as keeper, the others add to the count and bring no keeper. The first batch that
+brings a key hence decides who keeps it. ``fanout`` runs of a level are compacted into one run of the next. Runs are tables of
+a database, where a later call finds them again.
+
+Cases: null or empty text is one empty line; rows with a null ``doc_id`` are returned whole (their lines neither count nor go);
+rows repeating a ``doc_id`` count as one document and each loses that document's lines from its own text; an empty table gives
+an empty result; further columns are ignored unless kept.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +28,10 @@ from netquill.llm.common import documents_of, materialize, text_chunks
 BLANK = b" \t\n\x0b\x0c\r"
 KEYS = "doc_id long, key_hi long, key_lo long"
 KEY = ["key_hi", "key_lo"]
+#: Keys held by more than a share of 1 / HEAVY of all lines, so HEAVY of them at most, are broadcast in place of being shuffled to.
+HEAVY = 2000
+#: Lets a scan of a bucket that is one sorted file count as sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -49,82 +58,136 @@ def line_keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     return documents_of(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(keys, KEYS)
 
 
-class LineRuns:
-    """The levelled runs. ``levels[i]`` holds the runs of level i, each a DataFrame over its Parquet files."""
+@contextlib.contextmanager
+def _ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(ORDERED, "false")
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, before)
+
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+class LineRuns:
+    """The levelled runs in ``database``: tables ``run_<level>_<number>``, those that are there already and those added."""
+
+    def __init__(self, spark: SparkSession, database: str, fanout: int = 2):
+        self.spark, self.database, self.fanout = spark, database, fanout
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        self.levels: list[list[str]] = [[]]
+        for table in sorted(t.name for t in spark.catalog.listTables(database)):
+            self._level(int(table.split("_")[1])).append(table)
+        there = [t for level in self.levels for t in level]
+        # the number of buckets is that of the runs there are, or else as many as shuffles have partitions
+        spec = spark.sql(f"DESCRIBE EXTENDED `{database}`.`{there[0]}`").where("col_name = 'Num Buckets'").first() if there else None
+        self.buckets = int(spec["data_type"]) if spec else int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _level(self, level: int) -> list[str]:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        return self.levels[level]
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [self.spark.table(f"`{self.database}`.`{t}`") for level in self.levels for t in level]
 
-    def add(self, keys: DataFrame) -> None:
-        """Merge-anti-join a batch (rows of ``line_keys``, documents disjoint from earlier batches) and append its run."""
-        batch = keys.groupBy(*KEY).agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("first"))
+    def joined(self, keys: DataFrame) -> DataFrame:
+        """A batch (rows of ``line_keys``, of documents that no earlier batch had) as a run: ``keeper`` for unknown keys alone."""
+        batch = keys.groupBy(*KEY).agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
         for run in self.runs():
             known = run.where("keeper is not null").select(*KEY, F.lit(True).alias("known"))
-            batch = batch.join(known, KEY, "left").withColumn("first", F.when(F.col("known").isNull(), F.col("first"))).drop("known")
-        self._append(batch.withColumnRenamed("first", "keeper"), 0)
+            batch = batch.join(known.hint("merge"), KEY, "left").withColumn("keeper", F.when(F.col("known").isNull(), F.col("keeper"))).drop("known")
+        return batch
 
-    def _append(self, run: DataFrame, level: int) -> None:
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(materialize(run.sortWithinPartitions(*KEY), "line-run"))
-        if len(self.levels[level]) >= self.fanout:
-            merged = self._merged(self.levels[level])
-            self.levels[level] = []
-            self._append(merged, level + 1)
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        both = runs[0]
-        for run in runs[1:]:
-            both = both.unionByName(run)
-        return both.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-
-    def totals(self) -> DataFrame:
-        return self._merged(self.runs())
+    def add(self, keys: DataFrame) -> None:
+        with _ordered_buckets(self.spark):
+            self._append(self.joined(keys), 0)
 
+    def _save(self, run: DataFrame, level: int) -> str:
+        name = f"run_{level}_{uuid.uuid4().hex}"
+        run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").saveAsTable(f"`{self.database}`.`{name}`")
+        return name
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """Every row's ``doc_id`` with ``kept_text``, ``n_lines`` and ``n_dropped``.
+    def _append(self, run: DataFrame, level: int) -> None:
+        self._level(level).append(self._save(run, level))
+        while len(self._level(level)) >= self.fanout:
+            merged = self._merge(self._level(level), level + 1)
+            self._level(level).clear()
+            level += 1
+            self._level(level).append(merged)
+
+    def _merge(self, tables: list[str], level: int) -> str:
+        """One run in place of several: counts added up; of the rows of a key one at most has a keeper, that of the first batch."""
+        while len(tables) > 1:
+            a, b = (self.spark.table(f"`{self.database}`.`{t}`").select(*KEY, F.col("n_docs").alias(f"n_{s}"), F.col("keeper").alias(f"keeper_{s}")) for s, t in zip("ab", tables[:2]))
+            both = a.join(b.hint("merge"), KEY, "full")
+            counted = (F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n_docs")
+            name = self._save(both.select(*KEY, counted, F.coalesce("keeper_a", "keeper_b").alias("keeper")), level)
+            for table in tables[:2]:
+                self.spark.sql(f"DROP TABLE `{self.database}`.`{table}`")
+            tables = [name, *tables[2:]]
+        return tables[0]
+
+    def compacted(self) -> DataFrame:
+        """All runs merged into one."""
+        there = [t for level in self.levels for t in level]
+        if there:
+            with _ordered_buckets(self.spark):
+                whole = self._merge(there, len(self.levels))
+            self.levels = [[] for _ in self.levels] + [[whole]]
+        return self.runs()[0]
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS `{self.database}` CASCADE")
+
+
+def _batches(keys: DataFrame, n: int) -> list[DataFrame]:
+    """``keys`` in ``n`` ranges of doc_id that hold about as many rows each, from the greatest ids down."""
+    cuts = keys.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.01) if n > 1 else []
+    cuts = sorted({int(x) for x in cuts}, reverse=True)
+    above = [F.lit(True), *(F.col("doc_id") < x for x in cuts)]
+    below = [*(F.col("doc_id") >= x for x in cuts), F.lit(True)]
+    return [keys.where(a & b) for a, b in zip(above, below)]
+
+
+def dedup_lines(
+    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, keep: tuple[str, ...] = ("doc_id",), database: str | None = None
+) -> DataFrame:
+    """The ``keep`` columns of every row with ``kept_text``, ``n_lines`` and ``n_dropped``.
 
     Lines whose key has at least ``min_chars`` code points and is held by at least ``min_docs`` documents stay only in the
-    largest ``doc_id`` holding it. ``batches`` ranges of doc_id are fed to the runs one after the other.
+    largest ``doc_id`` holding it. ``batches`` ranges of doc_id, the greatest first, are fed to the runs one after the other.
+    With ``database`` the runs found there count as batches before these, whose keepers stay, and the runs are left there.
     """
     spark = docs.sparkSession
-    docs = documents_of(docs, "doc_id", "text")
-    keys = materialize(line_keys(docs, min_chars), "line-keys")
-    low, high = keys.agg(F.min("doc_id"), F.max("doc_id")).first()
-    runs = LineRuns(spark, fanout)
-    if low is None:
-        low = high = 0
-    step = (high - low) // batches + 1
-    for i in reversed(range(batches)):
-        runs.add(keys.where(F.col("doc_id").between(low + i * step, low + (i + 1) * step - 1)))
-    repeated = materialize(runs.totals().where(F.col("n_docs") >= min_docs).drop("n_docs"), "line-repeated")
-    drops = (
-        keys.join(repeated, KEY)
-        .where("doc_id <> keeper")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct(*KEY)).alias("gone"))
-        .withColumnRenamed("doc_id", "gone_id")
-    )
+    given = documents_of(docs, *dict.fromkeys(("doc_id", "text", *keep)))
+    keys = materialize(line_keys(given, min_chars), "line-keys")
+    runs = LineRuns(spark, database or f"line_runs_{uuid.uuid4().hex}", fanout)
+    for batch in _batches(keys, batches):
+        runs.add(batch)
+    repeated = materialize(runs.compacted().where(F.col("n_docs") >= min_docs), "line-repeated")
+    if database is None:
+        runs.drop()
+    often = keys.count() // HEAVY
+    heavy = F.broadcast(repeated.where(F.col("n_docs") > often).drop("n_docs"))  # at most HEAVY keys
+    light = repeated.where(F.col("n_docs") <= often).drop("n_docs")
+    held = keys.join(heavy, KEY).unionByName(keys.join(heavy.select(*KEY), KEY, "left_anti").join(light, KEY))
+    gone = held.where("doc_id <> keeper").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(*KEY)).alias("__gone"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*keep).schema]
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(parts):
+        for batch, texts in text_chunks(parts, "__text"):
             kept, n_lines, n_dropped = [], [], []
-            for text, gone in zip(texts, batch.column(2).to_pylist()):
+            for text, gone in zip(texts, batch.column(batch.num_columns - 1).to_pylist()):
                 lines = text.split(b"\n")
                 bad = {x["key_hi"].to_bytes(8, "big", signed=True) + x["key_lo"].to_bytes(8, "big", signed=True) for x in gone or ()}
                 stay = [x for x in lines if _key(x, min_chars) not in bad] if bad else lines
                 kept.append(b"\n".join(stay).decode())
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                names=["doc_id", "kept_text", "n_lines", "n_dropped"],
-            )
+            made = [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, "kept_text", "n_lines", "n_dropped"])
 
-    joined = docs.join(drops, docs["doc_id"] == drops["gone_id"], "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(cut, "doc_id long, kept_text string, n_lines long, n_dropped long")
+    rows = given.select(*keep, F.col("doc_id").alias("__doc"), F.col("text").alias("__text"))
+    named = rows.where("__doc is not null").join(gone, F.col("__doc") == F.col("__id"), "left").drop("__doc", "__id")
+    nameless = rows.where("__doc is null").select(*keep, "__text", F.lit(None).cast(gone.schema["__gone"].dataType).alias("__gone"))
+    return named.unionByName(nameless).mapInArrow(cut, ", ".join([*kinds, "kept_text string, n_lines long, n_dropped long"]))
