@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,15 +52,14 @@ def mod_of_id(column, n: int):
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches holding about ``limit`` bytes of text, with the texts as UTF-8 (null: empty)."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
-        start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= limit:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        column_ = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column_), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = min(int(np.searchsorted(ends, before + limit)) + 1, len(ends))
+            yield batch.slice(start, stop - start), [x or b"" for x in column_.slice(start, stop - start).to_pylist()]
+            start = stop
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -93,6 +93,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def range_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of ranges of code points."""
+    power, inverse = _power_tables(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, U64)
+    np.cumsum(mix64(codes.astype(U64) + U64(1 + (seed << 32))) * power[: len(codes)], out=total[1:])
+    return mix64((total[starts + lengths] - total[starts]) * inverse[starts] + lengths.astype(U64))
+
+
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text with A-Z lower-cased.
 

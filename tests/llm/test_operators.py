@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquill.llm import language_id, line_dedup, minhash_dedup, mtree_search, piece_sampling, projected_search, source_mixing, suffix_tree_lm, toxicity, url_filter
-from netquill.llm.common import mix64
+from netquill.llm.common import mix64, range_hashes
 from netquill.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra int, key string, component string, score double"
@@ -161,19 +161,52 @@ def test_samples_are_distinct_and_follow_the_distribution():
     p = {k: w / total for k, w in every.items()}
     found = piece_sampling.sample_chunk(lattices, ["the cat"] * n, mix64(np.arange(n, dtype=np.uint64)), 3)
     first, second, estimate = collections.Counter(), collections.Counter(), 0.0
-    for samples in found:
-        ids = [tuple(s[0].tolist()) for s in samples]
-        assert len(set(ids)) == 3 and [s[2] for s in samples] == sorted((s[2] for s in samples), reverse=True)
-        assert all(abs(math.log(p[i]) - s[1]) < 1e-4 for i, s in zip(ids, samples))
+    assert found.doc.tolist() == np.repeat(np.arange(n), 3).tolist() and found.turn.tolist() == [1, 2, 3] * n
+    for i in range(0, 3 * n, 3):
+        ids = [tuple(found.ids[found.first[j] : found.first[j + 1]].tolist()) for j in range(i, i + 3)]
+        perturbed = found.perturbed[i : i + 3].tolist()
+        assert len(set(ids)) == 3 and perturbed == sorted(perturbed, reverse=True)
+        assert all(abs(math.log(p[x]) - found.log_prob[i + j]) < 1e-4 for j, x in enumerate(ids))
         first[ids[0]] += 1
         second[ids[1]] += 1
-        estimate += sum(math.exp(s[1] - s[3]) for s in samples)
+        estimate += sum(math.exp(found.log_prob[i + j] - found.log_inclusion[i + j]) for j in range(3))
     for k in sorted(p, key=p.get, reverse=True)[:4]:
         assert abs(first[k] / n - p[k]) < 0.025
         assert abs(second[k] / n - sum(p[a] * p[k] / (1 - p[a]) for a in p if a != k)) < 0.025
     assert abs(estimate / n - 1) < 0.01  # inclusion scores make unbiased weights
 
 
+def test_units_are_cut_as_by_the_pattern():
+    texts = ["a b  c\n\n  d \n", None, "", "\n", "   ", "x", " y\nz  ", "é \u4f60\u597d\t q"]
+    codes, starts, lengths, first = piece_sampling.cut_units(texts)
+    for i, text in enumerate(texts):
+        got = ["".join(map(chr, codes[s : s + n])) for s, n in zip(starts[first[i] : first[i + 1]], lengths[first[i] : first[i + 1]])]
+        assert got == (re.findall(r" *[^ \n]+| +|\n", " " + text)[::-1] if text else [])
+
+
+def test_full_tables_change_no_sample(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"wort{x} the cat" for x in rng.integers(0, 10**6, 300)) for _ in range(12)]
+    keys = mix64(np.arange(12, dtype=np.uint64))
+    vocabulary = piece_sampling.Vocabulary(piece_sampling.MODEL, 1.0)
+    whole = piece_sampling.sample_chunk(piece_sampling.Lattices(vocabulary), texts, keys, 2)
+    monkeypatch.setattr(piece_sampling, "CACHED_BYTES", 300_000)
+    monkeypatch.setattr(piece_sampling, "BLOCK_CHARS", 500)
+    small = piece_sampling.Lattices(vocabulary)
+    for i in range(12):
+        got = piece_sampling.sample_chunk(small, texts[i : i + 1], keys[i : i + 1], 2)
+        own = np.flatnonzero(whole.doc == i)
+        assert got.ids.tolist() == whole.ids[whole.first[own[0]] : whole.first[own[-1] + 1]].tolist()
+        assert np.allclose(got.log_prob, whole.log_prob[own]) and np.allclose(got.log_inclusion, whole.log_inclusion[own])
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(piece_sampling, "range_hashes", lambda codes, starts, lengths, seed=0: lengths.astype(np.uint64) if not seed else range_hashes(codes, starts, lengths, seed))
+    lattices = piece_sampling.Lattices(piece_sampling.Vocabulary(piece_sampling.MODEL, 1.0))
+    found = piece_sampling.sample_chunk(lattices, ["cat dog", "dog cat"], mix64(np.arange(2, dtype=np.uint64)), 1)
+    assert piece_sampling.Speller(lattices.v.spelled)(*piece_sampling.spelled(found, np.array(lattices.v.byte_ids, np.int32))) == [b"cat dog", b"dog cat"]
+
+
 def test_encoding_round_trip(spark):
     table = docs(spark, ODD + [(20, "a\nb\r\n  c \u0000 \U0001f600 é")])
     encoded = piece_sampling.encode(table, samples=3, keep=("doc_id", "text"), verify=True)
@@ -218,11 +251,44 @@ def test_line_dedup(spark, batches, fanout):
     common = ["this line is shared by many documents", "ÉÉ exactly twenty c.", "SHORT", "Another long shared line, with CAPS"]
     rows = [(i, "\n".join([f"own line number {i} of its document", f"  {common[i % 4].upper() if i % 2 else common[i % 4]}\t", common[0], common[0]][: 1 + i % 4])) for i in range(40)]
     rows += [(None, common[0]), (100, None), (101, ""), (102, common[0] + "\n" + LONG), (7, rows[7][1])]
-    got = line_dedup.dedup_lines(docs(spark, rows), batches=batches, fanout=fanout).collect()
+    rows += [(7, "another text of the same id\n" + common[0]), (10**12, common[2])]
+    got = line_dedup.dedup_lines(docs(spark, rows), batches=batches, fanout=fanout, keep=("doc_id", "text", "extra")).collect()
     assert collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got) == dedup_by_hand(rows)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(rows)
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_frequent_lines_go_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HEAVY", 20)
+    test_line_dedup(spark, 3, 2)
+
+
+def test_line_runs_stay_for_later_batches(spark):
+    line = "this line is shared by many documents"
+    old = [(i, f"{line}\nand another one of document {i}") for i in range(50, 53)]
+    new = [(i, f"{line}\nand a third kind in document {i}") for i in range(100, 102)]
+    spark.sql("DROP DATABASE IF EXISTS runs_of_lines CASCADE")
+    first = line_dedup.dedup_lines(docs(spark, old), database="runs_of_lines").collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in first} == {50: 1, 51: 1, 52: 0}
+    later = line_dedup.dedup_lines(docs(spark, new), database="runs_of_lines").collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in later} == {100: 1, 101: 1}  # the keeper is of the first batch, though its id is smaller
+    spark.sql("DROP DATABASE runs_of_lines CASCADE")
+
+
+def test_runs_are_merged_without_exchange_or_sort(spark):
+    keys = line_dedup.line_keys(docs(spark, [(i, f"a long line of document number {i}\nand a line that is shared") for i in range(300)])).persist()
+    runs = line_dedup.LineRuns(spark, "runs_to_merge", 3)
+    runs.add(keys.where("doc_id >= 200"))
+    runs.add(keys.where("doc_id between 100 and 199"))
+    with line_dedup._ordered_buckets(spark):
+        plan = runs.joined(keys.where("doc_id < 100"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 2
+        assert plan.count(" Sort ") == 1 and plan.count("Exchange hashpartitioning") == 2  # of the batch alone
+        held = {r["keeper"]: r["n_docs"] for r in runs.joined(keys.where("doc_id < 100")).where("keeper is null or keeper = 99").collect()}
+    assert held == {None: 100, 99: 1}
+    runs.drop()
+
+
 # ---- op9 -------------------------------------------------------------------------------------------------------------------
 def groups_by_hand(rows):
     sets = {}
