@@ -1,12 +1,16 @@
 """The training-corpus pipeline: language ID, line dedup, near-dedup, source mixing and piece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
-docs. All but the last return the columns of ``documents``.
+docs. All but the last return the columns of ``documents``, and further columns of the input go with the first.
+
+Cases, for all stages: rows with null and repeated ids pass from stage to stage, each with its own text, except that a repeated
+id is one document where lines and near-duplicates are counted; a null or empty text has no language and goes in the first
+stage; an empty table gives empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquill.llm.common import materialize, read_table
@@ -36,10 +40,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each text by its lines that stay; a document left without any word goes, one that was empty before stays."""
-    cut = dedup_lines(docs.where("doc_id is not null")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cut_id")
-    joined = docs.join(cut, docs["doc_id"] == cut["cut_id"], "left")
-    kept = joined.where((F.coalesce("n_dropped", F.lit(0)) == 0) | F.col("kept_text").rlike("[^\\x20\\x09-\\x0D]"))
-    text = F.when(F.coalesce("n_dropped", F.lit(0)) > 0, F.col("kept_text")).otherwise(F.col("text"))
+    cut = dedup_lines(docs, keep=COLUMNS)
+    kept = cut.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike("[^\\x20\\x09-\\x0D]"))
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -54,8 +57,16 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source`` and the sampled segmentations of each text."""
-    return encode(docs, keep=("doc_id", "lang", "source"))
+    """``doc_id, lang, source`` and the sampled segmentations of each text.
+
+    Copies of a document, as mixing makes them, are numbered by their id and text, and each copy draws its own samples; rows
+    without an id draw by their text."""
+    text = F.xxhash64(F.col("text"))
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy(text))
+    named = docs.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id", copy))
+    nameless = docs.where("doc_id is null").withColumn("key", text)
+    rows = named.unionByName(nameless)
+    return encode(rows, keep=("doc_id", "lang", "source"), key=F.col("key"))
 
 
 STAGES = [
