@@ -39,6 +39,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` wrote, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents_of(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns can't clash with those an operator adds."""
     return docs.select(*[docs[c] for c in columns])

@@ -8,7 +8,9 @@ training tokens, and a token is scored in the longest retained suffix of what pr
 The tree has no bound, so it is a partitioned table of grams. A token's log probability is a sum over the grams that end at
 it (what its word gains over the shorter context) and those that end before it (the escape to the shorter context), so that a
 text is scored by a join of its distinct grams. The ``FREQUENT`` commonest grams of each length are looked up inside tasks;
-bitmaps of fixed size spare the shuffle grams that can't be in the table, and lose none.
+bitmaps of fixed size spare the shuffle grams that can't be in the table, and lose none. Grams are counted in packed blocks:
+each task sorts what it holds by bucket and words, frequent words as small numbers, so that a gram takes a few bytes on its
+way to the task that adds up its bucket.
 
 Cases: null and empty texts are the end token alone; training rows are those whose crc32(doc_id) modulo ``folds`` isn't
 ``held_out``, null ids among them; without training rows all counts are 0 and every token's probability is 1; rows are
@@ -25,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquill.llm.common import U64, documents_of, hashed_words, materialize, mix64, mod_of_id, text_chunks
+from netquill.llm.common import U64, discard, documents_of, hashed_words, materialize, mix64, mod_of_id, text_chunks
 
 MIN_COUNT = 2
 FREQUENT = 500_000
 #: A context stays if its divergence (nats a token) and the log-likelihood it gains reach these.
 MIN_DIVERGENCE, MIN_GAIN = 0.02, 12.0
 FLUSH = 1_000_000  # distinct keys counted in a task before they are passed on
+BUCKET_TOKENS = 1_000_000  # tokens for each bucket of grams; a task adds up one bucket at a time
 SLOTS = 1 << 26  # bits of a bitmap of keys
 TURNS = (0, 11, 29, 47)  # by how many bits a context's key is turned at each length, so that no word cancels out
 END = np.array([-1], np.int64)  # hash of the end token
@@ -76,14 +79,17 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def _turned(keys: np.ndarray, level: int) -> np.ndarray:
+    bits, r = keys.view(U64), U64(TURNS[level])
+    return ((bits << r) | (bits >> (U64(64) - r))).view(np.int64)
+
+
 def longer(keys: np.ndarray, doc: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the grams of ``level + 1`` words from those of ``level`` words (by their last token), and which exist."""
-    turned, out, there = keys.view(U64), np.zeros(len(keys), U64), np.zeros(len(keys), bool)
-    r = U64(TURNS[level])
-    turned = (turned << r) | (turned >> (U64(64) - r))
-    out[1:] = turned[:-1] ^ keys.view(U64)[1:]
+    out, there = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    out[1:] = _turned(keys[:-1], level) ^ keys[1:]
     there[1:] = doc[1:] == doc[:-1]
-    return out.view(np.int64), there
+    return out, there
 
 
 def _longer(context: str, shorter: str, level: int):
@@ -116,46 +122,112 @@ def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[slot >> U64(6)] >> (slot & U64(63))) & U64(1) == 1
 
 
-def _counted_grams(docs: DataFrame, level: int, bits: np.ndarray) -> DataFrame:
-    """``c, low, n`` of the grams of ``level + 1`` words that occur ``MIN_COUNT`` times: keys without the last and the first word.
+class Codes:
+    """Small numbers for the commonest words, the commonest first; other words keep their hash."""
 
-    ``bits`` has the shorter grams that occur as often. Tasks pass their counts on in the order of contexts.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    def __init__(self, counts: DataFrame):
+        top = _frequent(counts)[0].select("key", "n").toArrow()
+        self.words = top["key"].to_numpy()[np.lexsort((top["key"].to_numpy(), -top["n"].to_numpy()))]
+        self.order = np.argsort(self.words)
+        self.sorted = self.words[self.order]
 
-    def merged(parts: list[tuple]) -> tuple:
-        c, low, n = (np.concatenate(x) for x in zip(*parts))
-        half = np.int64(0xFFFFFFFF)
-        order = np.argsort((c & ~half) | (low & half))  # pairs that share these bits may stay apart; the sum joins them
-        c, low, n = c[order], low[order], n[order]
-        new = np.ones(len(c), bool)
-        new[1:] = (c[1:] != c[:-1]) | (low[1:] != low[:-1])
-        first = np.flatnonzero(new)
-        return c[first], low[first], np.add.reduceat(n, first) if len(first) else n
+    def of(self, found: np.ndarray) -> np.ndarray:
+        at = _find(self.sorted, found)
+        return np.where(at >= 0, self.order[at] if len(self.order) else 0, found)
 
-    def batch_of(part: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["c", "low", "n"])
+    def words_of(self, codes: np.ndarray) -> np.ndarray:
+        own = (codes >= 0) & (codes < len(self.words))
+        out = codes.copy()
+        out[own] = self.words[codes[own]]
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, parts, held = shared.value, [], 0
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Sorted rows as bytes: the first column by its steps, high bytes apart from low ones, compressed."""
+    planes = [np.diff(columns[0], prepend=np.int64(0)), *columns[1:]]
+    return pa.compress(b"".join([np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in planes]), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, rows: int, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(packed, rows * columns * 8, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, rows)
+    out = [np.ascontiguousarray(p.T).view(np.int64).reshape(-1) for p in planes]
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of words and counts, the last column, with equal words once and their counts added up; sorted by words."""
+    order = np.lexsort(columns[-2::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)
+    first = np.flatnonzero(new)
+    return [*(c[first] for c in columns[:-1]), np.add.reduceat(columns[-1], first) if len(first) else columns[-1]]
+
+
+def _counted_grams(docs: DataFrame, level: int, bits: np.ndarray, codes: Codes, buckets: int) -> DataFrame:
+    """``c, low, n`` of the grams of ``level + 1`` words that occur ``MIN_COUNT`` times: keys without the last and the first word.
+
+    ``bits`` has the shorter grams that occur as often.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((bits, codes))
+    width = level + 2
+
+    def blocks(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        *words, n = _added([np.concatenate(c) for c in zip(*parts)])
+        mixed = np.zeros(len(n), U64)
+        for w in words:
+            mixed = mix64(mixed + w.view(U64))
+        bucket = (mixed % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        found = np.split(order, cuts[1:]) if len(order) else []
+        packed = [_pack([c[own] for c in (*words, n)]) for own in found]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[order][cuts]), pa.array([len(own) for own in found], pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "held", "packed"]
+        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (bits, codes), parts, held = shared.value, [], 0
         for _, texts in text_chunks(batches):
             found, doc = tokens(texts)
             keys, there = grams(found, doc, level - 1)[-1]
             often = there & _in(bits, keys)
-            use = np.flatnonzero((doc[1:] == doc[:-1]) & often[1:] & often[:-1])
-            parts.append((keys[use], keys[use + 1], np.ones(len(use), np.int64)))
+            use = np.flatnonzero((doc[1:] == doc[:-1]) & often[1:] & often[:-1]) + 1
+            coded = codes.of(found)
+            parts.append([*(coded[use - back] for back in range(level, -1, -1)), np.ones(len(use), np.int64)])
             held += len(use)
             if held >= 2 * FLUSH:
-                parts = [merged(parts)]
+                parts = [_added([np.concatenate(c) for c in zip(*parts)])]
                 held = len(parts[0][0])
                 if held >= FLUSH:
-                    yield batch_of(parts[0])
+                    yield blocks(parts)
                     parts, held = [], 0
         if parts:
-            yield batch_of(merged(parts))
+            yield blocks(parts)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, last, parts = shared.value[1], None, []
+
+        def total() -> pa.RecordBatch:
+            *words, n = _added([np.concatenate(c) for c in zip(*parts)])
+            often = n >= MIN_COUNT
+            keys = [codes.words_of(w[often]) for w in words]
+            for at in range(1, level):
+                keys = [_turned(a, at) ^ b for a, b in zip(keys[:-1], keys[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, n[often])], names=["c", "low", "n"])
+
+        for batch in batches:
+            for bucket, held, packed in zip(*(batch.column(i) for i in range(3))):
+                if bucket.as_py() != last and parts:
+                    yield total()
+                    parts = []
+                last = bucket.as_py()
+                parts.append(_unpack(packed.as_py(), held.as_py(), width))
+        if parts:
+            yield total()
 
-    made = docs.select("text").mapInArrow(run, "c long, low long, n long").repartition("c")
-    return made.groupBy("c", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+    made = docs.select("text").mapInArrow(count, "bucket long, held long, packed binary")
+    return made.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "c long, low long, n long")
 
 
 def _frequent(table: DataFrame) -> tuple[DataFrame, int]:
@@ -229,10 +301,12 @@ def train(docs: DataFrame, depth: int = 2) -> tuple[SuffixTree, DataFrame]:
     zero = F.lit(0.0)
     table = counts.withColumn("lp", F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1))))
     gains = table.select("key", "n", F.col("lp").alias("gain"))
-    levels = []
+    levels, scratch = [], [counts]
+    codes, buckets = Codes(counts), int(total) // BUCKET_TOKENS + 1
     for level in range(1, depth + 1):
-        bits = bitmap(table.where(F.col("n") >= MIN_COUNT))
-        table = materialize(_level(_counted_grams(docs, level, bits), table, level), f"lm-grams-{level}")
+        often = table.where(F.col("n") >= MIN_COUNT)  # a shorter gram occurs as often as those it is part of
+        table = materialize(_level(_counted_grams(docs, level, bitmap(often), codes, buckets), often, level), f"lm-grams-{level}")
+        scratch.append(table)
         kept = table.where("kept")
         escapes = kept.groupBy("c").agg(F.first("totals").alias("totals"), F.first("escape").alias("escape"))
         joined = gains.join(escapes, F.col("key") == F.col("c"), "left" if level == 1 else "full")
@@ -240,6 +314,7 @@ def train(docs: DataFrame, depth: int = 2) -> tuple[SuffixTree, DataFrame]:
         gains = kept.select("key", "n", "gain")
     levels.append(gains.withColumn("escape", zero))
     levels = [materialize(x, "lm-tree") for x in levels]
+    discard(*scratch)
     rest = None
     for level, whole in enumerate(levels):
         top, least = _frequent(whole)
@@ -285,34 +360,35 @@ def score(docs: DataFrame, tree: SuffixTree, rest: DataFrame) -> DataFrame:
             times = np.diff(first, append=len(keys))
             ids = batch.column(0)
             rare_doc, rare = place[first], keys[first]
-            zero = np.zeros(len(rare))
+            none = lambda kind: pa.nulls(len(rare), kind)
             columns = (
-                (rows, rows[rare_doc]), (None, None), (mix64(rows.astype(U64)).view(np.int64), rare), (np.zeros(n, np.int64), times), (np.zeros(n, bool), word[first]),
-                (np.bincount(doc, minlength=n), zero), (np.bincount(doc, known, n), zero), (np.bincount(doc, base, n), zero), (np.bincount(doc, gains + escapes, n), zero),
+                (rows, rows[rare_doc]), (ids, none(ids.type)), (mix64(rows.astype(U64)).view(np.int64), rare), (np.zeros(n, np.int64), times), (np.zeros(n, bool), word[first]),
+                (np.bincount(doc, minlength=n), none(pa.int64())), (np.bincount(doc, known, n).astype(np.int64), none(pa.int64())),
+                (np.bincount(doc, base, n), none(pa.float64())), (np.bincount(doc, gains + escapes, n), none(pa.float64())),
             )
-            kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 2 + [pa.float64()] * 2
-            arrays = [
-                pa.concat_arrays([ids, ids.take(pa.array(rare_doc))]) if a is None else pa.array(np.concatenate((a, b)).astype(k.to_pandas_dtype()), k)
-                for (a, b), k in zip(columns, kinds)
-            ]
+            arrays = [pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in pair]) for pair in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
 
     parts = docs.mapInArrow(run, schema)  # a row for each text (n = 0, spread by its own token) and for each of its rare words and grams
     found = parts.join(rest.select(F.col("key").alias("token"), F.col("n").alias("c"), "gain", (F.col("gain") + F.col("escape")).alias("v")), "token", "left")
     unseen = F.log10(F.lit(1.0) / F.lit(float(tree.total + tree.distinct + 1)))
-    unigram = F.when(F.col("word"), F.col("n") * F.coalesce("gain", unseen)).otherwise(0.0)
-    log_p = F.col("n") * F.coalesce("v", F.when(F.col("word"), unseen).otherwise(0.0))
-    return found.groupBy("row", "doc_id").agg(
+    unigram = F.when(F.col("word"), F.col("n") * F.coalesce("gain", unseen))
+    log_p = F.col("n") * F.coalesce("v", F.when(F.col("word"), unseen))
+    known = F.when(F.col("word") & (F.col("c") > 0), F.col("n"))
+    total = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("word") & (F.coalesce("c", F.lit(0)) > 0), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + unigram).alias("base_score"),
-        F.sum(F.col("score") + log_p).alias("score"),
+        F.sum(F.coalesce("n_known", known)).alias("n_known"),
+        F.sum(F.coalesce("base", unigram)).alias("base_score"),
+        F.sum(F.coalesce("score", log_p)).alias("score"),
     )
+    return total.drop("row")
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = 2) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; ``depth`` up to 3."""
     docs = documents_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     out = F.coalesce(mod_of_id(F.col("doc_id"), folds) == held_out, F.lit(False))
-    tree, rest = train(docs.where(~out))
+    tree, rest = train(docs.where(~out), depth)
     scored = score(docs, tree, rest)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
