@@ -9,12 +9,17 @@
    components, is confirmed too, so that no bucket pair is skipped: directly in buckets of up to ``SMALL`` classes; classes
    of larger ones meet only on shingles early in a rare-first order (a pair at the threshold shares one of the first quarter,
    and its first shared one leaves enough shingles behind it on both sides), so that the many that fit nothing don't meet.
+   Both kinds must pass a comparison of parity bitmaps: two sets that differ in d shingles differ in d bits at most.
+   Before pairs of large buckets are made, their classes are linked to centres of the smaller buckets that two bands make
+   together, in turns: most of a dense group becomes one component by a few edges for each class, and its pairs are never made.
+   Candidates are confirmed in turns: a few of each class, whose links join most classes of a dense group, so that the pairs
+   inside a component need no look at their sets any more; then more of each, and at last all that are left.
 
 At the threshold of 0.75, 5 rows and 50 bands miss a pair with a probability of 1.3e-6.
 
 Cases: null or empty text and text without words has an empty set, links with nothing and is its own component; fewer than
-five words make one shingle of the whole sequence; rows with a null ``doc_id`` take no part and are left out; rows repeating
-a ``doc_id`` are returned each; an empty table gives an empty result; further columns are ignored.
+five words make one shingle of the whole sequence; rows with a null ``doc_id`` link with nothing and have a null component
+and are kept; rows repeating a ``doc_id`` are returned each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,17 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquill.llm.common import U64, documents_of, hashed_words, list_array, materialize, mix64, text_chunks
 from netquill.llm.components import connected_components
 
 SMALL = 16
-#: Counters of the rare-first order, a power of two; 2 MB in each Python worker and at most 4 MB through the driver.
+#: Counters of the rare-first order, a power of two: 8 bytes each in a Python worker. The result doesn't depend on their number;
+#: more of them order the shingles of a larger corpus better and so save candidates.
 SLOTS = 1 << 18
 CHUNK_SHINGLES = 1 << 20
+#: Candidates of a class that are confirmed in each turn before the last.
+TURNS = (4, 24)
+#: Turns in which the classes of large buckets are linked to centres of the buckets of two bands, and such buckets of a class.
+STAR_TURNS, DOUBLE_BANDS = 1, 16
 EMPTY = np.iinfo(U64).max
+BITS = 512  # of a set's parity bitmap
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -126,13 +137,29 @@ def _sketches(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
     return docs.mapInArrow(sketch, "doc_id long, n_shingles long, set_lo long, set_hi long, keys array<long>")
 
 
+def parity_bitmaps(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each set ``BITS`` bits as 64-bit numbers: whether an odd number of its shingles has that bit."""
+    sets = len(offsets) - 1
+    bit = (mix64(values) % U64(BITS)).astype(np.int64) + np.repeat(np.arange(sets), np.diff(offsets)) * BITS
+    odd = np.bincount(bit, minlength=sets * BITS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(sets, BITS), axis=1).view(np.int64)
+
+
+def _differ(x: str, y: str):
+    """Bits in which two bitmaps differ."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITS // 64)), F.lit(0))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             offsets, values = shingle_sets(texts, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(offsets, values.view(np.int64))], names=["rep", "shingles"])
+            bits = parity_bitmaps(offsets, values)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), list_array(offsets, values.view(np.int64)), list_array(np.arange(len(texts) + 1) * bits.shape[1], bits.reshape(-1))], names=["rep", "shingles", "bits"]
+            )
 
-    return docs.mapInArrow(sets, "rep long, shingles array<long>")
+    return docs.mapInArrow(sets, "rep long, shingles array<long>, bits array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -145,12 +172,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def bucket_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket mates in different components whose sizes allow the threshold."""
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n_shingles", "component"))) for s in "xy")
+    """Pairs of bucket mates in different components whose sizes and bitmaps allow the threshold."""
+    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n_shingles", "component", "bits"))) for s in "xy")
     return (
         x.join(y, "key")
         .where("component_x < component_y")
         .where(100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y"))
+        .where((100 + percent) * _differ("bits_x", "bits_y") <= (100 - percent) * (F.col("n_shingles_x") + F.col("n_shingles_y")))
         .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
     )
 
@@ -174,7 +202,7 @@ def slot_holders(sets: DataFrame, slots: int = SLOTS) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, holders: np.ndarray, percent: int) -> DataFrame:
-    """``rep, component, size, place, shingle``: the first places of each set in the order of (holders of the slot, shingle).
+    """``rep, component, size, place, shingle, bits``: the first places of each set in the order of (holders of the slot, shingle).
 
     The order is one for all sets, which is all that the prefix bound asks; how well slots tell rare shingles from frequent
     ones decides the number of candidates alone.
@@ -184,52 +212,106 @@ def prefixes(sets: DataFrame, holders: np.ndarray, percent: int) -> DataFrame:
     def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
         for batch in batches:
-            ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            ends = np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
             start = 0
             while start < len(ends):
                 before = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_SHINGLES, "right")))
                 part = batch.slice(start, stop - start)
-                values, sizes = part.column(2).flatten().to_numpy(), np.diff(ends[start:stop], prepend=before)
+                values, sizes = part.column(3).flatten().to_numpy(), np.diff(ends[start:stop], prepend=before)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 values = values[np.lexsort((values, counts[values & (len(counts) - 1)], row))]
                 place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
                 kept = np.flatnonzero(100 * (sizes[row] - place + 1) >= percent * sizes[row])
                 owner = pa.array(row[kept])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(owner), part.column(1).take(owner), *(pa.array(x) for x in (sizes[row[kept]], place[kept], values[kept]))],
-                    names=["rep", "component", "size", "place", "shingle"],
+                    [*(part.column(i).take(owner) for i in range(3)), *(pa.array(x) for x in (sizes[row[kept]], place[kept], values[kept]))],
+                    names=["rep", "component", "bits", "size", "place", "shingle"],
                 )
                 start = stop
 
-    return sets.select("rep", "component", "shingles").mapInArrow(early, "rep long, component long, size long, place long, shingle long")
+    return sets.select("rep", "component", "bits", "shingles").mapInArrow(early, "rep long, component long, bits array<long>, size long, place long, shingle long")
+
+
+def _fits(x: str, y: str, percent: int):
+    """Whether two prefix rows of one shingle can be a pair at the threshold, by their places, sizes and bitmaps."""
+    sizes = F.col(f"size_{x}") + F.col(f"size_{y}")
+    behind = F.least(F.col(f"size_{x}") - F.col(f"place_{x}"), F.col(f"size_{y}") - F.col(f"place_{y}")) + 1
+    return ((100 + percent) * behind >= percent * sizes) & ((100 + percent) * _differ(f"bits_{x}", f"bits_{y}") <= (100 - percent) * sizes)
 
 
-def prefix_pairs(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of ``reps`` in different components that can reach the threshold, by prefix and position in a rare-first order.
+def _named(prefix: DataFrame, side: str, *more: str) -> DataFrame:
+    return prefix.select("shingle", *more, *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "size", "place", "bits")))
+
+
+def _mixed(prefix: DataFrame) -> DataFrame:
+    """``shingle, main`` of the shingles that several components hold; ``main`` holds it most often."""
+    kinds = prefix.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle")
+    found = kinds.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"))
+    return found.where("kinds > 1").select("shingle", "main")
+
+
+def band_stars(crowded: DataFrame, percent: int, bands: int, turn: int) -> DataFrame:
+    """Pairs of each class with the centres of buckets that two bands make together: ``DOUBLE_BANDS`` at most for each class.
+
+    Such buckets hold fewer and more alike classes than those of one band; each turn joins the bands at another distance.
+    """
+    two = F.transform(F.sequence(F.lit(0), F.lit(min(bands, DOUBLE_BANDS) - 1)), lambda i: F.xxhash64(i, F.col("keys")[i], F.col("keys")[(i + turn + 1) % bands]))
+    met = crowded.select("rep", "component", "size", "bits", F.explode(F.array_distinct(two)).alias("key"))
+    least = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("at"), "rep", "component", "size", "bits")).alias("c")
+    centres = met.groupBy("key").agg(least, F.count("*").alias("n")).where("n > 1").select("key", *(F.col(f"c.{c}").alias(f"{c}_y") for c in ("rep", "component", "size", "bits")))
+    both = met.join(centres, "key").where("component <> component_y")
+    both = both.where((100 + percent) * _differ("bits", "bits_y") <= (100 - percent) * (F.col("size") + F.col("size_y")))
+    return both.select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b")).distinct()
+
+
+def prefix_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """All pairs of prefix rows in different components that can reach the threshold, by prefix and position in a rare-first order
+    and by their bitmaps.
 
     Of the classes that share a shingle those of its most frequent component meet the others only.
     """
-    own = sets.join(reps, "rep")
-    prefix = materialize(prefixes(own, slot_holders(own), percent), "minhash-prefixes")
-    kinds = prefix.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle")
-    mixed = kinds.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    met = prefix.join(mixed.select("shingle", "main"), "shingle")
-    x, y = (met.select("shingle", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "size", "place"))) for s in "xy")
-    behind = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1
+    met = prefix.join(_mixed(prefix), "shingle")
+    x, y = _named(met, "x", "main"), _named(met, "y")
     return (
         x.where("component_x <> main")
-        .join(y.drop("main"), "shingle")
+        .join(y, "shingle")
         .where("component_x < component_y or (component_y = main and component_x <> component_y)")
-        .where((100 + percent) * behind >= percent * (F.col("size_x") + F.col("size_y")))
+        .where(_fits("x", "y", percent))
         .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rows: int = 5, bands: int = 50) -> DataFrame:
+def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of classes with the components they have by now."""
+    return rows.drop("component").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def close_pairs(pairs: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components of ``links`` and of the pairs that are confirmed. A pair whose classes are in one component already is left out."""
+    rest = materialize(pairs, "minhash-candidates")
+    turn = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
+    for most in (*TURNS, None):
+        chosen = rest
+        if most:
+            chosen = materialize(rest.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= most).drop("n"), "minhash-turn")
+        links = links.unionByName(materialize(confirm(chosen, sets, percent), "minhash-links"))
+        found = connected_components(links, "a", "b")
+        if not most:
+            return found
+        at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        left = rest.join(chosen, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+        apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+        rest = materialize(left.where(apart).select("a", "b"), "minhash-candidates")
+        if rest.isEmpty():
+            return found
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rows: int = 5, bands: int = 50, slots: int = SLOTS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row per document."""
-    docs = documents_of(docs, "doc_id", "text").where("doc_id is not null")
-    sketches = materialize(_sketches(docs, words, rows, bands), "minhash-sketches")
+    docs = documents_of(docs, "doc_id", "text")
+    every = materialize(_sketches(docs, words, rows, bands), "minhash-sketches")
+    sketches = every.where("doc_id is not null")
     classes = sketches.where("n_shingles > 0").groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "minhash-classes")
 
@@ -251,19 +333,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rows: in
     )
     labelled = materialize(labelled, "minhash-labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    open_ = materialize(labelled.join(mixed.select("key", "n"), "key"), "minhash-open")
-    rest = bucket_pairs(open_.where(F.col("n") <= SMALL), percent).unionByName(
-        prefix_pairs(open_.where(F.col("n") > SMALL).select("rep", "component").distinct(), sets, percent)
-    ).distinct()
-    more = materialize(confirm(rest, sets, percent), "minhash-links")
-    found = connected_components(links.unionByName(more), "a", "b")
+    marked = labelled.join(mixed.select("key", "n"), "key").join(sets.select("rep", "bits"), "rep")
+    open_ = materialize(marked, "minhash-open")
+    crowded = open_.where(F.col("n") > SMALL).select("rep", "component").distinct()
+    keyed = crowded.join(chosen.select(F.col("doc_id").alias("rep"), "keys", F.col("n_shingles").alias("size")).dropDuplicates(["rep"]), "rep")
+    keyed = materialize(keyed.join(sets.select("rep", "bits"), "rep"), "minhash-crowded")
+    for turn in range(STAR_TURNS):
+        new = materialize(confirm(band_stars(relabelled(keyed, found), percent, bands, turn), sets, percent), "minhash-links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        found = connected_components(links, "a", "b")
+    own = sets.join(relabelled(crowded, found), "rep")
+    prefix = materialize(prefixes(own, slot_holders(own, slots), percent), "minhash-prefixes")
+    near = relabelled(open_.where(F.col("n") <= SMALL), found)
+    rest = bucket_pairs(near, percent).unionByName(prefix_pairs(prefix, percent)).distinct()
+    found = close_pairs(rest, links, sets, percent)
 
     labels = classes.join(found, classes["rep"] == found["node"], "left").select(
         "set_lo", "set_hi", F.coalesce("component", "rep").alias("component")
     )
-    return sketches.join(labels, ["set_lo", "set_hi"], "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), "doc_id").alias("component_id"),
-        (F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), "doc_id") == F.col("doc_id")).alias("kept"),
+    named = sketches.join(labels, ["set_lo", "set_hi"], "left").select(
+        "doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), "doc_id").alias("component_id")
     )
+    nameless = every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return named.unionByName(nameless).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

@@ -321,7 +321,7 @@ def test_near_duplicates(spark):
         rows.append((i, " ".join(w).upper() if i % 5 == 0 else "  ".join(w)))
     rows += [(200 + i, t) for i, t in enumerate(["a b c", "A b  c", "a b", None, "", " \n", LONG, LONG + " word", "e f g h i", "e f g h i j"])]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(docs(spark, [*rows, (None, "a b c")])).collect()}
-    assert got == groups_by_hand(rows)
+    assert got == groups_by_hand(rows) | {(None, 1, None)}
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
     assert minhash_dedup.near_duplicates(docs(spark, [(1, "q w e r t y"), (1, "q w e r t y")])).count() == 2
 
@@ -331,6 +331,21 @@ def test_large_groups_meet_by_prefix(spark, monkeypatch):
     test_near_duplicates(spark)
 
 
+def test_candidates_are_closed_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "TURNS", (1, 1))
+    test_large_groups_meet_by_prefix(spark, monkeypatch)
+
+
+def test_bitmaps_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in rng.integers(0, 300, 60)]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    bits = minhash_dedup.parity_bitmaps(offsets, np.concatenate(sets))
+    for i, j in itertools.combinations(range(60), 2):
+        apart = sum(int(x).bit_count() for x in (bits[i] ^ bits[j]).view(np.uint64))
+        assert apart <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (4, 5), (9, 8), (8, 7), (7, 4), (6, 6), (None, 1)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
