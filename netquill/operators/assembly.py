@@ -14,7 +14,9 @@ DEFAULT_LOGINS = (
     "tomcat:tomcat", "tomcat:s3cret", "tomcat:admin", "admin:tomcat", "admin:admin", "admin:password", "admin:", "admin:1234", "admin:12345", "root:root",
     "root:toor", "root:password", "manager:manager", "role1:role1", "both:tomcat", "guest:guest", "cisco:cisco", "user:user", "test:test",
 )
-COMPILERS = r"^(gcc|g\+\+|cc|c\+\+|cpp|clang|clang\+\+|as|ld|cc1|cc1plus|.*-gcc|.*-g\+\+|gcc-.*|g\+\+-.*|clang-.*)$"
+COMPILERS = ("gcc", "g++", "cc", "c++", "cpp", "clang", "clang++", "as", "ld", "cc1", "cc1plus")
+COMPILER_ENDINGS = ("-gcc", "-g++")
+COMPILER_BEGINNINGS = ("gcc-", "g++-", "clang-")
 DEPLOY = r"(?i)^(/manager/html/upload.*|/manager/text/deploy.*|/manager/html/deploy.*|/manager/deploy|/script|/scripttext)$"
 MAIL_PORTS = (25, 587, 2525)
 
@@ -87,6 +89,34 @@ def route_phases(flows: DataFrame, phase: str = "phase") -> dict[str, DataFrame]
     return {d: flows.where(F.col(phase).isin(*[p for p, ds in PHASES.items() if d in ds])) for d in sorted({d for ds in PHASES.values() for d in ds})}
 
 
+def _job_arguments(text: Column) -> Column:
+    """The arguments of a compile job, cut by the lengths that precede them; null where there is no whole first argument.
+
+    ``text`` has a character for each byte."""
+    hexadecimal = lambda x: F.conv(x, 16, 10).cast("bigint")
+    size = F.lit("^[0-9a-fA-F]{8}$")
+    head = (F.substring(text, 1, 4) == "DIST") & (F.substring(text, 13, 4) == "ARGC") & F.substring(text, 5, 8).rlike("^[0-9a-fA-F]{8}$") & F.substring(text, 17, 8).rlike("^[0-9a-fA-F]{8}$")
+    count = F.when(head, F.least(hexadecimal(F.substring(text, 17, 8)), F.lit(64))).otherwise(0).cast("int")
+
+    def cut(state: Column, _: Column) -> Column:
+        at, mark = state["at"], F.substring(text, state["at"], F.lit(4))
+        digits = F.substring(text, at + 4, F.lit(8))
+        more = (state["state"] == 0) & (mark == "ARGV") & (F.length(digits) == 8)
+        plain = F.regexp_like(digits, size)
+        n = F.when(plain, hexadecimal(digits)).otherwise(0)
+        short = (F.size(state["found"]) == 0) & (at - 1 + 12 + n > F.length(text))
+        own = F.decode(F.encode(F.substring(text, at + 12, F.least(n, F.lit(160)).cast("int")), "ISO-8859-1"), "UTF-8")
+        clean = F.trim(F.regexp_replace(own, "[\\x00-\\x1f\\x7f]", ""))
+        ahead = F.least(at + 12 + n, F.lit(1 << 30)).cast("int")
+        fine = F.struct(ahead.alias("at"), F.concat(state["found"], F.array(clean)).alias("found"), F.lit(0).alias("state"))
+        ended = lambda code: F.struct(at.alias("at"), state["found"].alias("found"), (F.lit(code) if isinstance(code, int) else code).alias("state"))
+        return F.when(~more, ended(F.greatest(state["state"], F.lit(1)))).when(~plain | short, ended(2)).otherwise(fine)
+
+    start = F.struct(F.lit(25).alias("at"), F.array().cast("array<string>").alias("found"), F.lit(0).alias("state"))
+    turns = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(turns, start, cut, lambda s: F.when((s["state"] < 2) & (F.size(s["found"]) > 0), s["found"]))
+
+
 def app_events(packets: DataFrame) -> DataFrame:
     """Application events from plain payloads: SMTP probes and refusals, HTTP logins, refusals and deployments, compile jobs.
 
@@ -103,7 +133,13 @@ def app_events(packets: DataFrame) -> DataFrame:
     pair = F.when(login != "", F.try_to_binary(padded, F.lit("base64")).cast("string"))
     default = F.coalesce(pair.isin(*DEFAULT_LOGINS), F.lit(False))
     deploy = F.col("text").rlike("^(POST|PUT) ") & F.substring_index(path, "?", 1).rlike(DEPLOY)
-    argv0 = F.element_at(F.split(F.regexp_extract("text", r"^DIST[0-9a-f]{8}ARGC[0-9a-f]{8}ARGV[0-9a-f]{8}(.+?)ARGV", 1), "/"), -1)
+    arguments = F.when(F.col("text").startswith("DIST"), _job_arguments(F.col("text")))
+    job = F.lower(F.substring_index(arguments[0], "/", -1))
+    compiler = job.isin(*COMPILERS)
+    for ending in COMPILER_ENDINGS:
+        compiler |= job.endswith(ending)
+    for beginning in COMPILER_BEGINNINGS:
+        compiler |= job.startswith(beginning)
     event = lambda ok, f, d, c: F.when(ok, F.struct(f.alias("app_function"), d.alias("app_detail"), c.cast("int").alias("app_code")))
     none = F.lit("")
     mail = F.when(smtp == "VRFY", "smtp_vrfy").when(smtp == "EXPN", "smtp_expn").otherwise("smtp_rcpt")
@@ -114,7 +150,7 @@ def app_events(packets: DataFrame) -> DataFrame:
         event(deploy, F.lit("http_admin_deploy"), F.substring(path, 1, 96), F.when(default, 3).otherwise(1)),
         event(~deploy & pair.isNotNull(), F.lit("http_basic"), F.substring(F.substring_index(pair, ":", 1), 1, 64), default),
         event(F.col("text").rlike(r"^HTTP/1\.. 401"), F.lit("http_401"), none, F.lit(401)),
-        event(argv0 != "", F.concat(F.lit("distcc:"), argv0), argv0, ~argv0.rlike(COMPILERS)),
+        event(arguments.isNotNull(), F.concat(F.lit("distcc:"), job), F.substring(F.array_join(F.slice(arguments, 2, 5), " "), 1, 160), ~compiler),
     ))
     sender = F.col("e.app_function").isin("smtp_reject", "http_401")  # sent by the server
     side = lambda x, y: F.when(sender, F.col(x)).otherwise(F.col(y))

@@ -193,13 +193,29 @@ def test_live_assembly_cuts(spark):
     assert [(f["ts"], f["orig_pkts"]) for f in flows] == [(0.0, 16), (320.0, 4), (600.0, 1)]
 
 
+def test_compile_jobs_are_cut_by_their_lengths(spark):
+    jobs = {
+        b"DIST00000001ARGC00000001ARGV00000002sh": ("distcc:sh", "", 1),
+        b"DIST00000001ARGC00000003ARGV0000000C/usr/bin/GCCARGV00000002-cARGV00000003a.c": ("distcc:gcc", "-c a.c", 0),
+        b"DIST00000001ARGC00000001ARGV00000007arm-gcc": ("distcc:arm-gcc", "", 0),
+        b"DIST00000001ARGC00000002ARGV00000008clang-17ARGV00000004a AR": ("distcc:clang-17", "a AR", 0),
+        b"DIST00000001ARGC00000001ARGV00000009sh": None,  # cut off
+        b"DIST00000001ARGC00000002ARGV00000002shARGV0000000x-c": None,
+        b"DIST00000001ARGC00000000": None,
+        b"DIST0000000": None,
+    }
+    rows = [(i, "c", 1, "d", 3632, None, p) for i, p in enumerate(jobs)]
+    got = {r["ts"]: (r["app_function"], r["app_detail"], r["app_code"]) for r in assembly.app_events(packets(spark, rows)).collect()}
+    assert got == {float(i): v for i, v in enumerate(jobs.values()) if v}
+
+
 def test_app_events_hide_passwords(spark):
     basic = b"PUT /manager/text/deploy?path=/x HTTP/1.1\r\nAuthorization: Basic YWRtaW46YWRtaW4=\r\nUser-Agent: x\r\n\r\n"
     rows = [(0, "c", 50000, "s", 80, None, basic), (1, "s", 80, "c", 50000, None, b"HTTP/1.1 401 No\r\n"), (2, "c", 50001, "m", 25, None, b"VRFY root@h\r\n")]
-    rows += [(3, "c", 50000, "s", 80, None, basic.replace(b"PUT /manager/text/deploy", b"GET /docs")), (4, "c", 1, "d", 3632, None, b"DIST00000001ARGC00000002ARGV00000004/bin/shARGV00000002-c")]
+    rows += [(3, "c", 50000, "s", 80, None, basic.replace(b"PUT /manager/text/deploy", b"GET /docs")), (4, "c", 1, "d", 3632, None, b"DIST00000001ARGC00000002ARGV00000007/bin/shARGV00000002-c")]
     got = assembly.app_events(packets(spark, rows)).collect()
     assert sorted((r["app_function"], r["app_detail"], r["app_code"]) for r in got) == [
-        ("distcc:sh", "sh", 1), ("http_401", "", 401), ("http_admin_deploy", "/manager/text/deploy?path=/x", 3), ("http_basic", "admin", 1), ("smtp_vrfy", "root", 0),
+        ("distcc:sh", "-c", 1), ("http_401", "", 401), ("http_admin_deploy", "/manager/text/deploy?path=/x", 3), ("http_basic", "admin", 1), ("smtp_vrfy", "root", 0),
     ]
     assert all("admin:admin" not in str(r) for r in got)
     http = assembly.http_requests(packets(spark, rows)).first()
