@@ -5,9 +5,12 @@ Poisson quantile of a uniform number hashed from the seed and its ``doc_id``; do
 second hash, which shuffles them globally. Sources without a weight share what the named weights leave, in proportion to
 their rows.
 
+A rate above ``MAX_RATE`` is dealt over equal parts below it, whose independent quantiles add up to a Poisson number of the rate.
+
 Cases: rows with a null or repeated ``doc_id`` draw the same number as others of that id; a null source counts among the
-unnamed; weights must not exceed 1 in sum; a rate above ``MAX_RATE`` is an error; an empty table gives an empty result;
-all columns are kept, null and empty texts included, and ``copy`` (from 1) and ``shuffle_key`` follow (they must be new names).
+unnamed; weights must not exceed 1 in sum; a named source that has no rows leaves its share of the budget unused; an empty
+table gives an empty result; all columns are kept, null and empty texts included, and ``copy`` (from 1) and ``shuffle_key``
+follow: a column of the input by one of the names in ``OWN`` is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RATE = 500.0
+OWN = ("copy", "shuffle_key", "__n")
 
 
 def poisson_cdf(rate: float) -> list[float]:
@@ -39,8 +43,22 @@ def hashed_uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def _quantile(rate: float, seed: str, doc_id: Column) -> Column:
+    """A row's Poisson number of mean ``rate``."""
+    parts = max(1, math.ceil(rate / MAX_RATE))
+    steps = F.array(*map(F.lit, poisson_cdf(rate / parts)))
+    # the one-element array has the uniform number made once for all steps
+    count = lambda u: F.transform(F.array(u), lambda x: F.size(F.filter(steps, lambda c: c <= x)))[0]
+    first = count(hashed_uniform(seed, doc_id))
+    if parts == 1:
+        return first
+    return F.aggregate(F.sequence(F.lit(1), F.lit(parts - 1)), first, lambda total, part: total + count(hashed_uniform(f"{seed} part", part, doc_id)))
+
+
 def mix_sources(docs: DataFrame, targets: dict[str, float], mean_rate: float = 1.0, seed: str = "mix") -> DataFrame:
     """``docs`` replicated so that each named source makes up its target share of ``mean_rate`` times the rows."""
+    if taken := sorted({*OWN} & {c.lower() for c in docs.columns}):
+        raise ValueError(f"columns {taken} clash with those that mixing adds")
     rest = 1.0 - sum(targets.values())
     if rest < -1e-9 or any(w < 0 for w in targets.values()):
         raise ValueError("target weights must be at least 0 and at most 1 in sum")
@@ -50,13 +68,10 @@ def mix_sources(docs: DataFrame, targets: dict[str, float], mean_rate: float = 1
     budget = mean_rate * sum(counts.values())
     # reciprocal order of operations kept simple, as the oracle must give the same doubles
     rates = {name: targets[name] * budget / counts[name] for name in names if name in counts}
-    spare = F.array(*map(F.lit, poisson_cdf(max(rest, 0.0) * budget / counts[None]))) if None in counts else F.array(F.lit(1.0))
-    steps = spare
+    copies = _quantile(max(rest, 0.0) * budget / counts[None], seed, docs["doc_id"]) if None in counts else F.lit(0)
     for name, rate in rates.items():
-        steps = F.when(F.col("source") == name, F.array(*map(F.lit, poisson_cdf(rate)))).otherwise(steps)
-    u = hashed_uniform(seed, docs["doc_id"])
-    copies = F.size(F.filter(steps, lambda c: c <= F.lit(0.0) + F.col("__u")))
-    drawn = docs.withColumn("__u", u).withColumn("__n", copies).where("__n > 0")
-    spread = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__u", "__n")
+        copies = F.when(docs["source"] == name, _quantile(rate, seed, docs["doc_id"])).otherwise(copies)
+    drawn = docs.withColumn("__n", copies).where("__n > 0")
+    spread = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
     key = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     return spread.withColumn("shuffle_key", key).orderBy("shuffle_key")

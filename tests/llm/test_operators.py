@@ -93,6 +93,14 @@ def test_mixing_follows_the_poisson_quantiles(spark):
     assert source_mixing.mix_sources(docs(spark, []), {"a": 1.0}).count() == 0
     with pytest.raises(ValueError):
         source_mixing.mix_sources(docs(spark, table), {"a": 0.9, "b": 0.2})
+    with pytest.raises(ValueError):
+        source_mixing.mix_sources(docs(spark, table).withColumn("Copy", F.lit(1)), {"a": 0.5})
+
+
+def test_rare_sources_mix_at_high_rates(spark):
+    table = [(i, "t", "en", "rare" if i < 2 else "common") for i in range(2000)]
+    got = collections.Counter(r["source"] for r in source_mixing.mix_sources(docs(spark, table), {"rare": 0.9}).select("source").collect())
+    assert abs(got["rare"] - 1800) < 6 * 1800**0.5 and abs(got["common"] - 200) < 6 * 200**0.5  # 900 copies of each rare row
 
 
 # ---- op3 -------------------------------------------------------------------------------------------------------------------
