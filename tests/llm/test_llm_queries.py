@@ -37,3 +37,30 @@ def test_pipeline_stages(spark):
     encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert encoded.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert queries.queries()["pipeline"](spark, SF).count() == encoded.count()
+
+
+ODD = [
+    (1, "a line that several documents share\nfirst text", "en", "a", 5), (1, "a line that several documents share\nanother text of this id", "en", "a", 5),
+    (2, "a line that several documents share\nsecond", None, None, None), (3, "a line that several documents share", "en", "b", 5),
+    (4, None, "en", "a", 0), (5, "", "en", "a", 0), (None, "a text without an id", "en", "a", 5), (6, "long words " * 3000, "en", "src0", 5),
+]
+
+
+def odd(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+
+
+def test_line_stage_keeps_each_row_its_text(spark):
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["n_chars"]) for r in corpus_pipeline.line_stage(spark, odd(spark, ODD), SF).collect())
+    kept = {1: ["another text of this id", "first text"], 2: ["second"], 3: ["a line that several documents share"], 4: [""], 5: [""], 0: ["a text without an id"], 6: ["long words " * 3000]}
+    assert [(i, t) for i, t, _ in got] == sorted((i, t) for i, ts in kept.items() for t in ts)
+    assert all(n == len(t) for _, t, n in got if t)
+    assert corpus_pipeline.line_stage(spark, odd(spark, ODD[:0]), SF).count() == 0
+
+
+def test_copies_draw_their_own_samples(spark):
+    text = "unlikely extraordinary internationalization of segmentations"
+    rows = [(1, text, "en", "a", 5)] * 6 + [(None, text, "en", "a", 5), (2, None, "en", "a", 5)]
+    got = corpus_pipeline.encoding_stage(spark, odd(spark, rows), SF).where("sample = 1").collect()
+    assert len(got) == 8 and len({tuple(r["ids"]) for r in got if r["doc_id"] == 1}) > 1
+    assert corpus_pipeline.encoding_stage(spark, odd(spark, rows[:0]), SF).count() == 0
