@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Text bytes handled at once inside a task; bounds a Python worker's memory whatever the row count of a batch.
 CHUNK_BYTES = 2 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The write's shuffle files are deleted when it ends, since nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
