@@ -8,9 +8,9 @@ training tokens, and a token is scored in the longest retained suffix of what pr
 The tree has no bound, so it is a partitioned table of grams. A token's log probability is a sum over the grams that end at
 it (what its word gains over the shorter context) and those that end before it (the escape to the shorter context), so that a
 text is scored by a join of its distinct grams. The ``FREQUENT`` commonest grams of each length are looked up inside tasks;
-bitmaps of fixed size spare the shuffle grams that can't be in the table, and lose none. Grams are counted in packed blocks:
-each task sorts what it holds by bucket and words, frequent words as small numbers, so that a gram takes a few bytes on its
-way to the task that adds up its bucket.
+bitmaps of fixed size spare the shuffle grams that can't be in the table, and lose none. Grams are counted and looked up in
+packed blocks: each task sorts what it holds by bucket and words, so that a gram takes a few bytes on its way to the task that
+adds up its bucket, or that has the bucket's part of the tree. That task holds one bucket of the tree and one block at a time.
 
 Cases: null and empty texts are the end token alone; training rows are those whose crc32(doc_id) modulo ``folds`` isn't
 ``held_out``, null ids among them; without training rows all counts are 0 and every token's probability is 1; rows are
@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquill.llm.common import U64, discard, documents_of, hashed_words, materialize, mix64, mod_of_id, text_chunks
+from netquill.llm.common import U64, clean_shuffles, discard, documents_of, hashed_words, materialize, mix64, mod_of_id, text_chunks
 
 MIN_COUNT = 2
 FREQUENT = 500_000
@@ -35,6 +35,7 @@ FREQUENT = 500_000
 MIN_DIVERGENCE, MIN_GAIN = 0.02, 12.0
 FLUSH = 1_000_000  # distinct keys counted in a task before they are passed on
 BUCKET_TOKENS = 1_000_000  # tokens for each bucket of grams; a task adds up one bucket at a time
+BLOCKS = "bucket long, kind long, held long, packed binary"
 SLOTS = 1 << 26  # bits of a bitmap of keys
 TURNS = (0, 11, 29, 47)  # by how many bits a context's key is turned at each length, so that no word cancels out
 END = np.array([-1], np.int64)  # hash of the end token
@@ -111,7 +112,8 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     """Bits of all keys' slots, as 64-bit numbers."""
     slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
     bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    found = keys.select(F.shiftright(slot, 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()  # SLOTS / 64 rows at most
+    with clean_shuffles(keys.sparkSession):
+        found = keys.select(F.shiftright(slot, 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()  # SLOTS / 64 rows at most
     out = np.zeros(SLOTS // 64, np.int64)
     out[found["i"].to_numpy()] = found["b"].to_numpy()
     return out.view(U64)
@@ -164,12 +166,29 @@ def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [*(c[first] for c in columns[:-1]), np.add.reduceat(columns[-1], first) if len(first) else columns[-1]]
 
 
-def _counted_grams(docs: DataFrame, level: int, bits: np.ndarray, codes: Codes, buckets: int) -> DataFrame:
+def _dealt(columns: list[np.ndarray], mixed: np.ndarray, buckets: int, kind: int = 0) -> pa.RecordBatch:
+    """``BLOCKS`` of sorted rows: the rows of each bucket packed by themselves, in the same order."""
+    bucket = (mixed % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    found = np.split(order, cuts[1:]) if len(order) else []
+    packed = [_pack([c[own] for c in columns]) for own in found]
+    arrays = [pa.array(bucket[order][cuts]), pa.array(np.full(len(found), kind, np.int64)), pa.array([len(own) for own in found], pa.int64()), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "kind", "held", "packed"])
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    """``BLOCKS`` one by one."""
+    for batch in batches:
+        for block in zip(*batch.columns):
+            yield tuple(x.as_py() for x in block)
+
+
+def _counted_grams(docs: DataFrame, level: int, shared: Broadcast, buckets: int) -> DataFrame:
     """``c, low, n`` of the grams of ``level + 1`` words that occur ``MIN_COUNT`` times: keys without the last and the first word.
 
-    ``bits`` has the shorter grams that occur as often.
+    ``shared`` has a bitmap of the shorter grams that occur as often, and the words' numbers.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((bits, codes))
     width = level + 2
 
     def blocks(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -177,14 +196,7 @@ def _counted_grams(docs: DataFrame, level: int, bits: np.ndarray, codes: Codes,
         mixed = np.zeros(len(n), U64)
         for w in words:
             mixed = mix64(mixed + w.view(U64))
-        bucket = (mixed % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        found = np.split(order, cuts[1:]) if len(order) else []
-        packed = [_pack([c[own] for c in (*words, n)]) for own in found]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[order][cuts]), pa.array([len(own) for own in found], pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "held", "packed"]
-        )
+        return _dealt([*words, n], mixed, buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (bits, codes), parts, held = shared.value, [], 0
@@ -216,17 +228,16 @@ def _counted_grams(docs: DataFrame, level: int, bits: np.ndarray, codes: Codes,
                 keys = [_turned(a, at) ^ b for a, b in zip(keys[:-1], keys[1:])]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, n[often])], names=["c", "low", "n"])
 
-        for batch in batches:
-            for bucket, held, packed in zip(*(batch.column(i) for i in range(3))):
-                if bucket.as_py() != last and parts:
-                    yield total()
-                    parts = []
-                last = bucket.as_py()
-                parts.append(_unpack(packed.as_py(), held.as_py(), width))
+        for bucket, _, held, packed in _held(batches):
+            if bucket != last and parts:
+                yield total()
+                parts = []
+            last = bucket
+            parts.append(_unpack(packed, held, width))
         if parts:
             yield total()
 
-    made = docs.select("text").mapInArrow(count, "bucket long, held long, packed binary")
+    made = docs.select("text").mapInArrow(count, BLOCKS)
     return made.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "c long, low long, n long")
 
 
@@ -305,7 +316,9 @@ def train(docs: DataFrame, depth: int = 2) -> tuple[SuffixTree, DataFrame]:
     codes, buckets = Codes(counts), int(total) // BUCKET_TOKENS + 1
     for level in range(1, depth + 1):
         often = table.where(F.col("n") >= MIN_COUNT)  # a shorter gram occurs as often as those it is part of
-        table = materialize(_level(_counted_grams(docs, level, bitmap(often), codes, buckets), often, level), f"lm-grams-{level}")
+        shared = docs.sparkSession.sparkContext.broadcast((bitmap(often), codes))
+        table = materialize(_level(_counted_grams(docs, level, shared, buckets), often, level), f"lm-grams-{level}")
+        shared.destroy()
         scratch.append(table)
         kept = table.where("kept")
         escapes = kept.groupBy("c").agg(F.first("totals").alias("totals"), F.first("escape").alias("escape"))
@@ -333,12 +346,38 @@ def train(docs: DataFrame, depth: int = 2) -> tuple[SuffixTree, DataFrame]:
 
 
 def score(docs: DataFrame, tree: SuffixTree, rest: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    schema = "row long, doc_id long, token long, n long, word boolean, n_tokens long, n_known long, base double, score double"
+    """``doc_id, n_tokens, n_known, base_score, score`` for each row of ``docs``.
+
+    A text's sums over frequent grams, its other grams and the rest of the tree are dealt to buckets as blocks of three kinds.
+    """
+    shared, buckets = docs.sparkSession.sparkContext.broadcast(tree), tree.total // BUCKET_TOKENS + 1
+    tree_part, text_grams, text_sums = 0, 1, 2
+    size = float(tree.total + tree.distinct + 1)
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+
+        def blocks() -> pa.RecordBatch:
+            keys, n, v = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(keys)
+            return _dealt([x[order] for x in (keys, n, v.view(np.int64))], mix64(keys[order].view(U64)), buckets, tree_part)
+
+        for batch in batches:
+            parts.append([batch.column(i).to_numpy() for i in range(3)])
+            held += batch.num_rows
+            if held >= FLUSH:
+                yield blocks()
+                parts, held = [], 0
+        if held:
+            yield blocks()
+
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, row, parts, held = shared.value, TaskContext.get().partitionId() << 40, [], 0
+
+        def blocks() -> pa.RecordBatch:
+            columns = _added([np.concatenate(c) for c in zip(*parts)])
+            return _dealt(columns, mix64(columns[0].view(U64)), buckets, text_grams)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, row = shared.value, TaskContext.get().partitionId() << 40
         for batch, texts in text_chunks(batches):
             found, doc = tokens(texts)
             gains, escapes, others = t.parts(found, doc)
@@ -346,41 +385,61 @@ def score(docs: DataFrame, tree: SuffixTree, rest: DataFrame) -> DataFrame:
             known[others[0][0]] = False
             base = np.zeros(len(found))
             base[known] = t.root[_find(t.words, found[known])]
-            n = len(texts)
+            n, ids = len(texts), batch.column(0)
             rows = row + np.arange(n)
             row += n
-            place = np.concatenate([doc[i] for i, _ in others])
-            keys = np.concatenate([k for _, k in others])
-            word = np.repeat(np.arange(len(others)) == 0, [len(k) for _, k in others])
-            order = np.lexsort((keys, place))
-            place, keys, word = place[order], keys[order], word[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (place[1:] != place[:-1]) | (keys[1:] != keys[:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(first, append=len(keys))
-            ids = batch.column(0)
-            rare_doc, rare = place[first], keys[first]
-            none = lambda kind: pa.nulls(len(rare), kind)
-            columns = (
-                (rows, rows[rare_doc]), (ids, none(ids.type)), (mix64(rows.astype(U64)).view(np.int64), rare), (np.zeros(n, np.int64), times), (np.zeros(n, bool), word[first]),
-                (np.bincount(doc, minlength=n), none(pa.int64())), (np.bincount(doc, known, n).astype(np.int64), none(pa.int64())),
-                (np.bincount(doc, base, n), none(pa.float64())), (np.bincount(doc, gains + escapes, n), none(pa.float64())),
-            )
-            arrays = [pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in pair]) for pair in columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
-
-    parts = docs.mapInArrow(run, schema)  # a row for each text (n = 0, spread by its own token) and for each of its rare words and grams
-    found = parts.join(rest.select(F.col("key").alias("token"), F.col("n").alias("c"), "gain", (F.col("gain") + F.col("escape")).alias("v")), "token", "left")
-    unseen = F.log10(F.lit(1.0) / F.lit(float(tree.total + tree.distinct + 1)))
-    unigram = F.when(F.col("word"), F.col("n") * F.coalesce("gain", unseen))
-    log_p = F.col("n") * F.coalesce("v", F.when(F.col("word"), unseen))
-    known = F.when(F.col("word") & (F.col("c") > 0), F.col("n"))
+            sums = (np.bincount(doc, w, n) for w in (base, gains + escapes))
+            own = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), np.bincount(doc, minlength=n), np.bincount(doc, known, n).astype(np.int64)]
+            yield _dealt([rows, *own, *(x.view(np.int64) for x in sums)], np.full(n, row, U64), buckets, text_sums)
+            for level, (place, keys) in enumerate(others):
+                parts.append([keys, 2 * rows[doc[place]] + (level == 0), np.ones(len(keys), np.int64)])
+                held += len(keys)
+            if held >= FLUSH:
+                yield blocks()
+                parts, held = [], 0
+        if held:
+            yield blocks()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, columns = None, [], []
+        unseen = np.log10(1.0 / size)
+        for bucket, kind, rows, packed in _held(batches):
+            if bucket != last:
+                last, parts, columns = bucket, [], [np.zeros(0, np.int64)] * 3
+            if kind == tree_part:
+                parts.append(_unpack(packed, rows, 3))
+                continue
+            if parts:
+                columns, parts = [np.concatenate(c) for c in zip(*parts)], []
+                order = np.argsort(columns[0])
+                columns = [c[order] for c in columns]
+            if kind == text_sums:
+                row, ids, valid, n_tokens, n_known, base, total = _unpack(packed, rows, 7)
+                base, total, ids = base.view(np.float64), total.view(np.float64), pa.array(ids, mask=valid == 0)
+            else:
+                keys, of, times = _unpack(packed, rows, 3)
+                at = _find(columns[0], keys)
+                inside, word = at >= 0, of & 1 == 1
+                count, v = np.zeros(rows, np.int64), np.where(word, unseen, 0.0)
+                count[inside], v[inside] = columns[1][at[inside]], columns[2].view(np.float64)[at[inside]]
+                row, doc = np.unique(of >> 1, return_inverse=True)
+                n = len(row)
+                ids, n_tokens = pa.nulls(n, pa.int64()), np.zeros(n, np.int64)
+                n_known = np.bincount(doc, times * (word & (count > 0)), n).astype(np.int64)
+                base = np.bincount(doc, times * np.where(word, np.log10((count + 1) / size), 0.0), n)
+                total = np.bincount(doc, times * v, n)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (row, ids, n_tokens, n_known, base, total)], names=names)
+
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    tree_blocks = rest.select("key", "n", (F.col("gain") + F.col("escape")).alias("v")).mapInArrow(table, BLOCKS)
+    blocks = tree_blocks.union(docs.mapInArrow(texts_of, BLOCKS))
+    found = blocks.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(look_up, schema)
     total = found.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", known)).alias("n_known"),
-        F.sum(F.coalesce("base", unigram)).alias("base_score"),
-        F.sum(F.coalesce("score", log_p)).alias("score"),
+        *(F.sum(c).alias(c) for c in ("n_tokens", "n_known")),
+        F.sum("base").alias("base_score"),
+        F.sum("score").alias("score"),
     )
     return total.drop("row")
 
