@@ -59,15 +59,22 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
     """``key, n``: how often each of the keys that ``keys_of(tokens, doc)`` gives occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, held = [], 0
+
+        def added() -> list[np.ndarray]:
+            return _added([np.concatenate(c) for c in zip(*parts)])
+
         for _, texts in text_chunks(batches):
-            new, n = np.unique(keys_of(*tokens(texts)), return_counts=True)
-            keys, back = np.unique(np.concatenate((keys, new)), return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate((counts, n)), minlength=len(keys)).astype(np.int64)
-            if len(keys) >= FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+            parts.append(list(np.unique(keys_of(*tokens(texts)), return_counts=True)))
+            held += len(parts[-1][0])
+            if held >= 2 * FLUSH:
+                parts = [added()]
+                held = len(parts[0][0])
+                if held >= FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["key", "n"])
+                    parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in added()], names=["key", "n"])
 
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
