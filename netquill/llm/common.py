@@ -129,17 +129,19 @@ def range_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, see
     return mix64((total[starts + lengths] - total[starts]) * inverse[starts] + lengths.astype(U64))
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def hashed_words(texts: list[bytes], lower: bool = True, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text with A-Z lower-cased.
 
     Returns 64-bit word hashes in order, the first word's number for each text (one more entry at the end),
-    the words' start and end bytes, and the lower-cased joined bytes they point into.
+    the words' start and end bytes, and the (lower-cased) joined bytes they point into. ``lower=False`` leaves letters as they
+    are; ``between`` says of each byte whether it parts words (a line feed must).
     """
-    joined = b"\n".join([*texts, b""]).lower() if texts else b""
+    joined = b"\n".join([*texts, b""]) if texts else b""
+    joined = joined.lower() if lower else joined
     data = np.frombuffer(joined, np.uint8)
     firsts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=firsts[1:])
-    space = _SPACE[data]
+    space = between[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
     power, inverse = _power_tables(len(data) + 1)

@@ -89,5 +89,68 @@ SELECT page_id, host, path, rule,
        CASE WHEN kind IS NOT NULL THEN kind WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END AS verdict,
        coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_hits, 0) AS soft_hits
 FROM parts LEFT JOIN fitting USING (page_id) LEFT JOIN hits USING (page_id)
+""",
+    "op11_prefix_trie": r"""
+WITH stored AS (
+  SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, list(turn ORDER BY pos) AS turns,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % 9 AS h
+  FROM stored GROUP BY c),
+built AS (
+  SELECT own.c, list_concat(coalesce(base.turns[1:own.h], []), own.turns[own.h + 1:]) AS s
+  FROM own LEFT JOIN own base ON base.c = own.c - own.c % 5),
+members AS (SELECT c, s, s[1:d] AS p FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT p, len(p) AS depth, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(s) = len(p)), '')) AS ends_sha256
+  FROM members GROUP BY p),
+children AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+weighed AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children,
+         CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(nodes.p[depth].text) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN children ON children.p = nodes.p),
+sums AS (
+  SELECT p[1:d] AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT p, n_children, saved, unnest(range(depth + 1)) AS d FROM weighed) GROUP BY 1)
+SELECT w.conv_id, w.depth, parent.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM weighed w JOIN sums ON sums.p = w.p LEFT JOIN nodes parent ON w.depth > 0 AND parent.p = w.p[1:w.depth - 1]
+""",
+    "op12_substring_dedup": r"""
+WITH cut AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS passage
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM cut WHERE doc_id IS NOT NULL)),
+repeated AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY passage) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT DISTINCT r, i + j AS i FROM repeated, (SELECT unnest(range(50)) AS j)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM cut),
+kept AS (
+  SELECT words.r, count(*) FILTER (WHERE gone.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (WHERE gone.i IS NULL) AS text
+  FROM words LEFT JOIN gone ON gone.r = words.r AND gone.i = words.i GROUP BY words.r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (r)
+""",
+    "op13_ranked_search": r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM cut WHERE len(w) > 0),
+held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM cut) GROUP BY r, term),
+spread AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT r, doc_id, 50 + (50 * len(w) * n_docs) // n_terms AS m FROM cut, total WHERE len(w) > 0 AND doc_id IS NOT NULL),
+scored AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id,
+         sum(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN spread USING (term) JOIN held USING (term) JOIN sized USING (r), total GROUP BY item_id, r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50
 """,
 }

@@ -84,13 +84,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquill.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquill.llm.substring_dedup import dedup_substrings
+
+    out = dedup_substrings(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netquill.llm.ranked_search import rank_documents
+
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_mtree_search, op2_source_mixing, op3_suffix_tree_lm, op4_url_filter, op5_projected_search, op6_piece_sampling, op7_toxicity, op8_line_dedup, op9_minhash_dedup, op10_language_id, pipeline)
+QUERIES = (op1_mtree_search, op2_source_mixing, op3_suffix_tree_lm, op4_url_filter, op5_projected_search, op6_piece_sampling, op7_toxicity, op8_line_dedup, op9_minhash_dedup, op10_language_id, op11_prefix_trie, op12_substring_dedup, op13_ranked_search, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
