@@ -21,9 +21,9 @@ def cell(v):
         v = v.tolist()
     if isinstance(v, list):
         return str([cell(x) for x in v])
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "~"
-    return repr(round(float(v), 6) + 0.0) if isinstance(v, float) else str(v)
+    return repr(round(float(v), 6) + 0.0).removesuffix(".0") if isinstance(v, float) else str(v)
 
 
 def rows(df):
