@@ -4,8 +4,8 @@ A run is a table of ``(key_hi, key_lo, n_docs, keeper)``, bucketed and sorted by
 documents that held it and the document that keeps it. All runs have the same buckets, so that a batch meets each of them by a
 merge join that moves and sorts the batch alone. A batch is aggregated by key and anti-joined with the runs: keys that no run
 knows enter with their largest ``doc_id`` as keeper, the others add to the count and bring no keeper. The first batch that
-brings a key hence decides who keeps it. ``fanout`` runs of a level are compacted into one run of the next. Runs are tables of
-a database, where a later call finds them again.
+brings a key hence decides who keeps it. ``fanout`` runs of a level are compacted into one run of the next. Runs lie in
+a shared folder with a manifest, where a later call finds them again.
 
 Cases: null or empty text is one empty line; rows with a null ``doc_id`` are returned whole (their lines neither count nor go);
 rows repeating a ``doc_id`` count as one document and each loses that document's lines from its own text; an empty table gives
@@ -15,6 +15,7 @@ an empty result; further columns are ignored unless kept.
 from __future__ import annotations
 
 import contextlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm.common import documents_of, materialize, text_chunks
+from netquill.llm.common import documents_of, materialize, shared_dir, text_chunks
 
 BLANK = b" \t\n\x0b\x0c\r"
 KEYS = "doc_id long, key_hi long, key_lo long"
@@ -69,18 +70,32 @@ def _ordered_buckets(spark: SparkSession) -> Iterator[None]:
 
 
 class LineRuns:
-    """The levelled runs in ``database``: tables ``run_<level>_<number>``, those that are there already and those added."""
-
-    def __init__(self, spark: SparkSession, database: str, fanout: int = 2):
-        self.spark, self.database, self.fanout = spark, database, fanout
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-        self.levels: list[list[str]] = [[]]
-        for table in sorted(t.name for t in spark.catalog.listTables(database)):
-            self._level(int(table.split("_")[1])).append(table)
-        there = [t for level in self.levels for t in level]
-        # the number of buckets is that of the runs there are, or else as many as shuffles have partitions
-        spec = spark.sql(f"DESCRIBE EXTENDED `{database}`.`{there[0]}`").where("col_name = 'Num Buckets'").first() if there else None
-        self.buckets = int(spec["data_type"]) if spec else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """The levelled runs under ``directory``, a folder that driver and executors share.
+
+    A run is a folder of sorted bucket files. The newest complete manifest lists the runs that count; it is written by
+    ``commit``, after them, so a call that is lost half-way leaves what was there before, and folders that no manifest lists are
+    ignored. Any session finds the runs by the manifest: tables are made over the folders for the time of the call alone. One
+    call at a time may write.
+    """
+
+    def __init__(self, spark: SparkSession, directory: str, fanout: int = 2):
+        self.spark, self.directory, self.fanout = spark, directory, fanout
+        self.files = spark._jvm.org.apache.hadoop.fs.Path(directory).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.version, self.levels, self.made, self.gone = 0, [[]], [], []
+        # as many buckets as shuffles have partitions, unless runs are there already
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        done = self.files.globStatus(self._path("manifest", "*", "_SUCCESS")) or []
+        if done:
+            self.version = max(int(x.getPath().getParent().getName()) for x in done)
+            kept = json.loads(spark.read.text(f"{directory}/manifest/{self.version}").first()[0])
+            self.levels, self.buckets = kept["levels"], kept["buckets"]
+        for name in (n for level in self.levels for n in level):
+            columns = f"({', '.join(f'{k} LONG' for k in KEY)}, n_docs LONG, keeper LONG)"
+            by = ", ".join(KEY)
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} {columns} USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{directory}/{name}'")
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.directory, *parts]))
 
     def _level(self, level: int) -> list[str]:
         while len(self.levels) <= level:
@@ -88,7 +103,7 @@ class LineRuns:
         return self.levels[level]
 
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(f"`{self.database}`.`{t}`") for level in self.levels for t in level]
+        return [self.spark.table(t) for level in self.levels for t in level]
 
     def joined(self, keys: DataFrame) -> DataFrame:
         """A batch (rows of ``line_keys``, of documents that no earlier batch had) as a run: ``keeper`` for unknown keys alone."""
@@ -104,7 +119,8 @@ class LineRuns:
 
     def _save(self, run: DataFrame, level: int) -> str:
         name = f"run_{level}_{uuid.uuid4().hex}"
-        run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").saveAsTable(f"`{self.database}`.`{name}`")
+        run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("path", f"{self.directory}/{name}").saveAsTable(name)
+        self.made.append(name)
         return name
 
     def _append(self, run: DataFrame, level: int) -> None:
@@ -118,26 +134,48 @@ class LineRuns:
     def _merge(self, tables: list[str], level: int) -> str:
         """One run in place of several: counts added up; of the rows of a key one at most has a keeper, that of the first batch."""
         while len(tables) > 1:
-            a, b = (self.spark.table(f"`{self.database}`.`{t}`").select(*KEY, F.col("n_docs").alias(f"n_{s}"), F.col("keeper").alias(f"keeper_{s}")) for s, t in zip("ab", tables[:2]))
+            a, b = (self.spark.table(t).select(*KEY, F.col("n_docs").alias(f"n_{s}"), F.col("keeper").alias(f"keeper_{s}")) for s, t in zip("ab", tables[:2]))
             both = a.join(b.hint("merge"), KEY, "full")
             counted = (F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n_docs")
             name = self._save(both.select(*KEY, counted, F.coalesce("keeper_a", "keeper_b").alias("keeper")), level)
             for table in tables[:2]:
-                self.spark.sql(f"DROP TABLE `{self.database}`.`{table}`")
+                self.gone.append(table)
+                if table in self.made:  # no manifest lists it
+                    self._delete(table)
             tables = [name, *tables[2:]]
         return tables[0]
 
+    def _delete(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.files.delete(self._path(table), True)
+
     def compacted(self) -> DataFrame:
         """All runs merged into one."""
         there = [t for level in self.levels for t in level]
-        if there:
+        if len(there) > 1:
             with _ordered_buckets(self.spark):
                 whole = self._merge(there, len(self.levels))
             self.levels = [[] for _ in self.levels] + [[whole]]
         return self.runs()[0]
 
+    def commit(self) -> None:
+        """The runs there are now are those that later calls find; what they replace is deleted."""
+        self.version += 1
+        text = json.dumps({"levels": self.levels, "buckets": self.buckets})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.directory}/manifest/{self.version}")
+        for table in self.gone:
+            self._delete(table)
+        self.files.delete(self._path("manifest", str(self.version - 1)), True)
+        self.close()
+
+    def close(self) -> None:
+        """Forget the tables; the folders stay."""
+        for table in (t for level in self.levels for t in level):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
     def drop(self) -> None:
-        self.spark.sql(f"DROP DATABASE IF EXISTS `{self.database}` CASCADE")
+        self.close()
+        self.files.delete(self._path(), True)
 
 
 def _batches(keys: DataFrame, n: int) -> list[DataFrame]:
@@ -150,26 +188,35 @@ def _batches(keys: DataFrame, n: int) -> list[DataFrame]:
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, keep: tuple[str, ...] = ("doc_id",), database: str | None = None
+    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, keep: tuple[str, ...] = ("doc_id",), directory: str | None = None
 ) -> DataFrame:
     """The ``keep`` columns of every row with ``kept_text``, ``n_lines`` and ``n_dropped``.
 
     Lines whose key has at least ``min_chars`` code points and is held by at least ``min_docs`` documents stay only in the
     largest ``doc_id`` holding it. ``batches`` ranges of doc_id, the greatest first, are fed to the runs one after the other.
-    With ``database`` the runs found there count as batches before these, whose keepers stay, and the runs are left there.
+    With ``directory``, a folder that driver and executors share, the runs found there count as batches before these, whose
+    keepers stay, and the runs are left there for the next call, of this session or another.
     """
     spark = docs.sparkSession
     given = documents_of(docs, *dict.fromkeys(("doc_id", "text", *keep)))
     keys = materialize(line_keys(given, min_chars), "line-keys")
-    runs = LineRuns(spark, database or f"line_runs_{uuid.uuid4().hex}", fanout)
+    runs = LineRuns(spark, directory or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}", fanout)
+    earlier = bool(runs.runs())
     for batch in _batches(keys, batches):
         runs.add(batch)
     repeated = materialize(runs.compacted().where(F.col("n_docs") >= min_docs), "line-repeated")
-    if database is None:
+    if directory is None:
         runs.drop()
+    else:
+        runs.commit()
     often = keys.count() // HEAVY
-    heavy = F.broadcast(repeated.where(F.col("n_docs") > often).drop("n_docs"))  # at most HEAVY keys
-    light = repeated.where(F.col("n_docs") <= often).drop("n_docs")
+    if earlier:  # counts of this call's rows, since a stored count says nothing about them
+        here = keys.groupBy(*KEY).agg(F.count("*").alias("here")).where(F.col("here") > often)  # under HEAVY keys
+        heavy = F.broadcast(materialize(repeated.join(here, KEY).select(*KEY, "keeper"), "line-heavy"))
+        light = repeated.drop("n_docs").join(heavy.select(*KEY), KEY, "left_anti")
+    else:
+        heavy = F.broadcast(repeated.where(F.col("n_docs") > often).drop("n_docs"))  # under HEAVY keys
+        light = repeated.where(F.col("n_docs") <= often).drop("n_docs")
     held = keys.join(heavy, KEY).unionByName(keys.join(heavy.select(*KEY), KEY, "left_anti").join(light, KEY))
     gone = held.where("doc_id <> keeper").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(*KEY)).alias("__gone"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*keep).schema]

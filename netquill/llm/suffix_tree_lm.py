@@ -1,6 +1,6 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of up to ``depth`` words. A pair of a context and a next word is in the tree where it occurs ``MIN_COUNT``
+States are contexts of up to ``depth`` words. A pair of a context and a next word is in the tree where it occurs ``min_count``
 times, whatever the size of the corpus; a context is retained where its next-word distribution diverges from that of the
 context without its first word. Distributions are smoothed towards that shorter context down to the add-one unigram of all
 training tokens, and a token is scored in the longest retained suffix of what precedes it.
@@ -29,10 +29,7 @@ from pyspark.sql import functions as F
 
 from netquill.llm.common import U64, clean_shuffles, discard, documents_of, hashed_words, materialize, mix64, mod_of_id, text_chunks
 
-MIN_COUNT = 2
 FREQUENT = 500_000
-#: A context stays if its divergence (nats a token) and the log-likelihood it gains reach these.
-MIN_DIVERGENCE, MIN_GAIN = 0.02, 12.0
 FLUSH = 1_000_000  # distinct keys counted in a task before they are passed on
 BUCKET_TOKENS = 1_000_000  # tokens for each bucket of grams; a task adds up one bucket at a time
 BLOCKS = "bucket long, kind long, held long, packed binary"
@@ -191,8 +188,8 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, by
             yield tuple(x.as_py() for x in block)
 
 
-def _counted_grams(docs: DataFrame, level: int, shared: Broadcast, buckets: int) -> DataFrame:
-    """``c, low, n`` of the grams of ``level + 1`` words that occur ``MIN_COUNT`` times: keys without the last and the first word.
+def _counted_grams(docs: DataFrame, level: int, shared: Broadcast, buckets: int, min_count: int) -> DataFrame:
+    """``c, low, n`` of the grams of ``level + 1`` words that occur ``min_count`` times: keys without the last and the first word.
 
     ``shared`` has a bitmap of the shorter grams that occur as often, and the words' numbers.
     """
@@ -229,7 +226,7 @@ def _counted_grams(docs: DataFrame, level: int, shared: Broadcast, buckets: int)
 
         def total() -> pa.RecordBatch:
             *words, n = _added([np.concatenate(c) for c in zip(*parts)])
-            often = n >= MIN_COUNT
+            often = n >= min_count
             keys = [codes.words_of(w[often]) for w in words]
             for at in range(1, level):
                 keys = [_turned(a, at) ^ b for a, b in zip(keys[:-1], keys[1:])]
@@ -248,16 +245,23 @@ def _counted_grams(docs: DataFrame, level: int, shared: Broadcast, buckets: int)
     return made.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "c long, low long, n long")
 
 
-def _frequent(table: DataFrame) -> tuple[DataFrame, int]:
-    """Rows of the ``FREQUENT`` largest ``n`` at most, unless as many rows have over 10,000; and the least ``n`` of these."""
-    high = table.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 10,000 rows
-    least, rows = 1, 0
-    for r in high:
-        rows += r["count"]
-        if rows > FREQUENT:
-            least = r["n"] + 1
+def _frequent(table: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(commonest, others): the rows of largest ``n``, ``limit`` (``FREQUENT``) of them at most, whatever the counts, and all others.
+
+    Counts are compared by bins (each count below 10,000, then a hundredth of its logarithm). Of the bin that doesn't fit as a
+    whole a share is taken by a hash of the key, so much less than fits that more don't come."""
+    limit = FREQUENT if limit is None else limit
+    bin_ = F.when(F.col("n") < 10_000, F.col("n")).otherwise(10_000 + F.floor(F.ln("n") * 100)).cast("long")
+    cut, room, size = 0, limit, 0
+    for r in table.groupBy(bin_.alias("bin")).count().orderBy(F.desc("bin")).collect():  # under 15,000 rows
+        if r["count"] > room:
+            cut, size = r["bin"], r["count"]
             break
-    return table.where(F.col("n") >= least), least
+        room -= r["count"]
+    share = max(0.0, room - 6 * room**0.5) / size if size else 0.0
+    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    common = (bin_ > cut) | ((bin_ == cut) & drawn)
+    return table.where(common), table.where(~common)
 
 
 class SuffixTree:
@@ -296,7 +300,7 @@ class SuffixTree:
         return out
 
 
-def _level(found: DataFrame, shorter: DataFrame, level: int) -> DataFrame:
+def _level(found: DataFrame, shorter: DataFrame, level: int, min_divergence: float, min_gain: float) -> DataFrame:
     """``key, c, n, totals, lp, gain, escape, kept`` of counted grams; ``shorter``: ``key, n, lp`` of those one word shorter."""
     rows = found.join(shorter.select(F.col("key").alias("low"), F.col("lp").alias("below")), "low")
     rows = rows.join(shorter.select(F.col("key").alias("c"), F.col("n").alias("totals")), "c")
@@ -306,12 +310,12 @@ def _level(found: DataFrame, shorter: DataFrame, level: int) -> DataFrame:
     rows = rows.withColumn("own", F.col("n") / (F.col("totals") + F.col("kinds")) + F.col("escaped") * F.col("before"))
     gained = F.sum(F.col("n") * F.ln(F.col("own") / F.col("before"))).over(of) + (F.col("totals") - F.col("seen")) * F.ln("escaped")
     rows = rows.withColumn("gained", gained)
-    kept = (F.col("gained") >= MIN_GAIN) & (F.col("gained") >= MIN_DIVERGENCE * F.col("totals"))
+    kept = (F.col("gained") >= min_gain) & (F.col("gained") >= min_divergence * F.col("totals"))
     rows = rows.withColumns({"kept": kept, "escape": F.log10("escaped"), "lp": F.when(kept, F.log10("own")).otherwise(F.col("below"))})
     return rows.select(_longer("c", "low", level).alias("key"), "c", "n", "totals", "lp", (F.col("lp") - F.col("below") - F.col("escape")).alias("gain"), "escape", "kept")
 
 
-def train(docs: DataFrame, depth: int = 2) -> tuple[SuffixTree, DataFrame]:
+def train(docs: DataFrame, depth: int = 2, min_count: int = 2, min_divergence: float = 0.02, min_gain: float = 12.0) -> tuple[SuffixTree, DataFrame]:
     """The tree's commonest part, and the rest: ``key, n, gain, escape`` of all other words and of the other grams that have a part."""
     counts = materialize(_counted(docs, lambda found, doc: found), "lm-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
@@ -322,9 +326,9 @@ def train(docs: DataFrame, depth: int = 2) -> tuple[SuffixTree, DataFrame]:
     levels, scratch = [], [counts]
     codes, buckets = Codes(counts), int(total) // BUCKET_TOKENS + 1
     for level in range(1, depth + 1):
-        often = table.where(F.col("n") >= MIN_COUNT)  # a shorter gram occurs as often as those it is part of
+        often = table.where(F.col("n") >= min_count)  # a shorter gram occurs as often as those it is part of
         shared = docs.sparkSession.sparkContext.broadcast((bitmap(often), codes))
-        table = materialize(_level(_counted_grams(docs, level, shared, buckets), often, level), f"lm-grams-{level}")
+        table = materialize(_level(_counted_grams(docs, level, shared, buckets, min_count), often, level, min_divergence, min_gain), f"lm-grams-{level}")
         shared.destroy()
         scratch.append(table)
         kept = table.where("kept")
@@ -337,7 +341,7 @@ def train(docs: DataFrame, depth: int = 2) -> tuple[SuffixTree, DataFrame]:
     discard(*scratch)
     rest = None
     for level, whole in enumerate(levels):
-        top, least = _frequent(whole)
+        top, other = _frequent(whole)
         top = top.toArrow()
         order = np.argsort(top["key"].to_numpy())
         keys, n, gains, escapes = (top[c].to_numpy()[order] for c in ("key", "n", "gain", "escape"))
@@ -347,7 +351,6 @@ def train(docs: DataFrame, depth: int = 2) -> tuple[SuffixTree, DataFrame]:
         else:
             tree.levels.append({"keys": keys, "gains": gains, "escapes": escapes, "kept": gains != 0})
             tree.held |= bitmap(whole)
-        other = whole.where(F.col("n") < least)
         rest = other if rest is None else rest.union(other)
     return tree, rest
 
@@ -451,10 +454,17 @@ def score(docs: DataFrame, tree: SuffixTree, rest: DataFrame) -> DataFrame:
     return total.drop("row")
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = 2) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; ``depth`` up to 3."""
+def score_documents(
+    docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = 2, min_count: int = 2, min_divergence: float = 0.02, min_gain: float = 12.0
+) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; ``depth`` from 1 to 3.
+
+    A context stays if its divergence (nats a token) and the log-likelihood it gains (nats) reach ``min_divergence`` and ``min_gain``.
+    """
+    if not 1 <= depth < len(TURNS):
+        raise ValueError(f"depth must be from 1 to {len(TURNS) - 1}")
     docs = documents_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     out = F.coalesce(mod_of_id(F.col("doc_id"), folds) == held_out, F.lit(False))
-    tree, rest = train(docs.where(~out), depth)
+    tree, rest = train(docs.where(~out), depth, min_count, min_divergence, min_gain)
     scored = score(docs, tree, rest)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,8 +1,8 @@
 """Toxicity scores from gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 Features of a text: densities of a fixed lexicon and of words and word stems learned from the labels, their nearness to the
-second person, capitals, punctuation and obfuscated spellings. Labels are learned from at most about ``MAX_ROWS`` labelled
-rows, chosen by a hash of their id. Another hash deals them into tenths: 0-3 teach the lexicon, 4-7 the trees, 8-9 the
+second person, capitals, punctuation and obfuscated spellings. Labels are learned from at most about ``max_rows`` labelled
+rows, chosen by a hash of their id, and at most ``max_lexicon`` words and stems, the strongest, are learned from those. Another hash deals them into tenths: 0-3 teach the lexicon, 4-7 the trees, 8-9 the
 calibration, so that no row is judged by words it brought itself.
 
 Cases: null and empty texts have all densities 0 and get a score like others; labels with null ``toxic`` or ``doc_id`` are
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 
 from netquill.llm.common import documents_of, materialize, mod_of_id, text_chunks
 
-MAX_ROWS = 20_000
-MAX_LEXICON = 2_000
 STEMS = (4, 5, 6)  # letters of the word beginnings that are learned besides whole words
 #: Common insults of four languages.
 INSULTS = frozenset(
@@ -57,8 +55,8 @@ def _tokens(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
-def learn_lexicon(sample: DataFrame, min_docs: int = 5, min_odds: float = 3.0) -> dict[str, float]:
-    """Words and beginnings that mark toxic texts, with their log odds: the ``MAX_LEXICON`` strongest of all that pass."""
+def learn_lexicon(sample: DataFrame, min_docs: int = 5, min_odds: float = 3.0, max_lexicon: int = 2_000) -> dict[str, float]:
+    """Words and beginnings that mark toxic texts, with their log odds: the ``max_lexicon`` strongest of all that pass."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -75,7 +73,7 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 5, min_odds: float = 3.0) -
     counts = counts.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= min_docs)
     share = lambda c, n: F.log((F.col(c) + 0.5) / (n + 1.0))
     odds = (share("toxic", classes.get(1, 0)) - share("clean", classes.get(0, 0))).alias("odds")
-    top = counts.select("token", odds, "toxic").where(F.col("odds") >= min_odds).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "token").limit(MAX_LEXICON)
+    top = counts.select("token", odds, "toxic").where(F.col("odds") >= min_odds).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "token").limit(max_lexicon)
     return {r["token"]: r["odds"] for r in top.collect()}
 
 
@@ -128,27 +126,27 @@ def features(docs: DataFrame, lexicon: dict[str, float], keep: tuple[str, ...] =
     return given.mapInArrow(run, ", ".join([*kinds, *(f"{c} double" for c in FEATURES)]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
-    """``text, toxic, part`` of about ``MAX_ROWS`` labelled rows outside the held-out fold; ``part`` from 0 to 9."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max_rows: int = 20_000) -> DataFrame:
+    """``text, toxic, part`` of about ``max_rows`` labelled rows outside the held-out fold; ``part`` from 0 to 9."""
     rows = labels.where("doc_id is not null and toxic in (0, 1)").where(mod_of_id(labels["doc_id"], folds) != held_out)
     rows = rows.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    share = MAX_ROWS / max(rows.count(), 1)
+    share = max_rows / max(rows.count(), 1)
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "label_id"), F.lit(1 << 30)) < share * (1 << 30))
     part = F.pmod(F.xxhash64(F.lit("part"), "label_id"), F.lit(10)).alias("part")
-    # the sample is bounded by MAX_ROWS, a few hundred kilobytes of ids
+    # the sample is bounded by max_rows, a few hundred kilobytes of ids
     return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["label_id"]).select("text", "toxic", part)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document."""
+def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = 20_000, max_lexicon: int = 2_000) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document; about ``max_rows`` labels and ``max_lexicon`` words are learned from."""
     docs = documents_of(docs, "doc_id", "text")
-    sample = materialize(labelled_sample(docs, documents_of(labels, "doc_id", "toxic"), folds, held_out), "toxicity-sample")
+    sample = materialize(labelled_sample(docs, documents_of(labels, "doc_id", "toxic"), folds, held_out, max_rows), "toxicity-sample")
     classes = [r["toxic"] for r in sample.select("toxic").distinct().collect()]
     out = F.coalesce(mod_of_id(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out")
     if len(classes) < 2:
         constant = float(classes[0]) if classes else 0.0
         return docs.select("doc_id", out, F.lit(constant).alias("score"), F.lit(int(constant >= 0.5)).alias("predicted"))
-    lexicon = learn_lexicon(sample.where("part < 4"))
+    lexicon = learn_lexicon(sample.where("part < 4"), max_lexicon=max_lexicon)
     made = materialize(features(sample.where("part >= 4"), lexicon, ("toxic", "part")), "toxicity-features")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     vectors = assembler.transform(made).select("features", F.col("toxic").cast("double").alias("label"), "part")

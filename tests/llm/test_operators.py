@@ -271,21 +271,48 @@ def test_frequent_lines_go_by_broadcast(spark, monkeypatch):
     test_line_dedup(spark, 3, 2)
 
 
-def test_line_runs_stay_for_later_batches(spark):
-    line = "this line is shared by many documents"
+def test_line_runs_stay_for_later_batches(spark, tmp_path):
+    line, at = "this line is shared by many documents", str(tmp_path / "runs")
     old = [(i, f"{line}\nand another one of document {i}") for i in range(50, 53)]
     new = [(i, f"{line}\nand a third kind in document {i}") for i in range(100, 102)]
-    spark.sql("DROP DATABASE IF EXISTS runs_of_lines CASCADE")
-    first = line_dedup.dedup_lines(docs(spark, old), database="runs_of_lines").collect()
+    first = line_dedup.dedup_lines(docs(spark, old), directory=at).collect()
     assert {r["doc_id"]: r["n_dropped"] for r in first} == {50: 1, 51: 1, 52: 0}
-    later = line_dedup.dedup_lines(docs(spark, new), database="runs_of_lines").collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run_")]  # nothing but the folder is left to find them
+    (tmp_path / "runs" / "run_0_left").mkdir()  # of a call that was lost half-way
+    later = line_dedup.dedup_lines(docs(spark, new), directory=at).collect()
     assert {r["doc_id"]: r["n_dropped"] for r in later} == {100: 1, 101: 1}  # the keeper is of the first batch, though its id is smaller
-    spark.sql("DROP DATABASE runs_of_lines CASCADE")
-
-
-def test_runs_are_merged_without_exchange_or_sort(spark):
+    runs = line_dedup.LineRuns(spark, at)
+    assert runs.runs()[0].agg(F.max("n_docs")).first()[0] == 5 and len(list((tmp_path / "runs" / "manifest").iterdir())) == 1
+    runs.close()
+
+
+def test_a_lost_call_leaves_the_runs_as_they_were(spark, tmp_path):
+    at = str(tmp_path / "runs")
+    text = "\n".join(f"a long line of text, number {i}" for i in range(30))
+    line_dedup.dedup_lines(docs(spark, [(i, text) for i in range(4)]), directory=at).collect()
+    lost = line_dedup.LineRuns(spark, at)
+    lost.add(line_dedup.line_keys(docs(spark, [(i, text) for i in range(10, 14)])))
+    lost.compacted()  # merged, but never committed
+    lost.close()
+    later = line_dedup.dedup_lines(docs(spark, [(i, text) for i in range(20, 22)]), directory=at).collect()
+    assert {r["n_dropped"] for r in later} == {30}
+    runs = line_dedup.LineRuns(spark, at)
+    assert {r["n_docs"] for r in runs.runs()[0].collect()} == {6}
+    runs.close()
+
+
+def test_a_small_later_batch_broadcasts_its_own_heavy_keys_alone(spark, tmp_path, monkeypatch):
+    at, sides = str(tmp_path / "runs"), []
+    line_dedup.dedup_lines(docs(spark, [(i, "\n".join(f"a long line of text, number {j}" for j in range(600))) for i in range(3)]), directory=at).collect()
+    given = F.broadcast
+    monkeypatch.setattr(line_dedup.F, "broadcast", lambda df: (sides.append(df.count()), given(df))[1])
+    got = line_dedup.dedup_lines(docs(spark, [(9, "a long line of text, number 7\na line that no other has, whatever")]), directory=at).collect()
+    assert got[0]["n_dropped"] == 1 and max(sides) <= 2
+
+
+def test_runs_are_merged_without_exchange_or_sort(spark, tmp_path):
     keys = line_dedup.line_keys(docs(spark, [(i, f"a long line of document number {i}\nand a line that is shared") for i in range(300)])).persist()
-    runs = line_dedup.LineRuns(spark, "runs_to_merge", 3)
+    runs = line_dedup.LineRuns(spark, str(tmp_path / "runs"), 3)
     runs.add(keys.where("doc_id >= 200"))
     runs.add(keys.where("doc_id between 100 and 199"))
     with line_dedup._ordered_buckets(spark):
@@ -297,6 +324,20 @@ def test_runs_are_merged_without_exchange_or_sort(spark):
     runs.drop()
 
 
+def test_the_commonest_rows_are_bounded(spark):
+    same = spark.range(5000).select(F.col("id").alias("key"), F.lit(7).cast("long").alias("n"))
+    for table in (same, same.withColumn("n", F.col("key") * 10), same.withColumn("n", F.lit(10**7).cast("long"))):
+        common, other = suffix_tree_lm._frequent(table, 1000)
+        assert 500 < common.count() <= 1000 and common.count() + other.count() == 5000
+        assert common.agg(F.min("n")).first()[0] >= 0.98 * other.agg(F.max("n")).first()[0]
+    assert suffix_tree_lm._frequent(same, 5000)[0].count() == 5000
+
+
+def test_depth_is_checked(spark):
+    with pytest.raises(ValueError):
+        suffix_tree_lm.score_documents(docs(spark, [(1, "a")]), depth=4)
+
+
 # ---- op9 -------------------------------------------------------------------------------------------------------------------
 def groups_by_hand(rows):
     sets = {}
