@@ -138,3 +138,11 @@ def segment_hash(*columns: Column) -> Column:
 
 def service_key(proto: Column, port: Column) -> Column:
     return F.concat_ws("/", F.lower(proto), port.cast("string"))
+
+
+RUN = "run_id"
+
+
+def by_run(df, *keys) -> list:
+    """Keys of a window, fold or state: where rows have a ``run_id``, each run is a world of its own."""
+    return [RUN, *keys] if RUN in df.columns and RUN not in keys else list(keys)

@@ -17,11 +17,13 @@ DEFAULT_LOGINS = (
 COMPILERS = ("gcc", "g++", "cc", "c++", "cpp", "clang", "clang++", "as", "ld", "cc1", "cc1plus")
 COMPILER_ENDINGS = ("-gcc", "-g++")
 COMPILER_BEGINNINGS = ("gcc-", "g++-", "clang-")
-DEPLOY = r"(?i)^(/manager/html/upload.*|/manager/text/deploy.*|/manager/html/deploy.*|/manager/deploy|/script|/scripttext)$"
+DEPLOY_BEGINNINGS = ("/manager/html/upload", "/manager/text/deploy", "/manager/html/deploy")
+DEPLOY_PATHS = ("/manager/deploy", "/script", "/scripttext")
 MAIL_PORTS = (25, 587, 2525)
 
 
-def _ends(packets: DataFrame) -> DataFrame:
+def direction_free(packets: DataFrame) -> DataFrame:
+    """Packets with their endpoints in an order of their own, and whether they go from the first to the second; no DNS replies."""
     end = lambda a, p: F.struct(F.col(a).alias("ip"), F.coalesce(F.col(p), F.lit(0)).alias("port"))
     rows = packets.where(F.coalesce("dns_qr", F.lit(0)) == 0) if "dns_qr" in packets.columns else packets
     a, b = end("src", "sport"), end("dst", "dport")
@@ -38,9 +40,14 @@ def _flows(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.when(F.col("forward"), size).otherwise(0)).alias("ab_bytes"), F.sum(F.when(~F.col("forward"), size).otherwise(0)).alias("ba_bytes"),
         F.count_if(F.col("forward")).alias("ab_pkts"), F.count_if(~F.col("forward")).alias("ba_pkts"),
     )
+    return oriented(made, [k for k in keys if k not in ("a", "b")])
+
+
+def oriented(made: DataFrame, keep: list[str]) -> DataFrame:
+    """Flows between ``a`` and ``b`` seen from their originator."""
     side = lambda x, y: F.when(F.col("a_starts"), F.col(x)).otherwise(F.col(y))
     out = made.select(
-        *[k for k in keys if k not in ("a", "b")], "ts", "last_ts", (F.col("last_ts") - F.col("ts")).alias("duration_s"),
+        *keep, "ts", "last_ts", (F.col("last_ts") - F.col("ts")).alias("duration_s"),
         side("a.ip", "b.ip").alias("src_ip"), side("a.port", "b.port").alias("src_port"), side("b.ip", "a.ip").alias("dst_ip"), side("b.port", "a.port").alias("dst_port"),
         side("ab_bytes", "ba_bytes").alias("orig_bytes"), side("ba_bytes", "ab_bytes").alias("resp_bytes"),
         side("ab_pkts", "ba_pkts").alias("orig_pkts"), side("ba_pkts", "ab_pkts").alias("resp_pkts"),
@@ -51,13 +58,13 @@ def _flows(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def assemble_flows(packets: DataFrame) -> DataFrame:
     """One flow for each capture, pair of endpoints and protocol; DNS replies aren't folded in."""
-    return _flows(_ends(packets), ["capture_id", "proto", "a", "b"])
+    return _flows(direction_free(packets), ["capture_id", "proto", "a", "b"])
 
 
 def _sessions(packets: DataFrame, idle: float) -> DataFrame:
     keys = ["capture_id", "proto", "a", "b"]
     w = Window.partitionBy(*keys).orderBy("ts", "id")
-    rows = _ends(packets)
+    rows = direction_free(packets)
     fresh = F.coalesce((F.col("ts") - F.lag("ts").over(w) > idle).cast("int"), F.lit(0))
     return rows.withColumn("_new", fresh).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
@@ -70,7 +77,7 @@ def assemble_live(packets: DataFrame, idle: float = 60, hard: float = 300) -> Da
 
 def flow_snapshots(packets: DataFrame, every: float = 2) -> DataFrame:
     """The totals so far of each flow at the end of every tick in which it changed."""
-    rows = _ends(packets).withColumn("tick", bucket(F.col("ts"), every))
+    rows = direction_free(packets).withColumn("tick", bucket(F.col("ts"), every))
     size = F.coalesce("wire_len", F.lit(0)).cast("bigint")
     keys = ["capture_id", "proto", "a", "b"]
     ticks = rows.groupBy(*keys, "tick").agg(F.sum(size).alias("b_"), F.count("*").alias("p_"), F.min("ts").alias("t_"))
@@ -132,7 +139,11 @@ def app_events(packets: DataFrame) -> DataFrame:
     padded = F.concat(login, F.repeat(F.lit("="), F.pmod(-F.length(login), F.lit(4))))
     pair = F.when(login != "", F.try_to_binary(padded, F.lit("base64")).cast("string"))
     default = F.coalesce(pair.isin(*DEFAULT_LOGINS), F.lit(False))
-    deploy = F.col("text").rlike("^(POST|PUT) ") & F.substring_index(path, "?", 1).rlike(DEPLOY)
+    target = F.lower(F.substring_index(path, "?", 1))
+    takes_code = target.isin(*DEPLOY_PATHS)
+    for beginning in DEPLOY_BEGINNINGS:
+        takes_code |= target.startswith(beginning)
+    deploy = F.col("text").rlike("^(POST|PUT) ") & takes_code
     arguments = F.when(F.col("text").startswith("DIST"), _job_arguments(F.col("text")))
     job = F.lower(F.substring_index(arguments[0], "/", -1))
     compiler = job.isin(*COMPILERS)

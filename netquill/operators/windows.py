@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquill.functions.net import bucket, is_multicast, jitter_pct
+from netquill.functions.net import bucket, by_run, is_multicast, jitter_pct
 from netquill.operators.predicates import is_probe
 from netquill.operators.stateless import is_exfil, is_slow
 
@@ -37,7 +37,7 @@ def flood_sources(conn: DataFrame, window: float = 10, threshold: int = 200, min
 
     Slow flows (``skip``) aren't counted."""
     rows = conn.where(~(is_slow() if skip is None else skip)).withColumn("bucket", bucket(F.col("ts"), window))
-    keys = ["src_ip", "bucket"]
+    keys = by_run(rows, "src_ip", "bucket")
     rows = running_distinct(rows, keys, "dst_ip", "n_dst").withColumn("n_flows", F.count("*").over(_running(*keys)))
     hits = _first_per(rows.where((F.col("n_flows") >= threshold) & (F.col("n_flows") / F.col("n_dst") >= min_ratio)), keys)
     return hits.withColumns({"severity": F.lit("HIGH"), "confidence": F.least(F.lit(99.0), 60 + 0.5 * (F.col("n_flows") - threshold))})
@@ -46,7 +46,7 @@ def flood_sources(conn: DataFrame, window: float = 10, threshold: int = 200, min
 def spoofed_flood(conn: DataFrame, window: float = 10, min_packets: int = 150, ratio: float = 0.85, skip: Column | None = None) -> DataFrame:
     """The first flow to a unicast destination and bucket at which enough flows come from nearly as many sources."""
     rows = conn.where(~(is_slow() if skip is None else skip) & ~is_multicast(F.col("dst_ip"))).withColumn("bucket", bucket(F.col("ts"), window))
-    keys = ["dst_ip", "bucket"]
+    keys = by_run(rows, "dst_ip", "bucket")
     rows = running_distinct(rows, keys, "src_ip", "n_src").withColumn("n_flows", F.count("*").over(_running(*keys)))
     hits = _first_per(rows.where((F.col("n_flows") >= min_packets) & (F.col("n_src") / F.col("n_flows") >= ratio)), keys)
     return hits.withColumns({"severity": F.lit("CRITICAL"), "confidence": F.lit(92.0)})
@@ -55,7 +55,7 @@ def spoofed_flood(conn: DataFrame, window: float = 10, min_packets: int = 150, r
 def flood_sketch(conn: DataFrame, window: float = 10) -> DataFrame:
     """Approximate totals of each source and bucket: flows, and destinations by a HyperLogLog sketch."""
     rows = conn.withColumn("bucket", bucket(F.col("ts"), window))
-    return rows.groupBy("src_ip", "bucket").agg(F.count("*").alias("n_flows"), F.hll_sketch_estimate(F.hll_sketch_agg("dst_ip")).alias("n_dst"))
+    return rows.groupBy(*by_run(rows, "src_ip", "bucket")).agg(F.count("*").alias("n_flows"), F.hll_sketch_estimate(F.hll_sketch_agg("dst_ip")).alias("n_dst"))
 
 
 def beacons(conn: DataFrame, max_ts: int = 50, min_samples: int = 8, cv: float = 0.55, lo: float = 2, hi: float = 3600, cluster: float = 0.75) -> DataFrame:
@@ -65,10 +65,10 @@ def beacons(conn: DataFrame, max_ts: int = 50, min_samples: int = 8, cv: float =
     collected frame only for rows that pass everything else.
     """
     rows = conn.where(~is_multicast(F.col("src_ip")) & ~is_multicast(F.col("dst_ip")))
-    pair = Window.partitionBy("src_ip", "dst_ip").orderBy("ts", "rid")
+    pair = Window.partitionBy(*by_run(rows, "src_ip", "dst_ip")).orderBy("ts", "rid")
     gap = F.col("ts") - F.lag("ts").over(pair)
     rows = rows.withColumn("_gap", gap).withColumn("_era", F.sum((F.coalesce("_gap", F.lit(0.0)) > hi).cast("int")).over(pair.rowsBetween(Window.unboundedPreceding, 0)))
-    era = Window.partitionBy("src_ip", "dst_ip", "_era").orderBy("ts", "rid")
+    era = Window.partitionBy(*by_run(rows, "src_ip", "dst_ip", "_era")).orderBy("ts", "rid")
     rows = rows.withColumn("gap", F.when((F.lag("ts").over(era)).isNotNull() & (F.col("_gap") > 0), F.col("_gap")))
     frame = era.rowsBetween(-(max_ts - 2), 0)
     rows = rows.withColumns({
@@ -86,13 +86,13 @@ def beacons(conn: DataFrame, max_ts: int = 50, min_samples: int = 8, cv: float =
 def recon_windows(conn: DataFrame, window: float = 300, fanout: int = 25, probes: Column | None = None) -> DataFrame:
     """Sources and tumbling windows with many distinct probed targets."""
     rows = conn.where(is_probe() if probes is None else probes).withColumn("bucket", bucket(F.col("ts"), window))
-    return rows.groupBy("src_ip", "bucket").agg(F.countDistinct("dst_ip", "dst_port").alias("targets"), F.min("ts").alias("ts")).where(F.col("targets") >= fanout)
+    return rows.groupBy(*by_run(rows, "src_ip", "bucket")).agg(F.countDistinct("dst_ip", "dst_port").alias("targets"), F.min("ts").alias("ts")).where(F.col("targets") >= fanout)
 
 
 def exfil_accumulated(conn: DataFrame, window: float = 300, min_bytes: int = 1_000_000, min_flows: int = 20, ratio: float = 10) -> DataFrame:
     """Flows at which what a pair sent in its bucket so far adds up; flows that alone are exfiltration don't count."""
     rows = conn.where(~is_exfil()).withColumn("bucket", bucket(F.col("ts"), window))
-    so_far = _running("src_ip", "dst_ip", "bucket")
+    so_far = _running(*by_run(rows, "src_ip", "dst_ip", "bucket"))
     rows = rows.withColumns({
         "sent": F.sum(F.col("orig_bytes").cast("bigint")).over(so_far), "received": F.sum(F.col("resp_bytes").cast("bigint")).over(so_far), "n_flows": F.count("*").over(so_far),
     })
@@ -103,23 +103,23 @@ def exfil_accumulated(conn: DataFrame, window: float = 300, min_bytes: int = 1_0
 def brute_force(conn: DataFrame, ports=AUTH_PORTS, window: float = 60, attempts: int = 10) -> DataFrame:
     """The attempt that reaches the limit of its source, destination, login port and bucket."""
     rows = conn.where(F.col("dst_port").isin(*ports)).withColumn("bucket", bucket(F.col("ts"), window))
-    n = F.row_number().over(Window.partitionBy("src_ip", "dst_ip", "dst_port", "bucket").orderBy("ts", "rid"))
+    n = F.row_number().over(Window.partitionBy(*by_run(rows, "src_ip", "dst_ip", "dst_port", "bucket")).orderBy("ts", "rid"))
     return rows.withColumn("attempt", n).where(F.col("attempt") == attempts).withColumns({"severity": F.lit("MEDIUM"), "confidence": F.lit(70.0)})
 
 
 def register_sweep(modbus: DataFrame, n: int = 50) -> DataFrame:
     """Adds the distinct registers among the last ``n`` requests of a source."""
-    last = Window.partitionBy("src_ip").orderBy("ts", "rid").rowsBetween(-(n - 1), 0)
+    last = Window.partitionBy(*by_run(modbus, "src_ip")).orderBy("ts", "rid").rowsBetween(-(n - 1), 0)
     return modbus.withColumn("register_sweep_count", F.size(F.collect_set("register_address").over(last)))
 
 
 def fanout_features(conn: DataFrame, window: float = 60) -> DataFrame:
     """Adds to each flow its source's distinct ports, distinct hosts and flows in the bucket."""
     rows = conn.withColumn("bucket", bucket(F.col("ts"), window))
-    made = rows.groupBy("src_ip", "bucket").agg(
+    made = rows.groupBy(*by_run(rows, "src_ip", "bucket")).agg(
         F.countDistinct("dst_port").alias("distinct_ports"), F.countDistinct("dst_ip").alias("distinct_hosts"), F.count("*").alias("flow_count")
     )
-    return rows.join(made, ["src_ip", "bucket"])
+    return rows.join(made, by_run(rows, "src_ip", "bucket"))
 
 
 # ---- application services -------------------------------------------------------------------------------------------------
@@ -139,7 +139,7 @@ def smtp_enumeration(app: DataFrame, window: float = 300, vrfy: int = 3, rcpt: i
     """Client commands at which a pair of addresses has probed enough accounts, or enough recipients with refusals."""
     kind = F.col("app_function")
     rows = app.where(kind.isin("smtp_vrfy", "smtp_expn", "smtp_rcpt", "smtp_reject")).withColumn("pair", F.array_sort(F.array("src_ip", "dst_ip")))
-    w = _trailing(window, "pair")
+    w = _trailing(window, *by_run(rows, "pair"))
     rows = rows.withColumns({
         "n_vrfy": F.size(F.collect_set(F.when(kind.isin("smtp_vrfy", "smtp_expn"), F.col("app_detail"))).over(w)),
         "n_rcpt": F.size(F.collect_set(F.when(kind == "smtp_rcpt", F.col("app_detail"))).over(w)),
@@ -158,7 +158,7 @@ def http_guessing(app: DataFrame, window: float = 60, least: int = 5) -> DataFra
     """Login events at which a client has as many attempts and refusals at a server's port."""
     kind = F.col("app_function")
     rows = app.where(kind.isin("http_basic", "http_401"))
-    w = _trailing(window, "src_ip", "dst_ip", "dst_port")
+    w = _trailing(window, *by_run(rows, "src_ip", "dst_ip", "dst_port"))
     rows = rows.withColumns({"n_basic": F.count(F.when(kind == "http_basic", 1)).over(w), "n_401": F.count(F.when(kind == "http_401", 1)).over(w)})
     return rows.where((F.col("n_basic") >= least) & (F.col("n_401") >= least)).withColumns({"severity": F.lit("HIGH"), "confidence": F.lit(85.0)})
 
@@ -170,7 +170,7 @@ def web_deployments(app: DataFrame, window: float = 300, refusal: float = 60) ->
     """
     kind, ts = F.col("app_function"), F.col("ts")
     rows = app.where(kind.isin("http_basic", "http_401", "http_admin_deploy"))
-    keys = ("src_ip", "dst_ip", "dst_port")
+    keys = by_run(rows, "src_ip", "dst_ip", "dst_port")
     before = Window.partitionBy(*keys).orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({
         "_default": F.max(F.when((kind == "http_basic") & (F.col("app_code") == 1), ts)).over(before),

@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquill.functions.net import epoch
+from netquill.sources.scratch import scratch  # noqa: F401  the queries' own tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the cluster's shared folder; a local one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base}/{tag}-{uuid.uuid4().hex}"
+def conn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_flows(table(spark, sf_dir, "events"))
 
 
-def conn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_flows(events: DataFrame) -> DataFrame:
     """Events as flows: user to event type; the port is k modulo 10."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("rid"), F.col("event_id").cast("string").alias("flow_uid"), epoch(F.col("ts")).alias("ts"), F.concat(F.lit("u"), "user_id").alias("src_ip"),
         (F.col("event_id") % 50000).cast("int").alias("src_port"), F.col("event_type").alias("dst_ip"), (k % 10).alias("dst_port"), F.lit("TCP").alias("proto"),
         F.floor(F.col("value") * 1000).cast("bigint").alias("orig_bytes"), k.cast("bigint").alias("resp_bytes"), (k * 10.0).alias("duration_s"),
@@ -46,13 +42,17 @@ SWAPPED = CONN + ", swapped AS (SELECT * EXCLUDE (src_ip, dst_ip), dst_ip AS src
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_packets(table(spark, sf_dir, "events"))
+
+
+def as_packets(events: DataFrame) -> DataFrame:
     """Events as packets between hosts and servers, odd ones sent by the server."""
     k, odd = F.get_json_object("props", "$.k").cast("int"), F.col("event_id") % 2 == 1
     host, server = F.concat(F.lit("h"), "user_id"), F.concat(F.lit("s"), (k % 7).cast("string"))
     high, low = 40000 + k, F.element_at(F.array(*map(F.lit, (443, 53, 80, 22, 9999))), k % 5 + 1)
     flip = lambda a, b: F.when(odd, b).otherwise(a)
     kind = F.when(F.col("event_type").isin("view", "click"), "TCP").when(F.col("event_type") == "purchase", "UDP").otherwise("ICMP")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("capture_id"), F.col("event_id").alias("id"), epoch(F.col("ts")).alias("ts"),
         F.floor(F.col("value") * 10).cast("int").alias("wire_len"), flip(host, server).alias("src"), flip(server, host).alias("dst"), kind.alias("proto"),
         flip(high, low).cast("int").alias("sport"), flip(low, high).cast("int").alias("dport"), F.lit(None).cast("int").alias("tcp_flags"),

@@ -443,14 +443,14 @@ def _(spark, d):
 @query("m5_train_flow_model")
 def _(spark, d):
     rows = conn(spark, d).withColumn("label", (F.col("value") > 60).cast("int"))
-    model = models.train_family(rows, "flow", trees=5, depth=3)
+    model = models.train_family(rows, "flow")
     return models.score_rows(rows.select("rid", "duration_s", "orig_bytes", "resp_bytes", "proto"), model).select("rid", F.round("threat_score", 6).alias("threat_score"))
 
 
 @query("m6_isolation_forest")
 def _(spark, d):
     rows = conn(spark, d)
-    forest = models.isolation_forest(rows, ["orig_bytes", "resp_bytes", "value"], trees=30)
+    forest = models.isolation_forest(rows, ["orig_bytes", "resp_bytes", "value"])
     return forest.score(rows).select("rid", "iforest_score", (F.col("iforest_score") > forest.threshold).alias("outlier"))
 
 
@@ -458,52 +458,3 @@ def _(spark, d):
 def _(spark, d):
     split = models.group_split(models.time_split(conn(spark, d)).drop("part"), "src_ip")
     return split.groupBy("src_ip").agg(F.count("*").alias("n"), F.countDistinct("part").alias("p")).where("p = 1").agg(F.sum("n").alias("rows"), F.count("*").alias("sources"))
-
-
-# ---- streams ---------------------------------------------------------------------------------------------------------------
-def _stream(spark, d, build, mode="append", fold=None):
-    """Run a stream over the events files to its end and give back what it wrote; ``fold(batch, number, path)`` keeps state."""
-    source = table(spark, d, "events")
-    rows = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
-    from netquill.functions.net import epoch
-
-    k = F.get_json_object("props", "$.k").cast("int")
-    flows = rows.select(
-        F.col("event_id").alias("rid"), epoch(F.col("ts")).alias("ts"), F.concat(F.lit("u"), "user_id").alias("src_ip"), F.col("event_type").alias("dst_ip"), (k % 10).alias("dst_port"),
-    )
-    out, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-checkpoint")
-    made, state = build(flows), scratch(spark, "stream-state")
-
-    def sink(batch, number):
-        batch = fold(batch, number, state) if fold else batch
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-
-    run = made.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(out)
-
-
-@query("t8_cooldown_stream", COOLDOWN_SQL)
-def _(spark, d):
-    from netquill.streaming.stateful import cooldown_batch
-
-    return _stream(spark, d, lambda s: s, fold=lambda b, n, path: cooldown_batch(b, n, path, ["src_ip", "dst_ip"], "ts", 3 * DAY)).select("src_ip", "dst_ip", "ts")
-
-
-@query("t2_brute_force_stream", f"""WITH {CONN} SELECT src_ip, dst_ip, dst_port, count(*) AS attempts, min(ts) AS first_ts FROM conn WHERE dst_port IN (1, 3, 5, 7) GROUP BY src_ip, dst_ip, dst_port, floor(ts / 864000) HAVING count(*) >= 3""")
-def _(spark, d):
-    from netquill.streaming.stateful import brute_force_stream
-
-    made = _stream(spark, d, lambda s: brute_force_stream(s, (1, 3, 5, 7), "10 days", 3), "update")
-    last = made.groupBy("src_ip", "dst_ip", "dst_port", "window").agg(F.max_by(F.struct("attempts", "first_ts"), "batch").alias("x"))
-    return last.select("src_ip", "dst_ip", "dst_port", "x.attempts", "x.first_ts")
-
-
-@query("t3_recon_stream")
-def _(spark, d):
-    from netquill.plans.adapters import swapped
-    from netquill.streaming.stateful import recon_batch
-
-    return _stream(spark, d, swapped, fold=lambda b, n, path: recon_batch(b, n, path, DAY, 25, 3, 2 * DAY, probes=F.lit(True))).drop("batch")
-
-

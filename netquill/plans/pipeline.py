@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -17,7 +18,10 @@ from netquill.operators.mapping import build_alert, map_records
 from netquill.operators.models import FamilyModel, IsolationForest, combine_scores, ml_alerts, score_rows
 from netquill.operators.sequential import alert_cooldown, cooldown, discriminator, recon_campaigns
 from netquill.sources.readers import read_logs, stream_logs
-from netquill.sources.sinks import append_alerts, validate_alerts
+from netquill.sources.scratch import delete, scratch, written
+from netquill.sources.sinks import append_alerts, validate_alerts, violations
+from netquill.streaming import keyed
+from netquill.streaming.learning import LiveBaseline
 from netquill.streaming.stateful import cooldown_batch, recon_batch
 
 IMPACT = ("Impact", "T1498", "Network Denial of Service")
@@ -35,7 +39,9 @@ class Config:
     """What a deployment sets: reference tables, learned models, and whether alerts of a pair are thinned.
 
     ``models``: family models by family (dns takes the place of the lexical test); ``forests``: isolation forests by family with
-    their F1; ``baseline``: what ``fit_baseline`` gives.
+    their F1; ``baseline``: what ``fit_baseline`` gives. On streams: ``live_baseline`` learns and then scores; ``keyed_state``
+    runs the detectors that keep state for each key, a query for each; ``every`` is their trigger. ``counts`` gathers, by query,
+    the alerts made, rejected, suppressed by the allowlist and stored.
     """
 
     ja4_intel: DataFrame | None = None
@@ -45,6 +51,10 @@ class Config:
     models: dict[str, FamilyModel] = field(default_factory=dict)
     forests: dict[str, tuple[IsolationForest, float]] = field(default_factory=dict)
     baseline: tuple[DataFrame, DataFrame, DataFrame] | None = None
+    live_baseline: LiveBaseline | None = None
+    keyed_state: bool = True
+    every: str = "5 seconds"
+    counts: dict[str, dict[str, int]] = field(default_factory=dict)
     extra: dict[str, tuple[str, Callable[[DataFrame, Config], DataFrame]]] = field(default_factory=dict)
 
 
@@ -103,6 +113,14 @@ DETECTORS: dict[str, tuple[str, Callable[[DataFrame, Config], DataFrame]]] = {
         "appsvc", lambda f, c: _app(win.web_deployments(_rid(f)), "web_deployments", "NETWORK_INTRUSION_ATTEMPT", ("Execution", "T1505.003", "Server Software Component: Web Shell"), ["app_detail", "preceded"]),
     ),
 }
+#: the same detectors on a stream, with state for each key
+STREAMED: dict[str, tuple[str, Callable[[DataFrame, Config], DataFrame]]] = {
+    "flood": ("conn", _columns("flood", "VOLUMETRIC_DDOS", IMPACT, keyed.flood_stream, ["n_flows", "n_dst"])),
+    "spoofed_flood": ("conn", _columns("spoofed_flood", "VOLUMETRIC_DDOS", IMPACT, keyed.spoofed_flood_stream, ["n_flows", "n_src"])),
+    "beacons": ("conn", _columns("beacons", "C2_BEACONING", C2, keyed.beacons_stream, ["mean_gap", "cv", "samples", "jitter_pct"])),
+    "exfil_accumulated": ("conn", _columns("exfil_accumulated", "DATA_EXFILTRATION", EXFIL, keyed.exfil_accumulated_stream, ["sent", "received", "n_flows"])),
+    "brute_force": ("conn", _columns("brute_force", "NETWORK_INTRUSION_ATTEMPT", GUESS, keyed.brute_force_stream, ["attempt"])),
+}
 #: detectors that judge rows by themselves and so run unchanged on a stream
 STATELESS = ("slowloris", "exfil_single", "dns_tunnels", "dga", "sni_dga", "http", "kerberoasting", *(d for d in DETECTORS if d.startswith("ot_")))
 
@@ -179,13 +197,38 @@ def run_batch(spark: SparkSession, directory: str, table: str, cfg: Config | Non
     log_types = log_types or (*dict.fromkeys(log for log, _ in (DETECTORS | cfg.extra).values()), "eve", "notice")
     flows = {k: read_logs(spark, directory, k) if k in ("eve", "notice") else map_records(read_logs(spark, directory, k), k) for k in log_types}
     kept, _, _ = finish(detect(flows, cfg), cfg)
-    append_alerts(kept, table)
-    return kept
+    return append_alerts(kept, table)
+
+
+#: one writer at a time: the queries of a driver append to one table
+_APPENDING = threading.Lock()
+
+
+def _store(alerts: DataFrame, number: int, name: str, table: str, checkpoint: str, cfg: Config) -> None:
+    """Validate, allow-list, thin and append a micro-batch's alerts, which are computed once; rejected ones go to ``<table>_rejected``."""
+    spark = alerts.sparkSession
+    path = scratch(spark, f"alerts-{name}")
+    made = written(alerts, path)
+    kept, suppressed, rejected = finish(made, replace(cfg, cooldown_s=None))
+    n_made, n_bad = made.agg(F.count("*"), F.count_if(F.size(violations()) > 0)).first()
+    n_suppressed = suppressed.count() if cfg.allowlist is not None else 0
+    if cfg.cooldown_s:
+        keys = {"_src": F.col("flow_identifier.src_ip"), "_dst": F.col("flow_identifier.dst_ip"), "_disc": discriminator()}
+        kept = cooldown_batch(kept.withColumns(keys), number, f"{checkpoint}/{name}-cooldown", ["threat_class", *keys], "timestamp", cfg.cooldown_s).drop(*keys)
+    with _APPENDING:
+        stored = append_alerts(kept, table)
+        if n_bad:
+            rejected.withColumn("batch", F.lit(f"{name}-{number}")).write.mode("append").parquet(f"{table}_rejected")
+    held = cfg.counts.setdefault(name, {"made": 0, "rejected": 0, "suppressed": 0, "stored": 0})
+    for key, n in (("made", n_made), ("rejected", n_bad), ("suppressed", n_suppressed), ("stored", stored.count())):
+        held[key] += n
+    for folder in {f.rsplit("/", 1)[0] for f in stored.inputFiles()} | {path}:
+        delete(spark, folder)
 
 
 def start_pipeline(spark: SparkSession, sources: dict[str, dict], table: str, checkpoint: str, cfg: Config | None = None) -> list:
-    """One streaming query for each log type: stateless detectors, recon campaigns and the cooldown, which keep their state under
-    ``checkpoint``; alerts appended once by id. The README lists the detectors that don't stream."""
+    """A streaming query for each log type, of the stateless detectors, recon campaigns and the cooldown, which keep their state
+    under ``checkpoint``, and one for each detector of ``STREAMED``, by ``transformWithState``; alerts are appended once by id."""
     cfg = cfg or Config()
     queries = []
     for log, source in sources.items():
@@ -196,16 +239,25 @@ def start_pipeline(spark: SparkSession, sources: dict[str, dict], table: str, ch
         flows = rows if log in ("eve", "notice") else map_records(rows, log)
 
         def sink(batch: DataFrame, number: int, log: str = log, names: tuple[str, ...] = names) -> None:
-            alerts = detect({log: batch}, cfg, names)
+            found = [detect({log: batch}, cfg, names)]
             if log == "conn":
-                found = recon_batch(batch, number, f"{checkpoint}/{log}-recon")
+                campaigns = recon_batch(batch, number, f"{checkpoint}/{log}-recon")
                 severity = F.when(F.col("escalation"), "HIGH").otherwise("MEDIUM")
-                alerts = union_alerts(alerts, build_alert(found, "recon", "RECONNAISSANCE", severity, F.col("confidence"), SCAN, ["targets", "escalation"]))
-            kept = finish(alerts, replace(cfg, cooldown_s=None))[0]
-            if cfg.cooldown_s:
-                keyed = kept.withColumns({"_src": F.col("flow_identifier.src_ip"), "_dst": F.col("flow_identifier.dst_ip"), "_disc": discriminator()})
-                kept = cooldown_batch(keyed, number, f"{checkpoint}/{log}-cooldown", ["threat_class", "_src", "_dst", "_disc"], "timestamp", cfg.cooldown_s).drop("_src", "_dst", "_disc")
-            append_alerts(kept, table)
+                found.append(build_alert(campaigns, "recon", "RECONNAISSANCE", severity, F.col("confidence"), SCAN, ["targets", "escalation"]))
+                hits = cfg.live_baseline.hits(_rid(batch), number) if cfg.live_baseline else None
+                if hits is not None:
+                    found.append(build_alert(hits, "baseline", "BEHAVIORAL_ANOMALY", F.col("severity"), F.col("confidence"), SCAN, ["service", "score", "p"], "baseline"))
+            _store(union_alerts(*found), number, log, table, checkpoint, cfg)
 
         queries.append(flows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/{log}").queryName(f"detect_{log}").start())
+        for name, (kind, detector) in STREAMED.items():
+            if kind != log or not cfg.keyed_state:
+                continue
+            keyed.keep_state(spark)
+
+            def store(batch: DataFrame, number: int, name: str = name) -> None:
+                _store(batch, number, name, table, checkpoint, cfg)
+
+            alerts = detector(flows, cfg).writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/{name}")
+            queries.append(alerts.trigger(processingTime=cfg.every).queryName(f"detect_{name}").start())
     return queries

@@ -6,6 +6,7 @@ Time is that of the records. Late rows beyond the watermark are dropped by Spark
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,54 +14,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from netquill.functions.net import is_multicast
+from netquill.functions.net import by_run, is_multicast
 from netquill.operators.predicates import is_probe
 from netquill.operators.sequential import campaign_fold, fold_sorted
 from netquill.operators.windows import AUTH_PORTS
+from netquill.sources.scratch import delete, exists, written
 
 
 def with_event_time(df: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     return df.withColumn("event_time", F.timestamp_micros((F.col(ts) * 1_000_000).cast("bigint"))).withWatermark("event_time", delay)
 
 
-def brute_force_stream(conn: DataFrame, ports=AUTH_PORTS, window: str = "60 seconds", attempts: int = 10, delay: str = "120 seconds") -> DataFrame:
+def attempt_windows(conn: DataFrame, ports=AUTH_PORTS, window: str = "60 seconds", attempts: int = 10, delay: str = "120 seconds") -> DataFrame:
     """Sources, destinations, ports and windows that have reached the limit of attempts; in update mode at the crossing."""
     rows = with_event_time(conn.where(F.col("dst_port").isin(*ports)), delay)
     made = rows.groupBy("src_ip", "dst_ip", "dst_port", F.window("event_time", window)).agg(F.count("*").alias("attempts"), F.min("ts").alias("first_ts"), F.max("ts").alias("ts"))
     return made.where(F.col("attempts") >= attempts)
 
 
-def flood_stream(conn: DataFrame, window: str = "10 seconds", threshold: int = 200, min_ratio: float = 15, delay: str = "20 seconds") -> DataFrame:
-    """Sources and windows with many flows to few destinations (by a sketch: exact distinct counts aren't kept in stream state)."""
-    rows = with_event_time(conn, delay)
-    made = rows.groupBy("src_ip", F.window("event_time", window)).agg(F.count("*").alias("n_flows"), F.approx_count_distinct("dst_ip").alias("n_dst"), F.max("ts").alias("ts"))
-    return made.where((F.col("n_flows") >= threshold) & (F.col("n_flows") / F.col("n_dst") >= min_ratio))
-
-
-def flow_sessions(packets: DataFrame, idle: str = "60 seconds", delay: str = "120 seconds") -> DataFrame:
-    """Flows that end after a pause, as session windows over the direction-free endpoints."""
-    a, b = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port")), F.struct(F.col("dst").alias("ip"), F.col("dport").alias("port"))
-    rows = with_event_time(packets, delay).withColumns({"a": F.least(a, b), "b": F.greatest(a, b)})
-    return rows.groupBy("proto", "a", "b", F.session_window("event_time", idle)).agg(
-        F.min("ts").alias("ts"), F.max("ts").alias("last_ts"), F.count("*").alias("pkts"), F.sum(F.coalesce("wire_len", F.lit(0)).cast("bigint")).alias("bytes")
-    )
-
-
 def fold_batch(batch: DataFrame, number: int, path: str, keys: list[str], order: list[str], start, step, out: str, expiry: float, delay: float = 60) -> DataFrame:
     """What ``fold_sorted`` gives for a micro-batch whose keys go on from the state that the last one left under ``path``.
 
     ``order`` begins with the time; ``step`` gives rows of ``out``, its columns beside the keys. A key's state is a first row and
-    leaves by a last one, so that a task needs the state of one key at a time. States older than ``expiry`` and ``delay`` go, and
-    so do rows later than ``delay``. A batch that runs again reads the same state and writes its own anew.
+    leaves by a last one, so that a task needs the state of one key at a time. States older than ``expiry`` and ``delay`` go. No
+    row goes for being late: it is judged against the state its key has, or a new one. A batch that runs again reads the same
+    state and writes its own anew; a state that isn't there, as in a checkpoint made before the operator was turned on, is an
+    empty one. The states before the last are deleted.
     """
     spark = batch.sparkSession
-    ts, kinds = order[0], dict(batch.dtypes)
+    kinds = dict(batch.dtypes)
     rows = batch.select(*keys, *order)
     before = None
-    if number:
+    if number and exists(spark, f"{path}/{number - 1}"):
         before = spark.read.parquet(f"{path}/{number - 1}").where("_state is not null")
-        newest = before.agg(F.max("_newest")).first()[0]
-        rows = rows if newest is None else rows.where(F.col(ts) >= newest - delay)
+    elif number:
+        logging.getLogger(__name__).warning("no state of batch %d under %s: an empty one is taken", number - 1, path)
     blank = [F.lit(None).cast(kinds[c]).alias(c) for c in order]
     text = F.lit(None).cast("string")
     all_keys = rows.select(*keys)
@@ -88,23 +76,25 @@ def fold_batch(batch: DataFrame, number: int, path: str, keys: list[str], order:
         return None
 
     made = fold_sorted(parts, keys, ["_flag", *order, "_old"], begin, walk, f"{out}, _state string, _newest double")
-    made.write.mode("overwrite").parquet(f"{path}/{number}-all")
-    made = spark.read.schema(made.schema).parquet(f"{path}/{number}-all")
+    made = written(made, f"{path}/{number}-all")
     ends = made.where("_state is not null")
     last = ends.agg(F.max("_newest").alias("_last"))  # one row
     ends.crossJoin(F.broadcast(last)).where(F.col("_newest") >= F.col("_last") - expiry - delay).drop("_last").write.mode("overwrite").parquet(f"{path}/{number}")
+    for old in (f"{path}/{number - 2}", f"{path}/{number - 1}-all"):
+        delete(spark, old)
     return made.where("_state is null").drop("_state", "_newest")
 
 
 def cooldown_batch(batch: DataFrame, number: int, path: str, keys: list[str], ts: str, seconds: float, delay: float = 60) -> DataFrame:
-    """Rows of a micro-batch that come ``seconds`` or more after the last row kept of their key."""
+    """Rows of a micro-batch that lie ``seconds`` or more from the last row kept of their key, after it or, if they are late, before."""
 
     def step(state: list, row: tuple) -> tuple | None:
-        if state and row[0] - state[0] < seconds:
+        if state and abs(row[0] - state[0]) < seconds:
             return None
-        state[:] = [row[0]]
+        state[:] = [max(row[0], *state)] if state else [row[0]]
         return (row[0],)
 
+    keys = by_run(batch, *keys)
     times = batch.select(*keys, F.col(ts).cast("double").alias("_ts")).distinct()
     kept = fold_batch(times, number, path, keys, ["_ts"], list, step, "_kept double", seconds, delay)
     joined = batch.join(kept, [batch[k].eqNullSafe(kept[k]) for k in keys] + [batch[ts].cast("double") == kept["_kept"]], "left_semi")
@@ -115,9 +105,10 @@ def cooldown_batch(batch: DataFrame, number: int, path: str, keys: list[str], ts
 def recon_batch(batch: DataFrame, number: int, path: str, window: float = 300, fanout: int = 25, factor: int = 10, silence: float = 300, delay: float = 60, probes=None) -> DataFrame:
     """The fan-out campaigns of ``recon_campaigns`` that a micro-batch brings."""
     wanted = (is_probe() if probes is None else probes) & ~is_multicast(F.col("dst_ip"))
-    rows = batch.where(wanted).select("src_ip", F.col("ts").alias("_ts"), F.concat_ws("|", "dst_ip", "dst_port").alias("target"))
+    keys = by_run(batch, "src_ip")
+    rows = batch.where(wanted).select(*keys, F.col("ts").alias("_ts"), F.concat_ws("|", "dst_ip", "dst_port").alias("target"))
     start, step = campaign_fold(window, fanout, factor, silence)
-    return fold_batch(rows, number, path, ["src_ip"], ["_ts", "target"], start, step, "ts double, targets int, escalation boolean, confidence double", max(window, silence), delay)
+    return fold_batch(rows, number, path, keys, ["_ts", "target"], start, step, "ts double, targets int, escalation boolean, confidence double", max(window, silence), delay)
 
 
 def recon_stream(conn: DataFrame, window: float = 300, fanout: int = 25, factor: int = 10, silence: float = 300, delay: str = "60 seconds", probes=None) -> DataFrame:

@@ -115,7 +115,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [CONN | {"uid": f"X{i}", "orig_bytes": 5_000_000 if i % 2 else 10} for i in range(10)]
     write(tmp_path / "in" / "1.json", rows[:5])
     write(tmp_path / "in" / "2.json", rows[5:])
-    queries = start_pipeline(spark, {"conn": {"path": str(tmp_path / "in"), "maxFilesPerTrigger": 1}}, str(tmp_path / "out"), str(tmp_path / "ck"))
+    queries = start_pipeline(spark, {"conn": {"path": str(tmp_path / "in"), "maxFilesPerTrigger": 1}}, str(tmp_path / "out"), str(tmp_path / "ck"), Config(keyed_state=False))
     for q in queries:
         q.processAllAvailable()
         q.stop()
@@ -132,7 +132,7 @@ def test_stream_keeps_campaigns_and_the_cooldown_across_batches(spark, tmp_path)
     write(tmp_path / "in" / "1.json", [*probes[:15], sent[0]])
     write(tmp_path / "in" / "2.json", [*probes[15:], sent[1]])
     source = {"path": str(tmp_path / "in"), "maxFilesPerTrigger": 1}
-    for q in start_pipeline(spark, {"conn": source}, str(tmp_path / "out"), str(tmp_path / "ck"), Config(cooldown_s=60)):
+    for q in start_pipeline(spark, {"conn": source}, str(tmp_path / "out"), str(tmp_path / "ck"), Config(cooldown_s=60, keyed_state=False)):
         q.processAllAvailable()
         q.stop()
     assert sorted(r["engine"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["exfil_single", "recon"]
