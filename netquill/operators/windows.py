@@ -58,6 +58,38 @@ def flood_sketch(conn: DataFrame, window: float = 10) -> DataFrame:
     return rows.groupBy(*by_run(rows, "src_ip", "bucket")).agg(F.count("*").alias("n_flows"), F.hll_sketch_estimate(F.hll_sketch_agg("dst_ip")).alias("n_dst"))
 
 
+def count_min(rows: DataFrame, key: Column, by: list[str], width: int = 2000, depth: int = 5) -> DataFrame:
+    """A count-min sketch of ``key`` for each group of ``by``: ``line, cell, n``.
+
+    A sketch is at most ``width * depth`` rows for each group, whatever the number of keys: every task adds up its own cells, and
+    those of all tasks are merged by addition. ``line`` i hashes a key by MD5 of ``i|key``."""
+    cells = [F.struct(F.lit(i).alias("line"), _cell(key, i, width).alias("cell")) for i in range(depth)]
+    lines = rows.select(*by, F.explode(F.array(*cells)).alias("c"))
+    return lines.groupBy(*by, F.col("c.line").alias("line"), F.col("c.cell").alias("cell")).agg(F.count("*").alias("n"))
+
+
+def _cell(key: Column, line: int, width: int) -> Column:
+    digest = F.substr(F.md5(F.concat(F.lit(f"{line}|"), key).cast("binary")), F.lit(1), F.lit(8))
+    return (F.conv(digest, 16, 10).cast("long") % width).cast("int")
+
+
+def count_min_estimates(keys: DataFrame, sketch: DataFrame, key: str, by: list[str], width: int = 2000, depth: int = 5) -> DataFrame:
+    """``keys`` with ``estimate``: the least of a key's cells. It is never under the true count, and over it by more than
+    e / ``width`` of a group's rows with a probability of e ** -``depth`` at most."""
+    cells = [F.struct(F.lit(i).alias("line"), _cell(F.col(key), i, width).alias("cell")) for i in range(depth)]
+    asked = keys.select(*by, key, F.explode(F.array(*cells)).alias("c")).select(*by, key, "c.*")
+    return asked.join(sketch, [*by, "line", "cell"]).groupBy(*by, key).agg(F.min("n").alias("estimate"))
+
+
+def flood_count_min(conn: DataFrame, window: float = 10, threshold: int = 200, width: int = 2000, depth: int = 5) -> DataFrame:
+    """Sources and buckets whose flows reach ``threshold`` by the sketch of the bucket: all that really do, and few others."""
+    rows = conn.withColumn("bucket", bucket(F.col("ts"), window))
+    by = by_run(rows, "bucket")
+    sketch = count_min(rows, F.col("src_ip"), by, width, depth)
+    made = count_min_estimates(rows.select(*by, "src_ip").distinct(), sketch, "src_ip", by, width, depth)
+    return made.where(F.col("estimate") >= threshold)
+
+
 def beacons(conn: DataFrame, max_ts: int = 50, min_samples: int = 8, cv: float = 0.55, lo: float = 2, hi: float = 3600, cluster: float = 0.75) -> DataFrame:
     """Flows at which the recent gaps of their pair are regular: a low coefficient of variation and most near the median.
 

@@ -239,10 +239,10 @@ def _(spark, d):
     return joins.detection_latency(events, found, 600, 14400).select("event_id", F.round("latency_s", 3).alias("latency_s"))
 
 
-@query("j9_silent_hosts", "SELECT c_custkey AS ip FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey % 50 <> 0")
+@query("j9_silent_hosts", "SELECT c_custkey AS ip FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey % 50 <> 0")
 def _(spark, d):
     known = table(spark, d, "customer").select(F.col("c_custkey").alias("ip"))
-    seen = table(spark, d, "orders").select(F.col("o_custkey").alias("ip"))
+    seen = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("ip"))
     return joins.silent_hosts(known, seen, known.where("ip % 50 = 0"))
 
 
@@ -289,7 +289,13 @@ def _(spark, d):
     return sinks.validate_alerts(made)[0].groupBy("threat_class").agg(F.count("*").alias("alerts"), F.countDistinct("alert_id").alias("ids")).select("alerts", "ids", "threat_class")
 
 
-@query("w9_alert_cooldown")
+@query("w9_alert_cooldown", f"""WITH RECURSIVE {ALERTS}, kept AS (
+  SELECT threat_class, src_ip, dst_ip, rule, min(timestamp) AS timestamp FROM alerts GROUP BY threat_class, src_ip, dst_ip, rule
+  UNION ALL SELECT a.threat_class, a.src_ip, a.dst_ip, a.rule, min(a.timestamp) FROM kept k JOIN alerts a
+    ON (a.threat_class, a.src_ip, a.dst_ip, a.rule) = (k.threat_class, k.src_ip, k.dst_ip, k.rule) AND a.timestamp - k.timestamp >= 2592000
+  GROUP BY a.threat_class, a.src_ip, a.dst_ip, a.rule)
+SELECT min(alert_id) AS alert_id, threat_class, timestamp FROM kept JOIN alerts USING (threat_class, src_ip, dst_ip, rule, timestamp)
+GROUP BY threat_class, src_ip, dst_ip, rule, timestamp""")
 def _(spark, d):
     return alert_cooldown(_nested(spark, d), 30 * DAY).select("alert_id", "threat_class", "timestamp")
 
@@ -458,3 +464,9 @@ def _(spark, d):
 def _(spark, d):
     split = models.group_split(models.time_split(conn(spark, d)).drop("part"), "src_ip")
     return split.groupBy("src_ip").agg(F.count("*").alias("n"), F.countDistinct("part").alias("p")).where("p = 1").agg(F.sum("n").alias("rows"), F.count("*").alias("sources"))
+
+
+@query("m13_time_parts", f"""WITH {CONN}, cut AS (SELECT quantile_disc(ts, 0.5) AS middle FROM conn)
+SELECT (ts > middle)::INT AS part, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM conn, cut GROUP BY 1""")
+def _(spark, d):
+    return models.time_split(conn(spark, d), accuracy=1_000_000).groupBy("part").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

@@ -63,6 +63,14 @@ def _(spark, d):
     return windows.flood_sketch(swapped(conn(spark, d)), DAY)
 
 
+@query("e1d_flood_count_min", f"""WITH {CONN}, b AS (SELECT src_ip, floor(ts / 864000)::BIGINT AS bucket FROM conn),
+cells AS (SELECT bucket, src_ip, i, ('0x' || substr(md5(i || '|' || src_ip), 1, 8))::BIGINT % 50 AS cell FROM b CROSS JOIN (SELECT unnest(range(5)) AS i)),
+sketch AS (SELECT bucket, i, cell, count(*) AS n FROM cells GROUP BY bucket, i, cell)
+SELECT bucket, src_ip, min(n) AS estimate FROM (SELECT DISTINCT * FROM cells) JOIN sketch USING (bucket, i, cell) GROUP BY bucket, src_ip HAVING min(n) >= 60""")
+def _(spark, d):
+    return windows.flood_count_min(conn(spark, d), 10 * DAY, 60, width=50)
+
+
 @query("e2_beacons", f"""WITH {CONN},
 g AS (SELECT *, ts - lag(ts) OVER w AS g0 FROM conn WINDOW w AS (PARTITION BY src_ip, dst_ip ORDER BY ts, rid)),
 e AS (SELECT *, sum((coalesce(g0, 0) > 432000)::INT) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, rid ROWS UNBOUNDED PRECEDING) AS era FROM g),
@@ -78,7 +86,24 @@ def _(spark, d):
     return hits.select("rid", "src_ip", "dst_ip", "samples", *rounded)
 
 
-@query("e5_recon_campaigns")
+#: the fold row by row: targets of the last day, cleared at 25; a campaign by its last time, its targets and the next report
+RECON_SQL = f"""WITH RECURSIVE {SWAPPED}, probes AS (SELECT DISTINCT src_ip, ts, dst_ip || '|' || dst_port AS target FROM swapped),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY ts, target) AS n FROM probes),
+walk AS (
+  SELECT DISTINCT src_ip, 0::BIGINT AS n, []::STRUCT(target VARCHAR, ts DOUBLE)[] AS seen, NULL::DOUBLE AS last, 0::BIGINT AS total, 0::BIGINT AS due,
+         NULL::DOUBLE AS ts, false AS fresh, false AS escalation, 0::BIGINT AS k FROM numbered
+  UNION ALL
+  SELECT src_ip, n, CASE WHEN k >= 25 THEN [] ELSE held END, CASE WHEN fresh THEN t WHEN k >= 25 THEN greatest(last, t) ELSE last END,
+         CASE WHEN fresh THEN k WHEN k >= 25 THEN total + k ELSE total END, CASE WHEN fresh THEN 3 * k WHEN escalation THEN 3 * (total + k) ELSE due END, t, fresh, escalation, k
+  FROM (SELECT *, k >= 25 AND (last IS NULL OR t - last > 172800) AS fresh, k >= 25 AND last IS NOT NULL AND t - last <= 172800 AND total + k >= due AS escalation
+    FROM (SELECT *, len(held)::BIGINT AS k FROM (
+      SELECT w.src_ip, o.n, w.last, w.total, w.due, o.ts AS t,
+             list_append(list_filter(w.seen, lambda x: x.target <> o.target AND x.ts >= o.ts - 86400), {{'target': o.target, 'ts': o.ts}}) AS held
+      FROM walk w JOIN numbered o ON o.src_ip = w.src_ip AND o.n = w.n + 1))))
+SELECT src_ip, ts, total::INT AS targets, escalation, least(95.0, 50.0 + k)::DOUBLE AS confidence FROM walk WHERE fresh OR escalation"""
+
+
+@query("e5_recon_campaigns", RECON_SQL)
 def _(spark, d):
     return recon_campaigns(swapped(conn(spark, d)), window=DAY, fanout=25, factor=3, silence=2 * DAY, probes=F.lit(True))
 

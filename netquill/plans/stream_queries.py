@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netquill.functions.net import epoch
 from netquill.plans.adapters import CONN, as_flows, as_packets, scratch, swapped, table
-from netquill.plans.detect_queries import COOLDOWN_SQL, DAY
+from netquill.plans.detect_queries import COOLDOWN_SQL, DAY, RECON_SQL
 from netquill.plans.detect_queries import SQL as DETECT
 from netquill.streaming import keyed, stateful
 
@@ -77,7 +77,7 @@ def _(spark, d):
     return last.select("src_ip", "dst_ip", "dst_port", "x.attempts", "x.first_ts")
 
 
-@query("t3_recon_stream")
+@query("t3_recon_stream", RECON_SQL)
 def _(spark, d):
     return _stream(spark, d, lambda e: swapped(_flows(e)), fold=lambda b, n, path: stateful.recon_batch(b, n, path, DAY, 25, 3, 2 * DAY, probes=F.lit(True))).drop("batch")
 
