@@ -177,9 +177,14 @@ def smtp_enumeration(app: DataFrame, window: float = 300, vrfy: int = 3, rcpt: i
         "n_rcpt": F.size(F.collect_set(F.when(kind == "smtp_rcpt", F.col("app_detail"))).over(w)),
         "n_reject": F.count(F.when(kind == "smtp_reject", 1)).over(w),
     })
+    return smtp_judged(rows, vrfy, rcpt, rejects, ratio).drop("pair")
+
+
+def smtp_judged(rows: DataFrame, vrfy: int = 3, rcpt: int = 15, rejects: int = 3, ratio: float = 0.3) -> DataFrame:
+    """Of counted mail events those that are client commands and have reached a limit."""
     many = (F.col("n_rcpt") >= rcpt) & (F.col("n_reject") >= rejects) & (F.col("n_reject") >= ratio * F.col("n_rcpt"))
-    hits = rows.where((kind != "smtp_reject") & ((F.col("n_vrfy") >= vrfy) | many))
-    return hits.withColumns({"severity": F.lit("MEDIUM"), "confidence": F.lit(85.0)}).drop("pair")
+    hits = rows.where((F.col("app_function") != "smtp_reject") & ((F.col("n_vrfy") >= vrfy) | many))
+    return hits.withColumns({"severity": F.lit("MEDIUM"), "confidence": F.lit(85.0)})
 
 
 def default_credentials(app: DataFrame) -> DataFrame:
@@ -192,6 +197,10 @@ def http_guessing(app: DataFrame, window: float = 60, least: int = 5) -> DataFra
     rows = app.where(kind.isin("http_basic", "http_401"))
     w = _trailing(window, *by_run(rows, "src_ip", "dst_ip", "dst_port"))
     rows = rows.withColumns({"n_basic": F.count(F.when(kind == "http_basic", 1)).over(w), "n_401": F.count(F.when(kind == "http_401", 1)).over(w)})
+    return guessing_judged(rows, least)
+
+
+def guessing_judged(rows: DataFrame, least: int = 5) -> DataFrame:
     return rows.where((F.col("n_basic") >= least) & (F.col("n_401") >= least)).withColumns({"severity": F.lit("HIGH"), "confidence": F.lit(85.0)})
 
 
@@ -209,8 +218,13 @@ def web_deployments(app: DataFrame, window: float = 300, refusal: float = 60) ->
         "_login": F.max(F.when(kind.isin("http_basic", "http_401"), ts)).over(before),
         "_refused": F.max(F.when(kind == "http_401", ts)).over(before),
     })
-    same = F.col("app_code").bitwiseAND(2) != 0
+    return deployments_judged(rows, window, refusal)
+
+
+def deployments_judged(rows: DataFrame, window: float = 300, refusal: float = 60) -> DataFrame:
+    """Deployments among events that know the last default login, login event and refusal before them."""
+    ts, same = F.col("ts"), F.col("app_code").bitwiseAND(2) != 0
     refused = (ts - F.col("_refused") <= window) & (F.col("_login") - F.col("_refused") <= refusal)
     bad = same | F.coalesce(ts - F.col("_default") < window, F.lit(False)) | F.coalesce(refused, F.lit(False))
-    hits = rows.where(kind == "http_admin_deploy").withColumn("preceded", bad).drop("_default", "_login", "_refused")
+    hits = rows.where(F.col("app_function") == "http_admin_deploy").withColumn("preceded", bad).drop("_default", "_login", "_refused")
     return hits.withColumns({"severity": F.when(F.col("preceded"), "HIGH").otherwise("MEDIUM"), "confidence": F.when(F.col("preceded"), 85.0).otherwise(65.0)})

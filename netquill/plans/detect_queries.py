@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netquill.functions import net, text
-from netquill.operators import assembly, features, predicates, stateless, windows
+from netquill.operators import assembly, features, predicates, signatures, stateless, windows
 from netquill.operators.aggregates import host_inventory, protocol_mix, throughput_series, top_flows
 from netquill.operators.sequential import cooldown, recon_campaigns
 from netquill.plans.adapters import CONN, PACKETS, REQUESTS, SWAPPED, conn, entropy_sql, packets, requests, swapped, table
@@ -223,7 +223,7 @@ def _(spark, d):
         ("notice", "a", "nocase", "All Rights Reserved", None, 2, None), ("notice", "b", "hex", "5468", 0, 2, None),
     ]
     table_of = spark.createDataFrame(rules, "rule string, string_id string, kind string, pattern string, at_offset int, min_hits int, max_size bigint")
-    return stateless.scan_signatures(table(spark, d, "documents"), table_of, "text", "doc_id").select("doc_id", "rule", "hits", "sha256")
+    return signatures.scan_signatures(table(spark, d, "documents"), table_of, "text", "doc_id").select("doc_id", "rule", "hits", "sha256")
 
 
 @query("e7_ot_commands", f"""WITH {CONN}, r(c, severity, confidence) AS (SELECT unnest(range(45, 52)), 'CRITICAL', 92.0::DOUBLE UNION ALL SELECT unnest(range(58, 65)), 'CRITICAL', 92.0)
@@ -250,22 +250,36 @@ def _(spark, d):
     return stateless.ja4_matches(flows, intel).select("p_partkey", "tier", "confidence")
 
 
+def _turns(*kinds: str):
+    return F.element_at(F.array(*map(F.lit, kinds)), F.col("k") % len(kinds) + 1)
+
+
+def login_events(flows):
+    return flows.withColumns({"app_function": _turns("http_basic", "http_401"), "app_detail": F.lit("/x"), "dst_port": F.lit(80)})
+
+
+def mail_events(flows):
+    return flows.withColumns({"app_function": _turns("smtp_vrfy", "smtp_rcpt", "smtp_reject"), "app_detail": F.col("k").cast("string"), "app_code": F.lit(0)})
+
+
+def deployment_events(flows):
+    code = F.when(F.col("k") % 3 == 0, F.col("k") % 2).otherwise(0)
+    return flows.withColumns({"app_function": _turns("http_basic", "http_401", "http_admin_deploy"), "app_detail": F.lit("/x"), "app_code": code, "dst_port": F.lit(80)})
+
+
 @query("e14_http_guessing", f"""WITH {CONN}, e AS (SELECT *, CASE k % 2 WHEN 0 THEN 'http_basic' ELSE 'http_401' END AS f FROM conn),
 r AS (SELECT *, count(*) FILTER (WHERE f = 'http_basic') OVER w AS n_basic, count(*) FILTER (WHERE f = 'http_401') OVER w AS n_401 FROM e
   WINDOW w AS (PARTITION BY src_ip, dst_ip ORDER BY ts RANGE BETWEEN 864000 PRECEDING AND CURRENT ROW))
 SELECT rid, n_basic, n_401 FROM r WHERE n_basic >= 3 AND n_401 >= 3""")
 def _(spark, d):
-    rows = conn(spark, d).withColumns({"app_function": F.when(F.col("k") % 2 == 0, "http_basic").otherwise("http_401"), "dst_port": F.lit(80)})
-    return windows.http_guessing(rows, 10 * DAY, 3).select("rid", "n_basic", "n_401")
+    return windows.http_guessing(login_events(conn(spark, d)), 10 * DAY, 3).select("rid", "n_basic", "n_401")
 
 
 @query("e14_smtp_enumeration", f"""WITH {CONN}, e AS (SELECT *, ['smtp_vrfy', 'smtp_rcpt', 'smtp_reject'][k % 3 + 1] AS f FROM conn),
 r AS (SELECT *, len(list_distinct(list(CASE WHEN f = 'smtp_vrfy' THEN k END) OVER w)) AS n_vrfy FROM e WINDOW w AS (PARTITION BY src_ip, dst_ip ORDER BY ts RANGE BETWEEN 864000 PRECEDING AND CURRENT ROW))
 SELECT rid, n_vrfy::INT AS n_vrfy FROM r WHERE f <> 'smtp_reject' AND n_vrfy >= 3""")
 def _(spark, d):
-    kind = F.element_at(F.array(F.lit("smtp_vrfy"), F.lit("smtp_rcpt"), F.lit("smtp_reject")), F.col("k") % 3 + 1)
-    rows = conn(spark, d).withColumns({"app_function": kind, "app_detail": F.col("k").cast("string"), "app_code": F.lit(0)})
-    return windows.smtp_enumeration(rows, 10 * DAY, rcpt=10_000).select("rid", "n_vrfy")
+    return windows.smtp_enumeration(mail_events(conn(spark, d)), 10 * DAY, rcpt=10_000).select("rid", "n_vrfy")
 
 
 @query("e14_web_deployments", f"""WITH {CONN}, e AS (SELECT *, ['http_basic', 'http_401', 'http_admin_deploy'][k % 3 + 1] AS f FROM conn),
@@ -273,10 +287,7 @@ r AS (SELECT *, max(CASE WHEN f = 'http_basic' AND k % 2 = 1 THEN ts END) OVER w
   FROM e WINDOW w AS (PARTITION BY src_ip, dst_ip ORDER BY ts RANGE UNBOUNDED PRECEDING))
 SELECT rid, coalesce(ts - dts < 432000, false) OR coalesce(ts - rts <= 432000 AND lts - rts <= 86400, false) AS preceded FROM r WHERE f = 'http_admin_deploy'""")
 def _(spark, d):
-    kind = F.element_at(F.array(F.lit("http_basic"), F.lit("http_401"), F.lit("http_admin_deploy")), F.col("k") % 3 + 1)
-    code = F.when(F.col("k") % 3 == 0, F.col("k") % 2).otherwise(0)
-    rows = conn(spark, d).withColumns({"app_function": kind, "app_detail": F.lit("/x"), "app_code": code, "dst_port": F.lit(80)})
-    return windows.web_deployments(rows, 5 * DAY, DAY).select("rid", "preceded")
+    return windows.web_deployments(deployment_events(conn(spark, d)), 5 * DAY, DAY).select("rid", "preceded")
 
 
 # ---- assembly and inventory ------------------------------------------------------------------------------------------------

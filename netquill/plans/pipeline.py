@@ -62,9 +62,28 @@ def _rid(flows: DataFrame) -> DataFrame:
     return flows.withColumn("rid", F.col("flow_uid"))
 
 
-def _app(hits: DataFrame, engine: str, cls: str, mitre: tuple, evidence: list[str]) -> DataFrame:
-    once = cooldown(hits, ["src_ip", "dst_ip"], "ts", 600, ("rid",))
-    return build_alert(once, engine, cls, F.col("severity"), F.col("confidence"), mitre, evidence)
+@dataclass(frozen=True)
+class Service:
+    """An application-service detector: its hits in batch and on a stream, and what its alerts say. A pair alerts once in 600 s."""
+
+    engine: str
+    batch: Callable[[DataFrame], DataFrame]
+    stream: Callable[[DataFrame], DataFrame]
+    cls: str
+    mitre: tuple
+    evidence: tuple[str, ...]
+    pair = ("src_ip", "dst_ip")
+    silence = 600
+
+    def alerts(self, hits: DataFrame) -> DataFrame:
+        return build_alert(hits, self.engine, self.cls, F.col("severity"), F.col("confidence"), self.mitre, list(self.evidence))
+
+    def __call__(self, flows: DataFrame, cfg: Config) -> DataFrame:
+        return self.alerts(cooldown(self.batch(_rid(flows)), list(self.pair), "ts", self.silence, ("rid",)))
+
+    def micro_batch(self, hits: DataFrame, number: int, path: str) -> DataFrame:
+        """Alerts of the hits that a micro-batch of ``stream`` brings."""
+        return self.alerts(cooldown_batch(hits, number, path, list(self.pair), "ts", self.silence))
 
 
 def _ot(flows: DataFrame, protocol: str) -> DataFrame:
@@ -86,6 +105,19 @@ def _campaigns(flows: DataFrame) -> DataFrame:
     return recon_campaigns(flows).withColumn("severity", F.when(F.col("escalation"), "HIGH").otherwise("MEDIUM"))
 
 
+SERVICES = (
+    Service("distcc", win.distcc_exec, win.distcc_exec, "NETWORK_INTRUSION_ATTEMPT", ("Initial Access", "T1190", "Exploit Public-Facing Application"), ("app_detail",)),
+    Service("smtp_enumeration", win.smtp_enumeration, keyed.smtp_enumeration_stream, "RECONNAISSANCE", ("Discovery", "T1087", "Account Discovery"), ("n_vrfy", "n_rcpt", "n_reject")),
+    Service(
+        "default_credentials", win.default_credentials, win.default_credentials, "NETWORK_INTRUSION_ATTEMPT",
+        ("Initial Access", "T1078.001", "Valid Accounts: Default Accounts"), ("app_detail",),
+    ),
+    Service("http_guessing", win.http_guessing, keyed.http_guessing_stream, "NETWORK_INTRUSION_ATTEMPT", GUESS, ("n_basic", "n_401")),
+    Service(
+        "web_deployments", win.web_deployments, keyed.web_deployments_stream, "NETWORK_INTRUSION_ATTEMPT",
+        ("Execution", "T1505.003", "Server Software Component: Web Shell"), ("app_detail", "preceded"),
+    ),
+)
 #: name: (log type, function of mapped flows and configuration that gives alerts); deployments add their own by Config.extra
 DETECTORS: dict[str, tuple[str, Callable[[DataFrame, Config], DataFrame]]] = {
     "slowloris": ("conn", _columns("slowloris", "SLOWLORIS", ("Impact", "T1499", "Endpoint Denial of Service"), st.slowloris, ["duration_s", "orig_bytes", "resp_bytes"])),
@@ -102,16 +134,7 @@ DETECTORS: dict[str, tuple[str, Callable[[DataFrame, Config], DataFrame]]] = {
     "http": ("http", lambda f, c: build_alert(st.http_threats(f), "http", F.col("threat_class"), F.col("severity"), F.col("confidence"), None, ["http_method", "http_uri", "reasons"])),
     "kerberoasting": ("kerberos", _columns("kerberoasting", "NETWORK_INTRUSION_ATTEMPT", ROAST, st.kerberoasting, ["krb_service", "krb_cipher", "krb_client"])),
     **{f"ot_{p}": (p, lambda f, c, p=p: _ot(f, p)) for p in ("modbus", "cip", "dnp3", "s7comm", "iec104", "bacnet", "opcua", "profinet")},
-    "distcc": ("appsvc", lambda f, c: _app(win.distcc_exec(_rid(f)), "distcc", "NETWORK_INTRUSION_ATTEMPT", ("Initial Access", "T1190", "Exploit Public-Facing Application"), ["app_detail"])),
-    "smtp_enumeration": ("appsvc", lambda f, c: _app(win.smtp_enumeration(_rid(f)), "smtp_enumeration", "RECONNAISSANCE", ("Discovery", "T1087", "Account Discovery"), ["n_vrfy", "n_rcpt", "n_reject"])),
-    "default_credentials": (
-        "appsvc",
-        lambda f, c: _app(win.default_credentials(_rid(f)), "default_credentials", "NETWORK_INTRUSION_ATTEMPT", ("Initial Access", "T1078.001", "Valid Accounts: Default Accounts"), ["app_detail"]),
-    ),
-    "http_guessing": ("appsvc", lambda f, c: _app(win.http_guessing(_rid(f)), "http_guessing", "NETWORK_INTRUSION_ATTEMPT", GUESS, ["n_basic", "n_401"])),
-    "web_deployments": (
-        "appsvc", lambda f, c: _app(win.web_deployments(_rid(f)), "web_deployments", "NETWORK_INTRUSION_ATTEMPT", ("Execution", "T1505.003", "Server Software Component: Web Shell"), ["app_detail", "preceded"]),
-    ),
+    **{s.engine: ("appsvc", s) for s in SERVICES},
 }
 #: the same detectors on a stream, with state for each key
 STREAMED: dict[str, tuple[str, Callable[[DataFrame, Config], DataFrame]]] = {
@@ -233,7 +256,7 @@ def start_pipeline(spark: SparkSession, sources: dict[str, dict], table: str, ch
     queries = []
     for log, source in sources.items():
         names = tuple(n for n, (kind, _) in (DETECTORS | cfg.extra).items() if kind == log and (n in STATELESS or n in cfg.extra))
-        if not names and log not in ("eve", "notice"):
+        if not names and log not in ("eve", "notice", "appsvc"):
             raise ValueError(f"no detector of {log} runs on a stream")
         rows = stream_logs(spark, log, source)
         flows = rows if log in ("eve", "notice") else map_records(rows, log)
@@ -249,7 +272,21 @@ def start_pipeline(spark: SparkSession, sources: dict[str, dict], table: str, ch
                     found.append(build_alert(hits, "baseline", "BEHAVIORAL_ANOMALY", F.col("severity"), F.col("confidence"), SCAN, ["service", "score", "p"], "baseline"))
             _store(union_alerts(*found), number, log, table, checkpoint, cfg)
 
-        queries.append(flows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/{log}").queryName(f"detect_{log}").start())
+        if log != "appsvc" or names:
+            queries.append(flows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/{log}").queryName(f"detect_{log}").start())
+        for service in SERVICES if log == "appsvc" else ():
+            if service.stream is not service.batch and not cfg.keyed_state:
+                continue
+            keyed.keep_state(spark)
+
+            def thin(batch: DataFrame, number: int, service: Service = service) -> None:
+                path = scratch(spark, f"hits-{service.engine}")
+                hits = written(batch, path)
+                _store(service.micro_batch(hits, number, f"{checkpoint}/{service.engine}-hits"), number, service.engine, table, checkpoint, cfg)
+                delete(spark, path)
+
+            hits = service.stream(_rid(flows)).writeStream.foreachBatch(thin).option("checkpointLocation", f"{checkpoint}/{service.engine}")
+            queries.append(hits.trigger(processingTime=cfg.every).queryName(f"detect_{service.engine}").start())
         for name, (kind, detector) in STREAMED.items():
             if kind != log or not cfg.keyed_state:
                 continue

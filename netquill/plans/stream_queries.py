@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netquill.functions.net import epoch
 from netquill.plans.adapters import CONN, as_flows, as_packets, scratch, swapped, table
-from netquill.plans.detect_queries import COOLDOWN_SQL, DAY, RECON_SQL
+from netquill.plans.detect_queries import COOLDOWN_SQL, DAY, RECON_SQL, deployment_events, login_events, mail_events
 from netquill.plans.detect_queries import SQL as DETECT
 from netquill.streaming import keyed, stateful
 
@@ -111,6 +111,21 @@ def _(spark, d):
     return hits.select("rid", "src_ip", "dst_ip", "dst_port", "bucket", "ts", "severity", "confidence")
 
 
+@query("t_smtp_enumeration_stream", DETECT["e14_smtp_enumeration"])
+def _(spark, d):
+    return _stream(spark, d, lambda e: keyed.smtp_enumeration_stream(mail_events(_flows(e)), 10 * DAY, rcpt=10_000), endless=True).select("rid", F.col("n_vrfy").cast("int"))
+
+
+@query("t_http_guessing_stream", DETECT["e14_http_guessing"])
+def _(spark, d):
+    return _stream(spark, d, lambda e: keyed.http_guessing_stream(login_events(_flows(e)), 10 * DAY, 3), endless=True).select("rid", "n_basic", "n_401")
+
+
+@query("t_web_deployments_stream", DETECT["e14_web_deployments"])
+def _(spark, d):
+    return _stream(spark, d, lambda e: keyed.web_deployments_stream(deployment_events(_flows(e)), 5 * DAY, DAY), endless=True).select("rid", "preceded")
+
+
 @query("t7_flow_sessions_stream", DETECT["a2_live_flows"])
 def _(spark, d):
     flows = _stream(spark, d, lambda e: keyed.flow_sessions(as_packets(e), 7 * DAY, 100 * DAY, "1 day"))

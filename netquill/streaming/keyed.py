@@ -1,5 +1,5 @@
 """Stateful detectors and flow sessions on streams by ``transformWithState``: what they give doesn't depend on how rows are cut
-into micro-batches, as long as the rows of a key come in order.
+into micro-batches, as long as the rows of a key come in order (for the service detectors: those of one time in one batch).
 
 Rows of a key are sorted inside a micro-batch by time and row id. The detectors go by the records' own time and keep their state
 for a time to live, so no row is dropped for being late: it is judged by the state there is. Flow sessions end by timers of event
@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from netquill.functions.net import bucket, by_run, is_multicast, jitter_pct, sender_is_originator
 from netquill.operators.stateless import is_exfil, is_slow
-from netquill.operators.windows import AUTH_PORTS
+from netquill.operators.windows import AUTH_PORTS, deployments_judged, guessing_judged, smtp_judged
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -182,6 +182,107 @@ def brute_force_stream(conn: DataFrame, ports=AUTH_PORTS, window: float = 60, at
     return hits.withColumns({"severity": F.lit("MEDIUM"), "confidence": F.lit(70.0)})
 
 
+class Trailing(StatefulProcessor):
+    """For each row of a key how many events, or distinct details, of some kinds lie in the ``window`` seconds up to it.
+
+    ``counts`` names, by column, the kinds and whether details are counted. The state is the key's events of the last ``window``.
+    """
+
+    def __init__(self, counts: dict[str, tuple[tuple[str, ...], bool]], window: float, ttl_s: float):
+        self.counts, self.window, self.ttl_s = counts, window, ttl_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getValueState("recent", "times array<double>, kinds array<string>, details array<string>", int(self.ttl_s * 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = _in_order(rows)
+        own = new[["ts", "app_function", "app_detail"]].set_axis(["ts", "kind", "detail"], axis=1).assign(own=True)
+        held = pd.DataFrame(dict(zip(("ts", "kind", "detail"), self.recent.get())) if self.recent.exists() else {"ts": [], "kind": [], "detail": []})
+        both = pd.concat((held.assign(own=False), own), ignore_index=True) if len(held) else own
+        both = both.sort_values("ts", kind="stable", ignore_index=True)
+        ts = both["ts"].to_numpy(float)
+        low, high = np.searchsorted(ts, ts - self.window, "left"), np.searchsorted(ts, ts, "right")
+        mine = both["own"].to_numpy(bool)
+        made = {}
+        for name, (kinds, distinct) in self.counts.items():
+            counted = both["kind"].isin(kinds).to_numpy() & (both["detail"].notna().to_numpy() if distinct else True)
+            made[name] = (_distinct_between(both["detail"], counted, low, high) if distinct else np.subtract(*(np.append(0, counted.cumsum())[at] for at in (high, low))))[mine]
+        stay = both[ts >= ts[-1] - self.window]
+        details = [None if pd.isna(x) else x for x in stay["detail"]]
+        self.recent.update((stay["ts"].tolist(), stay["kind"].tolist(), details))
+        yield new.assign(**made)
+
+
+def _distinct_between(values: pd.Series, counted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distinct counted values at positions [low, high) of each row; both bounds never fall."""
+    codes, inside, left, right = pd.factorize(values)[0].tolist(), {}, 0, 0
+    found = np.zeros(len(low), np.int64)
+    for i, (a, b) in enumerate(zip(low.tolist(), high.tolist())):
+        for at in range(right, b):
+            if counted[at]:
+                inside[codes[at]] = inside.get(codes[at], 0) + 1
+        for at in range(left, a):
+            if counted[at]:
+                inside[codes[at]] -= 1
+                if not inside[codes[at]]:
+                    del inside[codes[at]]
+        left, right = a, b
+        found[i] = len(inside)
+    return found
+
+
+def smtp_enumeration_stream(app: DataFrame, window: float = 300, vrfy: int = 3, rcpt: int = 15, rejects: int = 3, ratio: float = 0.3, ttl_s: float | None = None) -> DataFrame:
+    """``windows.smtp_enumeration`` on a stream; what a pair did in the last ``window`` seconds is kept for ``ttl_s`` (twice that)."""
+    kinds = {"n_vrfy": (("smtp_vrfy", "smtp_expn"), True), "n_rcpt": (("smtp_rcpt",), True), "n_reject": (("smtp_reject",), False)}
+    rows = app.where(F.col("app_function").isin("smtp_vrfy", "smtp_expn", "smtp_rcpt", "smtp_reject"))
+    pair = F.array_sort(F.array("src_ip", "dst_ip"))
+    rows = rows.withColumns({"pair_low": pair[0], "pair_high": pair[1]})
+    counted = _apply(rows, ["pair_low", "pair_high"], Trailing(kinds, window, ttl_s or 2 * window), "n_vrfy long, n_rcpt long, n_reject long")
+    return smtp_judged(counted, vrfy, rcpt, rejects, ratio).drop("pair_low", "pair_high")
+
+
+def http_guessing_stream(app: DataFrame, window: float = 60, least: int = 5, ttl_s: float | None = None) -> DataFrame:
+    """``windows.http_guessing`` on a stream."""
+    kinds = {"n_basic": (("http_basic",), False), "n_401": (("http_401",), False)}
+    rows = app.where(F.col("app_function").isin("http_basic", "http_401"))
+    return guessing_judged(_apply(rows, ["src_ip", "dst_ip", "dst_port"], Trailing(kinds, window, ttl_s or 2 * window), "n_basic long, n_401 long"), least)
+
+
+class LastLogins(StatefulProcessor):
+    """Adds to each row of a key when a default login, any login event and a refusal came last, that row's own time included."""
+
+    NAMES = ("_default", "_login", "_refused")
+
+    def __init__(self, ttl_s: float):
+        self.ttl_s = ttl_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "times array<double>", int(self.ttl_s * 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = _in_order(rows)
+        ts, kind = new["ts"].to_numpy(float), new["app_function"]
+        which = (kind == "http_basic") & (new["app_code"] == 1), kind.isin(["http_basic", "http_401"]), kind == "http_401"
+        before = self.last.get()[0] if self.last.exists() else [None] * len(which)
+        peers = np.searchsorted(ts, ts, "right") - 1
+        made, kept = {}, []
+        for name, marked, old in zip(self.NAMES, which, before):
+            old, at = -np.inf if old is None else old, np.where(marked, ts, -np.inf)
+            seen = np.maximum(np.maximum.accumulate(at)[peers], np.where(old <= ts, old, -np.inf))  # a late row knows nothing after it
+            made[name] = np.where(np.isinf(seen), None, seen)
+            newest = max(float(at.max()), old)
+            kept.append(None if np.isinf(newest) else newest)
+        self.last.update((kept,))
+        yield new.assign(**made)
+
+
+def web_deployments_stream(app: DataFrame, window: float = 300, refusal: float = 60, ttl_s: float | None = None) -> DataFrame:
+    """``windows.web_deployments`` on a stream; three times for each client, server and port are kept for ``ttl_s`` (twice ``window``)."""
+    rows = app.where(F.col("app_function").isin("http_basic", "http_401", "http_admin_deploy"))
+    known = _apply(rows, ["src_ip", "dst_ip", "dst_port"], LastLogins(ttl_s or 2 * window), "_default double, _login double, _refused double")
+    return deployments_judged(known, window, refusal)
+
+
 ENDS = ["capture_id", "proto", "a_ip", "a_port", "b_ip", "b_port"]
 FLOW = "ts double, last_ts double, a_starts boolean, ab_bytes long, ba_bytes long, ab_pkts long, ba_pkts long"
 

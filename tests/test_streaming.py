@@ -100,6 +100,39 @@ def test_keyed_detectors_equal_batch(spark, tmp_path, batch, stream, named, cuts
     assert sorted(map(key, got)) == sorted(map(key, whole)) and whole
 
 
+APP = "rid long, ts double, src_ip string, dst_ip string, dst_port int, app_function string, app_detail string, app_code int, run_id string"
+
+
+def service_events():
+    draw = random.Random(8)
+    kinds = ["smtp_vrfy", "smtp_expn", "smtp_rcpt", "smtp_reject", "http_basic", "http_401", "http_admin_deploy"]
+    rows = [(1000 + draw.random() * 4000, f"10.0.0.{draw.randrange(3)}", f"9.9.9.{draw.randrange(2)}", 80, draw.choice(kinds), draw.choice(["a", "b", "c", None]), draw.choice([0, 0, 1, 2, None])) for _ in range(500)]
+    rows += [(2000 + 4.0 * i, "10.0.0.9", "9.9.9.9", 25, "smtp_rcpt", f"user{i % 20}", 0) for i in range(60)]
+    rows += [(2002 + 8.0 * i, "9.9.9.9", "10.0.0.9", 25, "smtp_reject", "x", 0) for i in range(30)]  # the server answers
+    rows += [(3000 + 3.0 * (i // 2), "10.0.0.8", "9.9.9.8", 80, ("http_basic", "http_401")[i % 2], "x", 0) for i in range(40)]  # both at one time
+    return [(i, *r, "a") for i, r in enumerate(sorted(rows, key=lambda r: r[0]))]
+
+
+SERVICE = [
+    (windows.smtp_enumeration, keyed.smtp_enumeration_stream, ("n_vrfy", "n_rcpt", "n_reject")),
+    (windows.http_guessing, keyed.http_guessing_stream, ("n_basic", "n_401")),
+    (windows.web_deployments, keyed.web_deployments_stream, ("preceded",)),
+]
+
+
+@pytest.mark.parametrize("batch,stream,counts", SERVICE, ids=[b.__name__ for b, _, _ in SERVICE])
+def test_service_detectors_equal_batch(spark, tmp_path, batch, stream, counts):
+    rows = service_events()
+    ends = [0, *(i for i in (7, 150, 151, 400) if rows[i][1] != rows[i - 1][1]), len(rows)]
+    parts = [rows[a:b] for a, b in zip(ends, ends[1:])]
+    for part in parts:
+        random.Random(1).shuffle(part)
+    key = lambda r: (r["rid"], r["severity"], r["confidence"], *(r[c] for c in counts))
+    whole = batch(spark.createDataFrame(rows, APP)).collect()
+    got = feed(spark, tmp_path, APP, parts, stream)
+    assert sorted(map(str, map(key, got))) == sorted(map(str, map(key, whole))) and whole
+
+
 def test_a_late_row_is_judged_by_the_state_there_is(spark, tmp_path):
     rows = traffic()
     early = [r for r in rows if r[3] == "7.7.7.7"]
