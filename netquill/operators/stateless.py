@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquill.functions import codes
-from netquill.functions.text import dga_score, entropy, file_type, is_pki_fetch, technique_id
+from netquill.functions.text import dga_score, entropy, is_pki_fetch, technique_id
 from netquill.operators.predicates import drop_infra_domains, is_local_resolution
 
 SLOW_PORTS = (0, 80, 3000, 5000, 8000, 8008, 8080, 8081, 8088, 8888, 9000, 9090)
@@ -115,28 +115,6 @@ def ot_commands(df: DataFrame, protocol: str, rules: DataFrame | None = None, fu
     return df.withColumn("function", F.col(column).cast("string")).join(F.broadcast(own), "function")
 
 
-def scan_signatures(files: DataFrame, signatures: DataFrame, content: str = "content", file_id: str = "path") -> DataFrame:
-    """Files that hold enough of a rule's strings.
-
-    ``signatures``: ``rule, string_id, kind`` (text, nocase, hex, regex), ``pattern, at_offset`` (null: anywhere), ``min_hits``
-    of the rule, ``max_size`` of the file (null: any). A small table of rules, sent to all tasks.
-    """
-    body = F.col(content).cast("binary")
-    table = files.select(F.col(file_id), body.alias("_body"), F.hex(body).alias("_hex"), body.cast("string").alias("_text"), F.length(body).alias("_size"))
-    pair = table.join(F.broadcast(signatures), F.col("max_size").isNull() | (F.col("_size") <= F.col("max_size")))
-    hexed = F.when(F.col("kind") == "text", F.hex(F.col("pattern").cast("binary"))).otherwise(F.upper("pattern"))
-    fixed = F.substr("_hex", F.col("at_offset") * 2 + 1, F.length(hexed)) == hexed
-    anywhere = F.when(F.col("kind") == "hex", F.expr("regexp_like(_hex, concat('^(..)*?', upper(pattern)))")).when(
-        F.col("kind") == "nocase", F.lower("_text").contains(F.lower("pattern"))
-    ).when(F.col("kind") == "regex", F.expr("regexp_like(_text, pattern)")).otherwise(F.col("_text").contains(F.col("pattern")))
-    hit = F.when(F.col("at_offset").isNotNull() & F.col("kind").isin("text", "hex"), fixed).otherwise(anywhere)
-    matched = pair.where(F.coalesce(hit, F.lit(False)))
-    per_rule = matched.groupBy(file_id, "rule", "min_hits").agg(F.countDistinct("string_id").alias("hits"), F.sort_array(F.collect_set("string_id")).alias("strings"))
-    fired = per_rule.where(F.col("hits") >= F.col("min_hits")).drop("min_hits")
-    facts = files.select(F.col(file_id), F.sha2(body, 256).alias("sha256"), file_type(body).alias("file_type"))
-    return fired.join(facts, file_id).withColumns({"severity": F.lit("CRITICAL"), "confidence": F.lit(90.0)})
-
-
 def http_threats(http: DataFrame, max_post: int = 5_000_000, min_entropy: float = 4.2, min_length: int = 12) -> DataFrame:
     """Large uploads, and random paths fetched by a library's user agent or none."""
     agent, uri = F.lower(F.coalesce("http_user_agent", F.lit(""))), F.coalesce("http_uri", F.lit(""))

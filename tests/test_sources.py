@@ -8,6 +8,7 @@ from netquill.operators.joins import apply_allowlist
 from netquill.operators.mapping import map_records
 from netquill.plans.pipeline import Config, detect, run_batch, start_pipeline
 from netquill.sources import readers, sinks
+from netquill.streaming import keyed
 
 
 def write(path, rows):
@@ -52,7 +53,7 @@ def test_allowlist(spark, tmp_path):
 
 
 def test_signature_files_and_intel(spark, tmp_path):
-    from netquill.operators.stateless import scan_signatures
+    from netquill.operators.signatures import scan_signatures
 
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.bin").write_bytes(b"MZ\x90harmless-marker")
@@ -137,4 +138,23 @@ def test_stream_keeps_campaigns_and_the_cooldown_across_batches(spark, tmp_path)
         q.stop()
     assert sorted(r["engine"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["exfil_single", "recon"]
     with pytest.raises(ValueError):
-        start_pipeline(spark, {"appsvc": source}, str(tmp_path / "out"), str(tmp_path / "ck2"))
+        start_pipeline(spark, {"kerberoast": source}, str(tmp_path / "out"), str(tmp_path / "ck2"))
+
+
+def test_stream_of_service_events(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    app = CONN | {"id.resp_p": 80, "function": "http_basic", "detail": "/x", "code": 0}
+    tries = [app | {"uid": f"B{i}", "ts": 100.0 + i} for i in range(6)] + [app | {"uid": f"R{i}", "ts": 100.5 + i, "function": "http_401"} for i in range(6)]
+    tries.sort(key=lambda r: r["ts"])
+    run = [app | {"uid": f"D{t}", "ts": t, "id.resp_p": 3632, "function": "distcc:exec", "code": 1} for t in (101.0, 400.0, 800.0)]
+    write(tmp_path / "in" / "1.json", [*tries[:5], run[0]])
+    write(tmp_path / "in" / "2.json", [*tries[5:], *run[1:]])
+    (tmp_path / "logs").mkdir()
+    write(tmp_path / "logs" / "appsvc.log", [*tries, *run])
+    found = lambda path: sorted((r["engine"], r["flow_uid"]) for r in spark.read.parquet(path).collect())
+    cfg = Config(every="100 milliseconds")
+    source = {"path": str(tmp_path / "in"), "maxFilesPerTrigger": 1}
+    for q in start_pipeline(spark, {"appsvc": source}, str(tmp_path / "out"), str(tmp_path / "ck"), cfg):
+        keyed.drain(q, 2)
+    run_batch(spark, str(tmp_path / "logs"), str(tmp_path / "whole"), log_types=("appsvc",))
+    assert found(str(tmp_path / "out")) == found(str(tmp_path / "whole")) == [("distcc", "D101.0"), ("distcc", "D800.0"), ("http_guessing", "R4")]
