@@ -76,15 +76,25 @@ def assemble_live(packets: DataFrame, idle: float = 60, hard: float = 300) -> Da
 
 
 def flow_snapshots(packets: DataFrame, every: float = 2) -> DataFrame:
-    """The totals so far of each flow at the end of every tick in which it changed."""
+    """Each flow so far, seen from its originator, at the end of every tick in which it changed.
+
+    Packets are added up by tick before the window, so a flow's window holds a row for each tick."""
     rows = direction_free(packets).withColumn("tick", bucket(F.col("ts"), every))
-    size = F.coalesce("wire_len", F.lit(0)).cast("bigint")
+    size, there = F.coalesce("wire_len", F.lit(0)).cast("bigint"), F.col("forward")
     keys = ["capture_id", "proto", "a", "b"]
-    ticks = rows.groupBy(*keys, "tick").agg(F.sum(size).alias("b_"), F.count("*").alias("p_"), F.min("ts").alias("t_"))
+    starts = F.col("forward") == sender_is_originator(F.col("proto"), F.col("sport"), F.col("dport"), F.col("tcp_flags"))
+    ticks = rows.groupBy(*keys, "tick").agg(
+        F.sum(F.when(there, size).otherwise(0)).alias("ab_bytes"), F.sum(F.when(~there, size).otherwise(0)).alias("ba_bytes"),
+        F.count_if(there).alias("ab_pkts"), F.count_if(~there).alias("ba_pkts"), F.min("ts").alias("t_"), F.max("ts").alias("u_"),
+        F.struct(F.min_by(starts, F.struct("ts", "id")).alias("x")).alias("starts"),
+    )
     so_far = Window.partitionBy(*keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    return ticks.select(
-        *keys, "tick", F.min("t_").over(so_far).alias("ts"), F.sum("b_").over(so_far).alias("total_bytes"), F.sum("p_").over(so_far).alias("total_pkts")
-    )
+    made = ticks.select(
+        *keys, "tick", F.min("t_").over(so_far).alias("ts"), F.max("u_").over(so_far).alias("last_ts"), F.first("starts").over(so_far)["x"].alias("a_starts"),
+        *[F.sum(c).over(so_far).alias(c) for c in ("ab_bytes", "ba_bytes", "ab_pkts", "ba_pkts")],
+    )
+    total = {"total_bytes": F.col("ab_bytes") + F.col("ba_bytes"), "total_pkts": F.col("ab_pkts") + F.col("ba_pkts")}
+    return oriented(made.withColumns(total), [*keys, "tick", *total])
 
 
 #: detectors of running flows and of ended ones

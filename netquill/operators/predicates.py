@@ -57,7 +57,7 @@ def discover(alerts: DataFrame, text: str = "", pinned: dict | None = None) -> D
     return out
 
 
-def workspace_filter(alerts: DataFrame, needle: str = "", fields=("src_ip", "dst_ip", "threat_class", "technique_id", "protocol"), **equal) -> DataFrame:
+def workspace_filter(alerts: DataFrame, needle: str = "", fields=("src_ip", "dst_ip", "threat_class", "technique_name", "technique_id"), **equal) -> DataFrame:
     """Rows with the given values (``severity=..``, ``threat_class=..``, ..), the needle in one of five fields."""
     for field, value in equal.items():
         if value not in (None, "", "all"):
@@ -67,6 +67,13 @@ def workspace_filter(alerts: DataFrame, needle: str = "", fields=("src_ip", "dst
     return alerts
 
 
+def workspace_counts(alerts: DataFrame, facets=("severity", "threat_class", "detection_mode")) -> DataFrame:
+    """``facet, value, n``: how many alerts are left, as a whole (facet ``alerts``) and for each value of each facet; one pass."""
+    held = [F.struct(F.lit("alerts").alias("facet"), F.lit(None).cast("string").alias("value"))]
+    held += [F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets]
+    return alerts.select(F.explode(F.array(*held)).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+
+
 def filter_hosts(hosts: DataFrame, scope: str = "all", text: str = "", sort: str = "bytes") -> DataFrame:
     """Hosts of a scope (all, local, remote) matching a text, sorted by bytes, pkts, last or ip."""
     if scope != "all":

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netquill.plans import alert_queries, detect_queries, stream_queries
+from netquill.plans import alert_queries, detect_queries, rule_queries, stream_queries
 
 FLAGSHIP = "e13_brute_force"
-_PARTS = (detect_queries, alert_queries, stream_queries)
+_PARTS = (detect_queries, alert_queries, stream_queries, rule_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
