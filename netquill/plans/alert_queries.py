@@ -438,12 +438,39 @@ def _(spark, d):
     return profiles.select("service", F.round("m_f_orig_bytes", 6).alias("m_f_orig_bytes"), F.round("s_f_orig_bytes", 6).alias("s_f_orig_bytes"))
 
 
-@query("b5_baseline_p_values")
+_BASE = {
+    "ob": "orig_bytes", "op": "k % 13", "du": "duration_s", "ra": "orig_bytes / greatest(duration_s, 1e-3)", "rb": "resp_bytes", "rp": "k % 7",
+}
+
+
+def _each(text: str) -> str:
+    return ", ".join(text.format(f=f) for f in _BASE)
+
+
+_PROFILE = """{m} AS (SELECT {key}, count(*) AS c, %s FROM t GROUP BY 1),
+{d} AS (SELECT {key}, %s FROM t JOIN {m} ON {on} GROUP BY 1),
+{p} AS (SELECT {m}.*, %s FROM {m} JOIN {d} USING (svc))""" % (
+    _each("median({f}) AS m_{f}, max({f}) - min({f}) AS r_{f}"),
+    _each("median(abs({f} - m_{f})) AS d_{f}"),
+    _each("greatest(1.4826 * d_{f}, 0.05 + 0.02 * r_{f}) AS s_{f}"),
+)
+
+
+@query("b5_baseline_p_values", f"""WITH {CONN}, f AS (SELECT rid, ts, 'tcp/' || dst_port AS service, {", ".join(f"ln(1 + greatest(({x})::DOUBLE, 0)) AS {f}" for f, x in _BASE.items())} FROM conn),
+l AS (SELECT *, row_number() OVER (ORDER BY ts, rid) AS rank, min(ts) OVER () AS t0 FROM f), e AS (SELECT min(rank) AS last FROM l WHERE rank >= 500 AND ts - t0 >= 864000),
+t AS (SELECT * FROM l WHERE rank <= floor((SELECT last FROM e) * 0.7::DOUBLE)), {_PROFILE.format(m="m", d="d", p="own", key="service AS svc", on="service = svc")},
+{_PROFILE.format(m="m0", d="d0", p="pool", key="1 AS svc", on="true")},
+z AS (SELECT rid, rank, greatest({", ".join(f"abs({x} - coalesce(own.m_{x}, pool.m_{x})) / coalesce(own.s_{x}, pool.s_{x})" for x in _BASE)}, 0) + CASE WHEN own.svc IS NULL THEN 3 ELSE 0 END AS raw
+  FROM l LEFT JOIN own ON service = own.svc AND own.c >= 20 CROSS JOIN pool),
+y AS (SELECT rid, rank, round(raw, 6) AS score FROM z), c AS (SELECT score FROM y WHERE rank > floor((SELECT last FROM e) * 0.7::DOUBLE) AND rank <= (SELECT last FROM e)), n AS (SELECT count(*) AS n FROM c),
+q AS (SELECT score, count(*) AS k FROM c GROUP BY score), a AS (SELECT score AS at, sum(k) OVER (ORDER BY score DESC) AS above FROM q)
+SELECT rid, score, (1 + coalesce(above, 0)) / ((SELECT n FROM n) + 1)::DOUBLE AS p FROM y ASOF LEFT JOIN a ON y.score <= a.at""")
 def _(spark, d):
     flows = baseline.baseline_features(conn(spark, d))
     profiles, pooled, calibration = baseline.fit_baseline(baseline.learning_set(flows, 500, 10 * DAY))
-    scored = baseline.p_values(baseline.baseline_score(flows, profiles, pooled), calibration)
-    return scored.select("rid", F.round("score", 6).alias("score"), "p")
+    rounded = F.round("score", 6)  # equal scores differ in their last bits from engine to engine, so ties are settled at six digits
+    scored = baseline.baseline_score(flows, profiles, pooled).withColumn("score", rounded)
+    return baseline.p_values(scored, calibration.withColumn("score", rounded)).select("rid", "score", "p")
 
 
 @query("m5_train_flow_model")
