@@ -128,6 +128,10 @@ def exfil_accumulated(conn: DataFrame, window: float = 300, min_bytes: int = 1_0
     rows = rows.withColumns({
         "sent": F.sum(F.col("orig_bytes").cast("bigint")).over(so_far), "received": F.sum(F.col("resp_bytes").cast("bigint")).over(so_far), "n_flows": F.count("*").over(so_far),
     })
+    return exfil_judged(rows, min_bytes, min_flows, ratio)
+
+
+def exfil_judged(rows: DataFrame, min_bytes: int = 1_000_000, min_flows: int = 20, ratio: float = 10) -> DataFrame:
     hits = rows.where((F.col("sent") >= min_bytes) & (F.col("n_flows") >= min_flows) & (F.col("received") > 0) & (F.col("sent") / F.col("received") >= ratio))
     return hits.withColumns({"severity": F.lit("HIGH"), "confidence": F.lit(82.0)})
 
@@ -136,7 +140,11 @@ def brute_force(conn: DataFrame, ports=AUTH_PORTS, window: float = 60, attempts:
     """The attempt that reaches the limit of its source, destination, login port and bucket."""
     rows = conn.where(F.col("dst_port").isin(*ports)).withColumn("bucket", bucket(F.col("ts"), window))
     n = F.row_number().over(Window.partitionBy(*by_run(rows, "src_ip", "dst_ip", "dst_port", "bucket")).orderBy("ts", "rid"))
-    return rows.withColumn("attempt", n).where(F.col("attempt") == attempts).withColumns({"severity": F.lit("MEDIUM"), "confidence": F.lit(70.0)})
+    return attempts_judged(rows.withColumn("attempt", n), attempts)
+
+
+def attempts_judged(rows: DataFrame, attempts: int = 10) -> DataFrame:
+    return rows.where(F.col("attempt") == attempts).withColumns({"severity": F.lit("MEDIUM"), "confidence": F.lit(70.0)})
 
 
 def register_sweep(modbus: DataFrame, n: int = 50) -> DataFrame:

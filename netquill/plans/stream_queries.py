@@ -8,7 +8,7 @@ from netquill.functions.net import epoch
 from netquill.plans.adapters import CONN, as_flows, as_packets, scratch, swapped, table
 from netquill.plans.detect_queries import COOLDOWN_SQL, DAY, RECON_SQL, deployment_events, login_events, mail_events
 from netquill.plans.detect_queries import SQL as DETECT
-from netquill.streaming import keyed, stateful
+from netquill.streaming import batches, keyed, stateful
 
 QUERIES, SQL = {}, {}
 
@@ -27,37 +27,39 @@ SLICES = 4
 
 
 def _slices(spark, d, n=SLICES):
-    """The events in ``n`` files by time, written one after the other, and one event long after them, by which all timers are due."""
-    events, path = table(spark, d, "events"), scratch(spark, "stream-source")
+    """The events cut into ``n`` parts by time, and one event long after them, by which all timers are due."""
+    events, tasks = table(spark, d, "events"), spark.sparkContext.defaultParallelism
     at = epoch(F.col("ts"))
     cuts = events.select(at.alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.01)
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = events.where((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
-        part.coalesce(1).write.mode("append").parquet(path)
+        yield part.repartition(tasks)  # files for all cores to read
     last = events.orderBy(F.desc("ts"), "event_id").limit(1)
     late = {"ts": F.col("ts") + F.expr("INTERVAL 20 YEARS"), "user_id": F.lit(-1).cast(events.schema["user_id"].dataType), "event_id": F.lit(-1).cast(events.schema["event_id"].dataType)}
-    last.withColumns(late).coalesce(1).write.mode("append").parquet(path)
-    return path
+    yield last.withColumns(late)
 
 
 def _stream(spark, d, build, mode="append", fold=None, endless=False):
-    """Run a stream over the events, a file for each micro-batch, and give back what it wrote; ``fold(batch, number, path)`` keeps state.
+    """Run a stream over the events and give back what it wrote; ``fold(batch, number, path)`` keeps state.
 
-    State with a time to live makes batches without rows for ever (``endless``), so such a query is stopped when all has come in."""
+    A slice of the events comes in and the stream goes on from its checkpoint, in one micro-batch over all the slice's files. State
+    with a time to live makes batches without rows for ever (``endless``), so such a query is stopped when a slice has come in."""
     keyed.keep_state(spark)
-    rows = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(_slices(spark, d))
-    out, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-checkpoint")
-    made, state = build(rows), scratch(spark, "stream-state")
+    source, out, checkpoint, state = (scratch(spark, tag) for tag in ("stream-source", "stream", "stream-checkpoint", "stream-state"))
+    schema = table(spark, d, "events").schema
 
     def sink(batch, number):
         batch = fold(batch, number, state) if fold else batch
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
-    to = made.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
-    if endless:
-        keyed.drain(to.trigger(processingTime="100 milliseconds").start(), SLICES + 1)
-    else:
-        to.trigger(availableNow=True).start().awaitTermination()
+    for part in _slices(spark, d):
+        part.write.mode("append").parquet(source)
+        made = build(spark.readStream.schema(schema).parquet(source))
+        to = made.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+        if endless:
+            keyed.drain_input(to.trigger(processingTime="100 milliseconds").start())
+        else:
+            to.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -128,5 +130,5 @@ def _(spark, d):
 
 @query("t7_flow_sessions_stream", DETECT["a2_live_flows"])
 def _(spark, d):
-    flows = _stream(spark, d, lambda e: keyed.flow_sessions(as_packets(e), 7 * DAY, 100 * DAY, "1 day"))
+    flows = _stream(spark, d, as_packets, fold=lambda b, n, path: batches.flow_sessions_batch(b, n, path, 7 * DAY, 100 * DAY, DAY))
     return flows.select("capture_id", "proto", "src_ip", "dst_ip", "ts", (F.col("orig_pkts") + F.col("resp_pkts")).alias("pkts"))
