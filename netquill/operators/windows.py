@@ -104,11 +104,13 @@ def beacons(conn: DataFrame, max_ts: int = 50, min_samples: int = 8, cv: float =
     rows = rows.withColumn("gap", F.when((F.lag("ts").over(era)).isNotNull() & (F.col("_gap") > 0), F.col("_gap")))
     frame = era.rowsBetween(-(max_ts - 2), 0)
     rows = rows.withColumns({
-        "samples": F.count("gap").over(frame), "mean_gap": F.avg("gap").over(frame), "sd_gap": F.stddev_pop("gap").over(frame), "median_gap": F.percentile("gap", F.lit(0.5)).over(frame),
+        "samples": F.count("gap").over(frame), "mean_gap": F.avg("gap").over(frame), "sd_gap": F.stddev_pop("gap").over(frame),
     })
     rows = rows.withColumn("cv", F.col("sd_gap") / F.col("mean_gap"))
     passes = (F.col("samples") >= min_samples) & F.col("mean_gap").between(lo, hi) & (F.col("cv") <= cv)
     rows = rows.withColumn("_gaps", F.when(passes, F.collect_list("gap").over(frame))).where(passes)
+    middle = lambda up: F.element_at(F.array_sort("_gaps"), (F.floor((F.col("samples") + up) / 2) + 1).cast("int"))
+    rows = rows.withColumn("median_gap", 0.5 * middle(-1) + 0.5 * middle(0))
     near = F.size(F.filter("_gaps", lambda g: F.abs(g - F.col("median_gap")) <= cv * F.col("median_gap"))) / F.col("samples")
     hits = rows.withColumn("clustered", near).where(F.col("clustered") >= cluster)
     hits = hits.withColumns({"severity": F.lit("HIGH"), "confidence": 95.0 - 25.0 * F.col("cv") / cv, "jitter_pct": jitter_pct(F.col("cv"))})

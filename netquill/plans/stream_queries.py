@@ -86,7 +86,7 @@ def _(spark, d):
 
 @query("t_beacons_stream", DETECT["e2_beacons"])
 def _(spark, d):
-    hits = _stream(spark, d, lambda e: keyed.beacons_stream(_flows(e), min_samples=5, cv=0.9, hi=5 * DAY, cluster=0.6), endless=True)
+    hits = _stream(spark, d, _flows, fold=lambda b, n, path: batches.beacons_batch(b, n, path, min_samples=5, cv=0.9, hi=5 * DAY, cluster=0.6))
     return hits.select("rid", "src_ip", "dst_ip", "samples", *[F.round(c, n).alias(c) for c, n in (("mean_gap", 3), ("cv", 6), ("clustered", 6))])
 
 
