@@ -103,7 +103,7 @@ def _(spark, d):
 
 @query("t_exfil_stream", DETECT["e6b_exfil_accumulated"])
 def _(spark, d):
-    hits = _stream(spark, d, lambda e: keyed.exfil_accumulated_stream(_flows(e), 10 * DAY, 100_000, 3, 1000), endless=True)
+    hits = _stream(spark, d, _flows, fold=lambda b, n, path: batches.exfil_accumulated_batch(b, n, path, 10 * DAY, 100_000, 3, 1000))
     return hits.select("rid", "src_ip", "dst_ip", "bucket", "sent", "received", "n_flows")
 
 
