@@ -120,7 +120,7 @@ def _(spark, d):
 
 @query("t_http_guessing_stream", DETECT["e14_http_guessing"])
 def _(spark, d):
-    return _stream(spark, d, lambda e: keyed.http_guessing_stream(login_events(_flows(e)), 10 * DAY, 3), endless=True).select("rid", "n_basic", "n_401")
+    return _stream(spark, d, lambda e: login_events(_flows(e)), fold=lambda b, n, path: batches.http_guessing_batch(b, n, path, 10 * DAY, 3)).select("rid", "n_basic", "n_401")
 
 
 @query("t_web_deployments_stream", DETECT["e14_web_deployments"])
