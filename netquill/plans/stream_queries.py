@@ -109,7 +109,7 @@ def _(spark, d):
 
 @query("t_login_attempts_stream", DETECT["e13_brute_force"])
 def _(spark, d):
-    hits = _stream(spark, d, lambda e: keyed.brute_force_stream(_flows(e), (1, 3, 5, 7), 10 * DAY, 3), endless=True)
+    hits = _stream(spark, d, _flows, fold=lambda b, n, path: batches.brute_force_batch(b, n, path, (1, 3, 5, 7), 10 * DAY, 3))
     return hits.select("rid", "src_ip", "dst_ip", "dst_port", "bucket", "ts", "severity", "confidence")
 
 
