@@ -115,7 +115,7 @@ def _(spark, d):
 
 @query("t_smtp_enumeration_stream", DETECT["e14_smtp_enumeration"])
 def _(spark, d):
-    return _stream(spark, d, lambda e: keyed.smtp_enumeration_stream(mail_events(_flows(e)), 10 * DAY, rcpt=10_000), endless=True).select("rid", F.col("n_vrfy").cast("int"))
+    return _stream(spark, d, lambda e: mail_events(_flows(e)), fold=lambda b, n, path: batches.smtp_enumeration_batch(b, n, path, 10 * DAY, rcpt=10_000)).select("rid", F.col("n_vrfy").cast("int"))
 
 
 @query("t_http_guessing_stream", DETECT["e14_http_guessing"])
