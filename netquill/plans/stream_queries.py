@@ -125,7 +125,7 @@ def _(spark, d):
 
 @query("t_web_deployments_stream", DETECT["e14_web_deployments"])
 def _(spark, d):
-    return _stream(spark, d, lambda e: keyed.web_deployments_stream(deployment_events(_flows(e)), 5 * DAY, DAY), endless=True).select("rid", "preceded")
+    return _stream(spark, d, lambda e: deployment_events(_flows(e)), fold=lambda b, n, path: batches.web_deployments_batch(b, n, path, 5 * DAY, DAY)).select("rid", "preceded")
 
 
 @query("t7_flow_sessions_stream", DETECT["a2_live_flows"])
