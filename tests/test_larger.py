@@ -19,7 +19,7 @@ def busy(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["b3_profiles"])
+@pytest.mark.parametrize("name", ["b3_profiles", "b5_baseline_p_values"])
 def test_queries_of_more_than_the_cap_equal_their_oracles(spark, busy, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{busy}/events.parquet/*.parquet'")
