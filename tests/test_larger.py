@@ -2,6 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from netquill.operators import models
 from netquill.plans import catalog
 from tests.oracle import rows
 
@@ -19,8 +20,16 @@ def busy(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["b3_profiles", "b5_baseline_p_values"])
+@pytest.mark.parametrize("name", ["b3_profiles", "b5_baseline_p_values", "m13_time_parts"])
 def test_queries_of_more_than_the_cap_equal_their_oracles(spark, busy, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{busy}/events.parquet/*.parquet'")
     assert rows(catalog.queries()[name](spark, busy).toPandas()) == rows(con.execute(catalog.oracle_sql()[name]).df())
+
+
+def test_a_split_by_time_is_exact(spark):
+    for n, share in ((200_001, 0.5), (200_001, 0.3), (7, 0.5), (1, 0.5)):
+        df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("double").alias("ts")).repartition(5)
+        assert models.time_split(df, share=share, accuracy=100).where("part = 0").count() == -int(-n * share // 1)
+    ties = spark.createDataFrame([(t,) for t in [1.0] * 3 + [2.0] * 5 + [3.0] + [None]], "ts double")
+    assert sorted(map(str, (r["part"] for r in models.time_split(ties).collect()))) == ["0"] * 8 + ["1", "None"]
