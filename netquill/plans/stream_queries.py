@@ -43,7 +43,8 @@ def _stream(spark, d, build, mode="append", fold=None, endless=False):
     """Run a stream over the events and give back what it wrote; ``fold(batch, number, path)`` keeps state.
 
     A slice of the events comes in and the stream goes on from its checkpoint, in one micro-batch over all the slice's files. State
-    with a time to live makes batches without rows for ever (``endless``), so such a query is stopped when a slice has come in."""
+    with a time to live makes batches without rows for ever (``endless``), so such a query isn't started again: it takes a file for
+    each slice and is stopped when all has come in."""
     keyed.keep_state(spark)
     source, out, checkpoint, state = (scratch(spark, tag) for tag in ("stream-source", "stream", "stream-checkpoint", "stream-state"))
     schema = table(spark, d, "events").schema
@@ -52,14 +53,16 @@ def _stream(spark, d, build, mode="append", fold=None, endless=False):
         batch = fold(batch, number, state) if fold else batch
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
+    def start(limits):
+        made = build(spark.readStream.schema(schema).options(**limits).parquet(source))
+        return made.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+
     for part in _slices(spark, d):
-        part.write.mode("append").parquet(source)
-        made = build(spark.readStream.schema(schema).parquet(source))
-        to = made.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
-        if endless:
-            keyed.drain_input(to.trigger(processingTime="100 milliseconds").start())
-        else:
-            to.trigger(availableNow=True).start().awaitTermination()
+        (part.coalesce(1) if endless else part).write.mode("append").parquet(source)
+        if not endless:
+            start({}).trigger(availableNow=True).start().awaitTermination()
+    if endless:
+        keyed.drain(start({"maxFilesPerTrigger": 1}).trigger(processingTime="100 milliseconds").start(), SLICES + 1)
     return spark.read.parquet(out)
 
 
