@@ -11,6 +11,9 @@ text is scored by a join of its distinct grams. The ``FREQUENT`` commonest grams
 bitmaps of fixed size spare the shuffle grams that can't be in the table, and lose none. Grams are counted and looked up in
 packed blocks: each task sorts what it holds by bucket and words, so that a gram takes a few bytes on its way to the task that
 adds up its bucket, or that has the bucket's part of the tree. That task holds one bucket of the tree and one block at a time.
+What it finds for a block of texts goes back as one block, to the task that adds up these texts: a text meets many buckets, and a
+row for each of them would be many times the texts. Blocks of texts times buckets of the tree is the number of blocks, each of
+about ``FLUSH / buckets`` grams; the grams in them are at most ``depth + 1`` for each token.
 
 Cases: null and empty texts are the end token alone; training rows are those whose crc32(doc_id) modulo ``folds`` isn't
 ``held_out``, null ids among them; without training rows all counts are 0 and every token's probability is 1; rows are
@@ -32,7 +35,10 @@ from netquill.llm.common import U64, clean_shuffles, discard, documents_of, hash
 FREQUENT = 500_000
 FLUSH = 1_000_000  # distinct keys counted in a task before they are passed on
 BUCKET_TOKENS = 1_000_000  # tokens for each bucket of grams; a task adds up one bucket at a time
-BLOCKS = "bucket long, kind long, held long, packed binary"
+TREE_ROWS = 500_000  # rows of the tree for each bucket that texts are looked up in; a task holds one bucket at a time
+LEAST_BUCKETS = 32  # of the tree, so that all cores have some
+BLOCK_TEXTS = 1 << 16  # texts in a block at most
+BLOCKS = "bucket long, kind long, held long, span long, packed binary"
 SLOTS = 1 << 26  # bits of a bitmap of keys
 TURNS = (0, 11, 29, 47)  # by how many bits a context's key is turned at each length, so that no word cancels out
 END = np.array([-1], np.int64)  # hash of the end token
@@ -84,6 +90,29 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+class Index:
+    """An ascending table of hashes with the places where ranges of them begin: a key is compared with the few of its range."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.shift = table, 64 - max(1, len(table).bit_length())
+        ranges = np.arange(1 << (64 - self.shift), dtype=np.int64) - (1 << (63 - self.shift))
+        self.starts = np.append(np.searchsorted(table, ranges << self.shift), len(table)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of keys, -1 where absent."""
+        own = (keys >> self.shift) + (1 << (63 - self.shift))
+        at, end = self.starts[own], self.starts[own + 1]
+        out = np.full(len(keys), -1)
+        rows = np.flatnonzero(at < end)
+        at, end, keys = at[rows], end[rows], keys[rows]
+        while len(rows):
+            hit = self.table[at] == keys
+            out[rows[hit]] = at[hit]
+            more = np.flatnonzero(~hit & (at + 1 < end))
+            rows, at, end, keys = rows[more], at[more] + 1, end[more], keys[more]
+        return out
+
+
 def _turned(keys: np.ndarray, level: int) -> np.ndarray:
     bits, r = keys.view(U64), U64(TURNS[level])
     return ((bits << r) | (bits >> (U64(64) - r))).view(np.int64)
@@ -135,10 +164,10 @@ class Codes:
         top = _frequent(counts)[0].select("key", "n").toArrow()
         self.words = top["key"].to_numpy()[np.lexsort((top["key"].to_numpy(), -top["n"].to_numpy()))]
         self.order = np.argsort(self.words)
-        self.sorted = self.words[self.order]
+        self.index = Index(self.words[self.order])
 
     def of(self, found: np.ndarray) -> np.ndarray:
-        at = _find(self.sorted, found)
+        at = self.index.find(found)
         return np.where(at >= 0, self.order[at] if len(self.order) else 0, found)
 
     def words_of(self, codes: np.ndarray) -> np.ndarray:
@@ -149,39 +178,87 @@ class Codes:
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
-    """Sorted rows as bytes: the first column by its steps, high bytes apart from low ones, compressed."""
-    planes = [np.diff(columns[0], prepend=np.int64(0)), *columns[1:]]
-    return pa.compress(b"".join([np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in planes]), codec="zstd", asbytes=True)
+    """Sorted rows as bytes: the first column by its steps, high bytes apart from low ones and as many as are used, compressed."""
+    steps = [np.diff(columns[0], prepend=np.int64(0)), *columns[1:]]
+    widths = [(int(c.view(U64).max(initial=0)).bit_length() + 7) // 8 for c in steps]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(steps, widths)]
+    return bytes(widths) + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, rows: int, columns: int) -> list[np.ndarray]:
-    planes = np.frombuffer(pa.decompress(packed, rows * columns * 8, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, rows)
-    out = [np.ascontiguousarray(p.T).view(np.int64).reshape(-1) for p in planes]
+    widths, out, at = packed[:columns], [], 0
+    planes = np.frombuffer(pa.decompress(packed[columns:], rows * sum(widths), codec="zstd", asbytes=True), np.uint8).reshape(-1, rows)
+    for w in widths:
+        column = np.zeros((rows, 8), np.uint8)
+        column[:, :w] = planes[at : at + w].T
+        out.append(column.view(np.int64).reshape(-1))
+        at += w
     return [np.cumsum(out[0]), *out[1:]]
 
 
-def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows of words and counts, the last column, with equal words once and their counts added up; sorted by words."""
-    order = np.lexsort(columns[-2::-1])
+def _summed(columns: list[np.ndarray], order: np.ndarray) -> list[np.ndarray]:
+    """Rows of words and counts in an order that has equal words together, with equal words once and their counts added up."""
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     new[1:] = np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)
     first = np.flatnonzero(new)
-    return [*(c[first] for c in columns[:-1]), np.add.reduceat(columns[-1], first) if len(first) else columns[-1]]
+    return [*(c[first] for c in columns[:-1]), np.add.reduceat(columns[-1], first, dtype=np.int64) if len(first) else columns[-1]]
+
+
+def _joined(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Words whose numbers fit side by side into 63 bits as one number, and which rows have such words only."""
+    bits = 63 // len(words)
+    fits, key = np.ones(len(words[0]), bool), np.zeros(len(words[0]), np.int64)
+    for w in words:
+        fits &= (w >> bits) == 0  # numbers below 2 ** bits; hashes are almost never
+        key <<= bits
+        key |= w
+    return key[fits], fits
+
+
+def _parted(key: np.ndarray, width: int) -> list[np.ndarray]:
+    bits = 63 // width
+    return [(key >> (bits * back)) & ((1 << bits) - 1) for back in range(width - 1, -1, -1)]
 
 
-def _dealt(columns: list[np.ndarray], mixed: np.ndarray, buckets: int, kind: int = 0) -> pa.RecordBatch:
+def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of words and counts, the last column, with equal words once and their counts added up; sorted by words.
+
+    Words that can be joined are sorted as one number; rows with others come after them."""
+    *words, n = columns
+    if len(words) == 1:
+        if not (n == 1).all():
+            return _summed(columns, np.argsort(words[0]))
+        key = np.sort(words[0])
+        first = np.flatnonzero(np.append(np.ones(len(key[:1]), bool), key[1:] != key[:-1]))
+        return [key[first], np.diff(first, append=len(key))]
+    key, fits = _joined(words)
+    key, counts = _added([key, n[fits]])
+    narrow = [*_parted(key, len(words)), counts]
+    if fits.all():
+        return narrow
+    rest = [c[~fits] for c in columns]
+    return [np.concatenate(c) for c in zip(narrow, _summed(rest, np.lexsort(rest[-2::-1])))]
+
+
+def _dealt(columns: list[np.ndarray], mixed: np.ndarray, buckets: int, kind: int = 0, span: int = 0) -> pa.RecordBatch:
     """``BLOCKS`` of sorted rows: the rows of each bucket packed by themselves, in the same order."""
-    bucket = (mixed % U64(buckets)).astype(np.int64)
+    bucket = (mixed % U64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # small numbers are sorted by digits
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    bucket = bucket[order].astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     found = np.split(order, cuts[1:]) if len(order) else []
     packed = [_pack([c[own] for c in columns]) for own in found]
-    arrays = [pa.array(bucket[order][cuts]), pa.array(np.full(len(found), kind, np.int64)), pa.array([len(own) for own in found], pa.int64()), pa.array(packed, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "kind", "held", "packed"])
+    return _blocks(bucket[cuts], kind, [len(own) for own in found], span, packed)
+
 
+def _blocks(bucket: np.ndarray, kind: int, held: list[int], span: int, packed: list[bytes]) -> pa.RecordBatch:
+    n = len(packed)
+    arrays = [pa.array(bucket), pa.array(np.full(n, kind, np.int64)), pa.array(held, pa.int64()), pa.array(np.full(n, span, np.int64)), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in BLOCKS.split(", ")])
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, bytes]]:
     """``BLOCKS`` one by one."""
     for batch in batches:
         for block in zip(*batch.columns):
@@ -195,31 +272,41 @@ def _counted_grams(docs: DataFrame, level: int, shared: Broadcast, buckets: int,
     """
     width = level + 2
 
-    def blocks(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        *words, n = _added([np.concatenate(c) for c in zip(*parts)])
+    def blocks(key: np.ndarray, n: np.ndarray, *others: list[np.ndarray]) -> pa.RecordBatch:
+        *words, n = (np.concatenate(c) for c in zip([*_parted(key, level + 1), n], *others))
         mixed = np.zeros(len(n), U64)
         for w in words:
             mixed = mix64(mixed + w.view(U64))
         return _dealt([*words, n], mixed, buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (bits, codes), parts, held = shared.value, [], 0
+        (bits, codes), parts, others, held = shared.value, [], [], 0  # grams of numbered words as one number, and those of others
+
+        def added() -> None:
+            for kind in (parts, others):
+                kind[:] = [_added([np.concatenate(c) for c in zip(*kind)])] if kind else []
+
         for _, texts in text_chunks(batches):
             found, doc = tokens(texts)
             keys, there = grams(found, doc, level - 1)[-1]
             often = there & _in(bits, keys)
             use = np.flatnonzero((doc[1:] == doc[:-1]) & often[1:] & often[:-1]) + 1
             coded = codes.of(found)
-            parts.append([*(coded[use - back] for back in range(level, -1, -1)), np.ones(len(use), np.int64)])
+            words = [coded[use - back] for back in range(level, -1, -1)]
+            key, fits = _joined(words)
+            parts.append([key, np.ones(len(key), np.int32)])
+            if not fits.all():
+                others.append([*(w[~fits] for w in words), np.ones(len(use) - len(key), np.int64)])
             held += len(use)
             if held >= 2 * FLUSH:
-                parts = [_added([np.concatenate(c) for c in zip(*parts)])]
-                held = len(parts[0][0])
+                added()
+                held = sum(len(kind[0][0]) for kind in (parts, others) if kind)
                 if held >= FLUSH:
-                    yield blocks(parts)
-                    parts, held = [], 0
+                    yield blocks(*parts[0], *others)
+                    parts, others, held = [], [], 0
         if parts:
-            yield blocks(parts)
+            added()
+            yield blocks(*parts[0], *others)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, last, parts = shared.value[1], None, []
@@ -232,7 +319,7 @@ def _counted_grams(docs: DataFrame, level: int, shared: Broadcast, buckets: int,
                 keys = [_turned(a, at) ^ b for a, b in zip(keys[:-1], keys[1:])]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, n[often])], names=["c", "low", "n"])
 
-        for bucket, _, held, packed in _held(batches):
+        for bucket, _, held, _, packed in _held(batches):
             if bucket != last and parts:
                 yield total()
                 parts = []
@@ -278,24 +365,30 @@ class SuffixTree:
         self.escapes = np.zeros(len(words))
         self.levels: list[dict] = []
         self.held = np.zeros(SLOTS // 64, U64)
-
-    def parts(self, found: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """What each token gains and escapes by frequent grams, and for each length the others' places and keys."""
-        gains, escapes, others = np.zeros(len(found)), np.zeros(len(found)), []
-        tables = [(self.words, self.root, self.escapes), *((x["keys"], x["gains"], x["escapes"]) for x in self.levels)]
-        for level, ((keys, there), (table, gain, escape)) in enumerate(zip(grams(found, doc, len(self.levels)), tables)):
+        self.rows = 0  # of the whole tree
+        self.indexes: list[Index] = []  # made in the tasks
+
+    def parts(self, found: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """What each token has at the root, gains and escapes by frequent grams, and for each length the others' places and keys."""
+        base, gains, escapes, others = np.zeros(len(found)), np.zeros(len(found)), np.zeros(len(found)), []
+        if not self.indexes:
+            self.indexes = [Index(keys) for keys in (self.words, *(x["keys"] for x in self.levels))]
+        tables = [(self.root, self.escapes), *((x["gains"], x["escapes"]) for x in self.levels)]
+        for level, ((keys, there), index, (gain, escape)) in enumerate(zip(grams(found, doc, len(self.levels)), self.indexes, tables)):
             place = np.flatnonzero(there & _in(self.held, keys)) if level else np.arange(len(keys))
-            at = _find(table, keys[place])
+            at = index.find(keys[place])
             used, other = place[at >= 0], place[at < 0]
             at = at[at >= 0]
             gains[used] += gain[at]
             escapes[used] += escape[at]
             others.append((other, keys[other]))
-        return gains, escapes, others
+            if not level:
+                base[used] = gain[at]
+        return base, gains, escapes, others
 
     def log_probabilities(self, numbers: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """log10 of each frequent word's probability after the words before it, by frequent grams."""
-        out, escapes, _ = self.parts(self.words[numbers], doc)
+        _, out, escapes, _ = self.parts(self.words[numbers], doc)
         out[1:] += np.where(doc[1:] == doc[:-1], escapes[:-1], 0.0)
         return out
 
@@ -351,6 +444,7 @@ def train(docs: DataFrame, depth: int = 2, min_count: int = 2, min_divergence: f
         else:
             tree.levels.append({"keys": keys, "gains": gains, "escapes": escapes, "kept": gains != 0})
             tree.held |= bitmap(whole)
+        tree.rows += whole.count()
         rest = other if rest is None else rest.union(other)
     return tree, rest
 
@@ -358,10 +452,12 @@ def train(docs: DataFrame, depth: int = 2, min_count: int = 2, min_divergence: f
 def score(docs: DataFrame, tree: SuffixTree, rest: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` for each row of ``docs``.
 
-    A text's sums over frequent grams, its other grams and the rest of the tree are dealt to buckets as blocks of three kinds.
+    The rest of the tree, the texts' other grams and their sums over frequent grams are dealt to buckets as blocks of three kinds.
+    A block of texts has a number, ``span``, by which what the buckets find for it comes together.
     """
-    shared, buckets = docs.sparkSession.sparkContext.broadcast(tree), tree.total // BUCKET_TOKENS + 1
-    tree_part, text_grams, text_sums = 0, 1, 2
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    buckets = max(LEAST_BUCKETS, tree.rows // TREE_ROWS + 1)
+    tree_part, text_sums, text_grams = 0, 1, 2
     size = float(tree.total + tree.distinct + 1)
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,76 +478,87 @@ def score(docs: DataFrame, tree: SuffixTree, rest: DataFrame) -> DataFrame:
             yield blocks()
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, row, parts, held = shared.value, TaskContext.get().partitionId() << 40, [], 0
+        t, span = shared.value, TaskContext.get().partitionId() << 32
+        parts, sums, held, texts_held = [], [], 0, 0
 
-        def blocks() -> pa.RecordBatch:
-            columns = _added([np.concatenate(c) for c in zip(*parts)])
-            return _dealt(columns, mix64(columns[0].view(U64)), buckets, text_grams)
+        def blocks() -> Iterator[pa.RecordBatch]:
+            own = [np.concatenate(c) for c in zip(*sums)]
+            yield _dealt(own, np.full(len(own[0]), span, U64), buckets, text_sums, span)
+            keys, of = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(keys)
+            yield _dealt([keys[order], of[order]], mix64(keys[order].view(U64)), buckets, text_grams, span)
 
         for batch, texts in text_chunks(batches):
             found, doc = tokens(texts)
-            gains, escapes, others = t.parts(found, doc)
+            base, gains, escapes, others = t.parts(found, doc)
             known = np.ones(len(found), bool)
             known[others[0][0]] = False
-            base = np.zeros(len(found))
-            base[known] = t.root[_find(t.words, found[known])]
             n, ids = len(texts), batch.column(0)
-            rows = row + np.arange(n)
-            row += n
-            sums = (np.bincount(doc, w, n) for w in (base, gains + escapes))
             own = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), np.bincount(doc, minlength=n), np.bincount(doc, known, n).astype(np.int64)]
-            yield _dealt([rows, *own, *(x.view(np.int64) for x in sums)], np.full(n, row, U64), buckets, text_sums)
+            sums.append([*own, *(np.bincount(doc, w, n).view(np.int64) for w in (base, gains + escapes))])
             for level, (place, keys) in enumerate(others):
-                parts.append([keys, 2 * rows[doc[place]] + (level == 0), np.ones(len(keys), np.int64)])
+                parts.append([keys, 2 * (texts_held + doc[place]) + (level == 0)])
                 held += len(keys)
-            if held >= FLUSH:
-                yield blocks()
-                parts, held = [], 0
-        if held:
-            yield blocks()
+            texts_held += n
+            if held >= FLUSH or texts_held >= BLOCK_TEXTS:
+                yield from blocks()
+                parts, sums, held, texts_held, span = [], [], 0, 0, span + 1
+        if sums:
+            yield from blocks()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, parts, columns = None, [], []
         unseen = np.log10(1.0 / size)
-        for bucket, kind, rows, packed in _held(batches):
+        for bucket, kind, rows, span, packed in _held(batches):
             if bucket != last:
                 last, parts, columns = bucket, [], [np.zeros(0, np.int64)] * 3
             if kind == tree_part:
                 parts.append(_unpack(packed, rows, 3))
                 continue
+            if kind == text_sums:
+                yield _blocks(np.full(1, bucket), kind, [rows], span, [packed])
+                continue
             if parts:
                 columns, parts = [np.concatenate(c) for c in zip(*parts)], []
                 order = np.argsort(columns[0])
                 columns = [c[order] for c in columns]
+            keys, of = _unpack(packed, rows, 2)
+            at = _find(columns[0], keys)
+            inside, word, doc = at >= 0, of & 1 == 1, of >> 1
+            count, v = np.zeros(rows, np.int64), np.where(word, unseen, 0.0)
+            count[inside], v[inside] = columns[1][at[inside]], columns[2].view(np.float64)[at[inside]]
+            here = np.flatnonzero(np.bincount(doc))
+            n_known = np.bincount(doc, word & (count > 0))[here].astype(np.int64)
+            base = np.bincount(doc, np.where(word, np.log10((count + 1) / size), 0.0))[here]
+            made = _pack([here, n_known, base.view(np.int64), np.bincount(doc, v)[here].view(np.int64)])
+            yield _blocks(np.full(1, bucket), kind, [len(here)], span, [made])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = []
+
+        def texts() -> pa.RecordBatch:
+            ids, valid, n_tokens, *sums = own
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), *(pa.array(x) for x in (n_tokens, *sums))], names=names)
+
+        for _, kind, rows, _, packed in _held(batches):  # the texts' own sums come first
             if kind == text_sums:
-                row, ids, valid, n_tokens, n_known, base, total = _unpack(packed, rows, 7)
-                base, total, ids = base.view(np.float64), total.view(np.float64), pa.array(ids, mask=valid == 0)
+                if own:
+                    yield texts()
+                *own, base, total = _unpack(packed, rows, 6)
+                own += [base.view(np.float64), total.view(np.float64)]
             else:
-                keys, of, times = _unpack(packed, rows, 3)
-                at = _find(columns[0], keys)
-                inside, word = at >= 0, of & 1 == 1
-                count, v = np.zeros(rows, np.int64), np.where(word, unseen, 0.0)
-                count[inside], v[inside] = columns[1][at[inside]], columns[2].view(np.float64)[at[inside]]
-                row, doc = np.unique(of >> 1, return_inverse=True)
-                n = len(row)
-                ids, n_tokens = pa.nulls(n, pa.int64()), np.zeros(n, np.int64)
-                n_known = np.bincount(doc, times * (word & (count > 0)), n).astype(np.int64)
-                base = np.bincount(doc, times * np.where(word, np.log10((count + 1) / size), 0.0), n)
-                total = np.bincount(doc, times * v, n)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (row, ids, n_tokens, n_known, base, total)], names=names)
-
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
+                here, n_known, base, total = _unpack(packed, rows, 4)
+                for into, x in zip(own[3:], (n_known, base.view(np.float64), total.view(np.float64))):
+                    into[here] += x
+        if own:
+            yield texts()
+
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     names = [c.split()[0] for c in schema.split(", ")]
     tree_blocks = rest.select("key", "n", (F.col("gain") + F.col("escape")).alias("v")).mapInArrow(table, BLOCKS)
     blocks = tree_blocks.union(docs.mapInArrow(texts_of, BLOCKS))
-    found = blocks.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(look_up, schema)
-    total = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        *(F.sum(c).alias(c) for c in ("n_tokens", "n_known")),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-    )
-    return total.drop("row")
+    found = blocks.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(look_up, BLOCKS)
+    return found.repartition("span").sortWithinPartitions("span", "kind", "bucket").mapInArrow(add_up, schema)
 
 
 def score_documents(

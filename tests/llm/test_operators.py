@@ -138,6 +138,64 @@ def test_language_model_keeps_passages_of_a_large_corpus(spark, monkeypatch):
     assert np.allclose(gain(), whole)
 
 
+def python_rows(plan):
+    """How many rows came back from each Python node of an executed plan."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    children = plan.children()
+    found = [plan.metrics().apply("pythonNumRowsReceived").value()] if kind == "MapInArrowExec" else []
+    return found + [n for p in [*inner, *(children.apply(i) for i in range(children.size()))] for n in python_rows(p)]
+
+
+def test_a_text_costs_no_row_for_each_bucket_of_the_tree(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7919 + j * j) % 997}" for j in range(60))) for i in range(1000)]
+    whole = sorted(map(tuple, suffix_tree_lm.score_documents(docs(spark, rows)).collect()))
+    monkeypatch.setattr(suffix_tree_lm, "FREQUENT", 20)
+    monkeypatch.setattr(suffix_tree_lm, "BUCKET_TOKENS", 3000)  # 18 buckets of tokens
+    scored = suffix_tree_lm.score_documents(docs(spark, rows))
+    again = sorted(map(tuple, scored.collect()))
+    assert [r[:5] for r in again] == [r[:5] for r in whole] and np.allclose([r[5:] for r in again], [r[5:] for r in whole])
+    made = python_rows(scored._jdf.queryExecution().executedPlan())
+    assert len(made) >= 3 and max(made) <= len(rows)
+
+
+def test_blocks_of_texts_end_at_a_number_of_texts(spark, monkeypatch):
+    rows = [(i, f"a b{i % 5} c{i % 3}") for i in range(300)] + ODD
+    score = lambda: sorted((r["doc_id"] is None, r["doc_id"], round(r["score"], 6), r["n_known"]) for r in suffix_tree_lm.score_documents(docs(spark, rows)).collect())
+    whole = score()
+    monkeypatch.setattr(suffix_tree_lm, "FREQUENT", 3)
+    monkeypatch.setattr(suffix_tree_lm, "BLOCK_TEXTS", 1)
+    monkeypatch.setattr(suffix_tree_lm, "TREE_ROWS", 2)
+    assert score() == whole
+
+
+def test_words_are_added_up_whether_or_not_they_have_numbers():
+    rng = np.random.default_rng(4)
+    for width in (1, 2, 3, 4):
+        words = [np.where(rng.random(5000) < 0.9, rng.integers(0, 40, 5000), rng.integers(-5, 5, 5000) * (1 << 60)) for _ in range(width)]
+        n = rng.integers(1, 4, 5000)
+        for counts in (n, np.ones(5000, np.int64)):
+            expected = collections.Counter()
+            for *row, c in zip(*words, counts):
+                expected[tuple(row)] += c
+            *got, total = suffix_tree_lm._added([*words, counts])
+            assert dict(zip(zip(*got), total)) == expected and len(total) == len(expected)
+            packed = suffix_tree_lm._pack([*got, total])
+            assert all(np.array_equal(a, b) for a, b in zip(suffix_tree_lm._unpack(packed, len(total), width + 1), [*got, total]))
+    zero = np.zeros(1, np.int64)
+    assert all(np.array_equal(a, zero) for a in suffix_tree_lm._unpack(suffix_tree_lm._pack([zero, zero]), 1, 2))
+
+
+def test_hashes_are_found_among_those_of_their_range():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 7, 3000):
+        table = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        crowded = np.unique(np.concatenate([table, np.arange(-3, 40)])) if n > 2 else table
+        for t in (table, crowded):
+            keys = np.concatenate([t, rng.integers(-(1 << 63), 1 << 63, 2000), [-1, 0, (1 << 63) - 1, -(1 << 63)]])
+            assert np.array_equal(suffix_tree_lm.Index(t).find(keys), suffix_tree_lm._find(t, keys))
+
+
 # ---- op4 -------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("url,rule,verdict", [
     ("http://WWW.Example.NET/en/1", "example.net/en/", "allow"), ("http://www.example.net/de", "net/", "block"), ("https://example.com/de/x?q", "example.com/de/", "block"),
