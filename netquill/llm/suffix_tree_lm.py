@@ -30,7 +30,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquill.llm.common import U64, clean_shuffles, discard, documents_of, hashed_words, materialize, mix64, mod_of_id, text_chunks
+from netquill.llm.common import U64, clean_shuffles, discard, documents_of, hashed_words, materialize, mix64, mod_of_id, small_batches, text_chunks
 
 FREQUENT = 500_000
 FLUSH = 1_000_000  # distinct keys counted in a task before they are passed on
@@ -558,6 +558,8 @@ def score(docs: DataFrame, tree: SuffixTree, rest: DataFrame) -> DataFrame:
     tree_blocks = rest.select("key", "n", (F.col("gain") + F.col("escape")).alias("v")).mapInArrow(table, BLOCKS)
     blocks = tree_blocks.union(docs.mapInArrow(texts_of, BLOCKS))
     found = blocks.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(look_up, BLOCKS)
+    found = materialize(found, "lm-found")
+    shared.destroy()
     return found.repartition("span").sortWithinPartitions("span", "kind", "bucket").mapInArrow(add_up, schema)
 
 
@@ -572,6 +574,7 @@ def score_documents(
         raise ValueError(f"depth must be from 1 to {len(TURNS) - 1}")
     docs = documents_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     out = F.coalesce(mod_of_id(F.col("doc_id"), folds) == held_out, F.lit(False))
-    tree, rest = train(docs.where(~out), depth, min_count, min_divergence, min_gain)
-    scored = score(docs, tree, rest)
+    with small_batches(docs.sparkSession):
+        tree, rest = train(docs.where(~out), depth, min_count, min_divergence, min_gain)
+        scored = score(docs, tree, rest)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
