@@ -287,16 +287,15 @@ def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.drop("component").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def close_pairs(pairs: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components of ``links`` and of the pairs that are confirmed. A pair whose classes are in one component already is left out."""
+def close_pairs(pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The components ``found`` joined by the pairs that are confirmed. A pair whose classes are in one component already is left out."""
     rest = materialize(pairs, "minhash-candidates")
     turn = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
     for most in (*TURNS, None):
         chosen = rest
         if most:
             chosen = materialize(rest.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= most).drop("n"), "minhash-turn")
-        links = links.unionByName(materialize(confirm(chosen, sets, percent), "minhash-links"))
-        found = connected_components(links, "a", "b")
+        found = connected_components(materialize(confirm(chosen, sets, percent), "minhash-links"), "a", "b", found)
         if not most:
             return found
         at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
@@ -342,13 +341,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rows: in
         new = materialize(confirm(band_stars(relabelled(keyed, found), percent, bands, turn), sets, percent), "minhash-links")
         if new.isEmpty():
             break
-        links = links.unionByName(new)
-        found = connected_components(links, "a", "b")
+        found = connected_components(new, "a", "b", found)
     own = sets.join(relabelled(crowded, found), "rep")
     prefix = materialize(prefixes(own, slot_holders(own, slots), percent), "minhash-prefixes")
     near = relabelled(open_.where(F.col("n") <= SMALL), found)
     rest = bucket_pairs(near, percent).unionByName(prefix_pairs(prefix, percent)).distinct()
-    found = close_pairs(rest, links, sets, percent)
+    found = close_pairs(rest, found, sets, percent)
 
     labels = classes.join(found, classes["rep"] == found["node"], "left").select(
         "set_lo", "set_hi", F.coalesce("component", "rep").alias("component")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netquill.llm import language_id, line_dedup, minhash_dedup, mtree_search, piece_sampling, projected_search, source_mixing, suffix_tree_lm, toxicity, url_filter
+from netquill.llm import components, language_id, line_dedup, minhash_dedup, mtree_search, piece_sampling, projected_search, source_mixing, suffix_tree_lm, toxicity, url_filter
 from netquill.llm.common import mix64, range_hashes
 from netquill.llm.components import connected_components
 
@@ -467,3 +467,17 @@ def test_language_profiles(spark):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3, 300)} == {"und"}
     assert {r["lang_pred"] for r in language_id.identify(docs(spark, [(1, "text", None)])).collect()} == {"und"}
     assert language_id.identify(docs(spark, [])).count() == 0
+
+
+def test_components_go_on_from_found_ones_and_stop_at_stars(spark, monkeypatch):
+    rounds = []
+    write = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, tag: rounds.append(tag) or write(df, tag))
+    linked = lambda links, *found: components.connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b", *found)
+    found = linked([(1, 2), (3, 1), (9, 8), (4, 4), (None, 5)])
+    assert len(rounds) == 1  # the edges are stars as they are
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+    assert {tuple(r) for r in linked([(9, 3), (20, 21)], found).collect()} == {(1, 1), (2, 1), (3, 1), (8, 1), (9, 1), (20, 20), (21, 20)}
+    assert {tuple(r) for r in linked([], found).collect()} == {tuple(r) for r in found.collect()}
+    chain = [(i, i + 1) for i in range(50)]
+    assert {tuple(r) for r in linked(chain[::2], linked(chain[1::2])).collect()} == {(i, 0) for i in range(51)}
