@@ -1,4 +1,7 @@
+import os
+
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +36,12 @@ def test_a_split_by_time_is_exact(spark):
         assert models.time_split(df, share=share, accuracy=100).where("part = 0").count() == -int(-n * share // 1)
     ties = spark.createDataFrame([(t,) for t in [1.0] * 3 + [2.0] * 5 + [3.0] + [None]], "ts double")
     assert sorted(map(str, (r["part"] for r in models.time_split(ties).collect()))) == ["0"] * 8 + ["1", "None"]
+
+
+def test_a_split_by_time_is_exact_whatever_order_its_rows_come_in(spark):
+    def shuffled(frames):  # another order at each evaluation, as parts come from executors
+        yield pd.concat(frames).sample(frac=1, random_state=int.from_bytes(os.urandom(4)))
+
+    df = spark.range(300_001, numPartitions=2).select(F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("double").alias("ts")).mapInPandas(shuffled, "ts double")
+    for _ in range(3):
+        assert models.time_split(df, accuracy=100).where("part = 0").count() == 150_001
